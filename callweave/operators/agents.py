@@ -69,6 +69,13 @@ def only_agents(df: DataFrame, agents: DataFrame) -> DataFrame:
     return df.join(agents.select("owner_id"), "owner_id", "left_semi")
 
 
+def first_agent(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of the agent with the smallest number, all or the first ``rows``."""
+    smallest = df.select(F.min("owner_id")).scalar()
+    own = df.filter(F.col("owner_id") == smallest)
+    return own if rows is None else own.limit(rows)
+
+
 def extract_transcripts(
     turns: DataFrame,
     calls_plus: DataFrame,
