@@ -6,19 +6,14 @@ into one boolean column. All matches are find-anywhere matches.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
 from callweave.functions.columns import SELF, TRUE
-
-#: An optional opening of clause characters. It can match the empty string, so
-#: at the start of a find-anywhere pattern it never decides a match, but makes
-#: the matcher retry every clause from each of its characters.
-CLAUSE_OPENING = "(，|。|！|？)?[^，。！？]*"
-
+from callweave.functions.patterns import one_scan
 
 @dataclass(frozen=True)
 class Trigger:
@@ -83,20 +78,9 @@ def with_trigger_speaker(rules: Iterable[Rule], name: str, speaker: str) -> tupl
     )
 
 
-def occurs(pattern: str, content: Column) -> Column:
-    """Whether ``pattern`` is found anywhere in ``content``."""
-    while pattern.startswith(CLAUSE_OPENING):
-        pattern = pattern[len(CLAUSE_OPENING):]
-    return content.rlike(pattern)
-
-
-def _either(patterns: Sequence[str], content: Column) -> Column:
-    """Any pattern occurs; repeated patterns are tested once, plain OR stops early."""
-    tests = [occurs(p, content) for p in dict.fromkeys(patterns)]
-    result = tests[0]
-    for test in tests[1:]:
-        result = result | test
-    return result
+def occurs(content: Column, *patterns: str) -> Column:
+    """Whether any of ``patterns`` is found anywhere in ``content``."""
+    return content.rlike(one_scan(patterns))
 
 
 def _score(rule: Rule, content: Column) -> Column:
@@ -107,8 +91,8 @@ def _score(rule: Rule, content: Column) -> Column:
     total = F.lit(0)
     for weight, pattern in rule.cues:
         points = int(Decimal(weight) * scale)
-        total = total + F.when(occurs(pattern, content), points).otherwise(0)
-    return occurs(rule.gate, content) & (total > int(Decimal(rule.above) * scale))
+        total = total + F.when(occurs(content, pattern), points).otherwise(0)
+    return occurs(content, rule.gate) & (total > int(Decimal(rule.above) * scale))
 
 
 def raw_hit(rule: Rule, content: Column, channel: Column) -> Column:
@@ -121,8 +105,8 @@ def raw_hit(rule: Rule, content: Column, channel: Column) -> Column:
     if rule.speaker:
         tests.append(channel == rule.speaker)
     if rule.any_of:
-        tests.append(_either(rule.any_of, content))
-    tests.extend(occurs(p, content) for p in rule.all_of)
+        tests.append(occurs(content, *rule.any_of))
+    tests.extend(occurs(content, p) for p in rule.all_of)
     if rule.cues:
         tests.append(_score(rule, content))
     result = tests[0]
@@ -134,7 +118,7 @@ def raw_hit(rule: Rule, content: Column, channel: Column) -> Column:
 def trigger_hit(trigger: Trigger, content: Column, channel: Column) -> Column:
     """Whether a turn sets off the rules that look at the turn before them."""
     return F.coalesce(
-        (channel == trigger.channel) & _either(trigger.any_of, content), F.lit(False)
+        (channel == trigger.channel) & occurs(content, *trigger.any_of), F.lit(False)
     )
 
 

@@ -14,12 +14,13 @@ CALL_COLUMNS = [
 ]
 
 
-def attach_call(turns: DataFrame, records: DataFrame) -> DataFrame:
+def attach_call(turns: DataFrame, records: DataFrame, distinct: bool = True) -> DataFrame:
     """Call records that have a transcript, with its date, one row each.
 
     Turns are reduced to their distinct (call, date) before the join: the turn
     text takes no part in it. Records without a user are dropped, which makes
-    the join an inner one.
+    the join an inner one. ``distinct=False`` leaves repeated records in, for a
+    later step that takes one row per call and user anyway.
     """
     dates = turns.select("callid", "file_date").distinct()
     known = not_null(records, "user_id").select(
@@ -33,7 +34,8 @@ def attach_call(turns: DataFrame, records: DataFrame) -> DataFrame:
         "group_name",
         *[c for c in ("dun_case_id",) if c in records.columns],
     )
-    return dates.join(known, "callid").distinct()
+    attached = dates.join(known, "callid")
+    return attached.distinct() if distinct else attached
 
 
 def resolve_agent(
@@ -43,6 +45,7 @@ def resolve_agent(
     since: str,
     as_of: str,
     group_like: str,
+    distinct: bool = True,
 ) -> DataFrame:
     """Telephone-system records with the agent who sat at the extension that day.
 
@@ -62,22 +65,19 @@ def resolve_agent(
         .select("owner_id", "owner_name", "group_name", "dt")
         .distinct()
     )
-    return (
-        dialled.join(agents, ["owner_id", "dt"])
-        .select(
-            "calluuid",
-            "dt",
-            "ringtime",
-            "group_name",
-            "owner_id",
-            "owner_name",
-            F.col("ud_1").try_cast("int").alias("user_id"),
-            F.col("ud_2").try_cast("int").alias("dun_case_id"),
-            "dnis",
-            "t_durtion",
-        )
-        .distinct()
+    resolved = dialled.join(agents, ["owner_id", "dt"]).select(
+        "calluuid",
+        "dt",
+        "ringtime",
+        "group_name",
+        "owner_id",
+        "owner_name",
+        F.col("ud_1").try_cast("int").alias("user_id"),
+        F.col("ud_2").try_cast("int").alias("dun_case_id"),
+        "dnis",
+        "t_durtion",
     )
+    return resolved.distinct() if distinct else resolved
 
 
 def allocations_in(
@@ -176,7 +176,7 @@ def calls_from_records(
     The case number comes from the allocation, or with ``case_from_record``
     from the record, which must then have one.
     """
-    attached = attach_call(turns, records)
+    attached = attach_call(turns, records, distinct=False)
     if case_from_record:
         attached = not_null(attached, "dun_case_id")
         matched = asof_allocation(attached, allocations, since, before, overdue)
@@ -191,9 +191,13 @@ def calls_from_records(
     )
 
 
-def union_eras(early: DataFrame, late: DataFrame) -> DataFrame:
-    """Calls of both eras, without duplicate rows."""
-    return early.unionByName(late).distinct()
+def union_eras(early: DataFrame, late: DataFrame, distinct: bool = True) -> DataFrame:
+    """Calls of both eras, without duplicate rows.
+
+    ``distinct=False`` for eras known not to overlap.
+    """
+    both = early.unionByName(late)
+    return both.distinct() if distinct else both
 
 
 def closest_relation(directory: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from callweave.operators import (
     agents, calls, flags, group_topics, lifecycle, metrics, quality, reports, rollup, topics,
     turns, vocabulary, windows,
 )
+from callweave.plans.calls import Era, build_calls
 from callweave.plans.features import features_from_turns
 from callweave.session import shared_dir
 from callweave.sources import sinks, tables
@@ -57,19 +58,12 @@ def conversation_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
 
 def call_table(spark: SparkSession, sf: str, all_turns: DataFrame) -> DataFrame:
     """Calls of both record systems."""
-    alloc = b.allocations(spark, sf)
-    early_turns, late_turns = p.split_era(all_turns, b.CUTOFF)
-    agents_of_calls = calls.resolve_agent(
-        b.sip_records(spark, sf), b.extensions(spark, sf), b.roster(spark, sf),
-        b.SINCE, b.BEFORE, "group",
-    )
-    early = calls.calls_from_records(
-        early_turns, b.call_records(spark, sf), alloc, b.SINCE, b.BEFORE
+    window = Era(b.SINCE, b.BEFORE)
+    return build_calls(
+        all_turns, b.call_records(spark, sf), b.sip_records(spark, sf),
+        b.extensions(spark, sf), b.roster(spark, sf), b.allocations(spark, sf),
+        b.CUTOFF, window, window, b.BEFORE, "group",
     )
-    late = calls.calls_from_records(
-        late_turns, agents_of_calls, alloc, b.SINCE, b.BEFORE, case_from_record=True
-    )
-    return calls.union_eras(early, late)
 
 
 def enriched_calls(spark: SparkSession, sf: str, all_turns: DataFrame) -> DataFrame:
@@ -680,14 +674,14 @@ def t1_tokenize(spark, sf):
 
 @query
 def t1_tokenize_documents(spark, sf):
-    cut = t.tokenize(tables.read_table(spark, sf, "documents"), "text", SPOKEN_WORDS)
+    cut = t.tokenize(b.documents(spark, sf), "text", SPOKEN_WORDS)
     return cut.select("doc_id", F.size("tokens").alias("n_tokens"))
 
 
 @query
 def t2_clean_english(spark, sf):
     cleaned = t.clean_english(
-        tables.read_table(spark, sf, "documents").filter(F.col("lang") == "en"),
+        b.documents(spark, sf).filter(F.col("lang") == "en"),
         "text", STOPWORDS, LEMMAS,
     )
     return cleaned.select("doc_id", F.array_join("tokens", " ").alias("clean"))
@@ -707,27 +701,27 @@ def t2_lemmatize(spark, sf):
 
 @query
 def t3_remove_stopwords(spark, sf):
-    documents = tables.read_table(spark, sf, "documents")
+    documents = b.documents(spark, sf)
     kept = t.remove_stopwords(F.split(F.lower("text"), " "), STOPWORDS)
     return documents.select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
 @query
 def t4_strip_accents(spark, sf):
-    return tables.read_table(spark, sf, "documents").select(
+    return b.documents(spark, sf).select(
         "doc_id", t.strip_accents(F.col("text")).alias("plain")
     )
 
 
 @query
 def t4_strip_accents_full(spark, sf):
-    return tables.read_table(spark, sf, "documents").select(
+    return b.documents(spark, sf).select(
         "doc_id", t.strip_accents_full(F.col("text")).alias("plain")
     )
 
 
 def _terms(spark, sf):
-    documents = tables.read_table(spark, sf, "documents").withColumnRenamed("source", "owner_id")
+    documents = b.documents(spark, sf).withColumnRenamed("source", "owner_id")
     return vocabulary.term_rows(
         documents, ["owner_id", "lang", "doc_id"], t.matrix_terms(F.col("text")), STOPWORDS
     )
@@ -761,7 +755,7 @@ def t6_doc_term_counts_by_agent(spark, sf):
 
 def _probabilities(spark, sf):
     """Documents with a topic probability derived from their length."""
-    return tables.read_table(spark, sf, "documents").select(
+    return b.documents(spark, sf).select(
         "doc_id",
         F.col("source").alias("owner_id"),
         F.when(F.col("n_chars") % 19 != 0, F.col("n_chars") % 101 / 100.0).alias("topic0_prob"),
@@ -778,7 +772,7 @@ def _language_weights(spark, sf):
 
 
 def _token_docs(spark, sf):
-    documents = tables.read_table(spark, sf, "documents")
+    documents = b.documents(spark, sf)
     return documents.select(
         "doc_id", "source",
         t.remove_stopwords(t.matrix_terms(F.col("text")), STOPWORDS).alias("tokens"),
@@ -793,7 +787,7 @@ def l1_fit_topics(spark, sf):
 
 @query
 def l2_fit_topics_by_agent(spark, sf):
-    documents = tables.read_table(spark, sf, "documents").select(
+    documents = b.documents(spark, sf).select(
         F.col("source").alias("owner_id"), "doc_id"
     )
     fitted = group_topics.fit_topics_by_group(
@@ -833,7 +827,7 @@ def l5_topic_share(spark, sf):
 def l6_topic_term_relevance(spark, sf):
     """Topic explorer figures with the languages as topics."""
     terms = _terms(spark, sf)
-    in_topics = tables.read_table(spark, sf, "documents").select(
+    in_topics = b.documents(spark, sf).select(
         "doc_id", F.col("lang").alias("topic"), F.lit(1.0).alias("probability")
     )
     lengths = terms.groupBy("doc_id").agg(F.count("*").alias("length"))
