@@ -97,7 +97,11 @@ def first_characters(pattern: str) -> set[str] | None:
 
 
 def _ahead(chars: set[str]) -> str:
+    """Look-ahead for one of ``chars``. A class of Han characters is tested one by
+    one, so the test for the Han block comes first."""
     inside = "".join(re.sub(r"([\\\]\[^&-])", r"\\\1", c) for c in sorted(chars))
+    if len(chars) > 2 and all("\u4e00" <= c <= "\u9fa5" for c in chars):
+        return f"(?=[\u4e00-\u9fa5&&[{inside}]])"
     return f"(?=[{inside}])"
 
 

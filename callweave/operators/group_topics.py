@@ -75,22 +75,25 @@ def infer(
     """
     k = beta.shape[0]
     entry_beta = beta[:, term]
-    gamma = np.ones((n_docs, k))
-    theta = exp_expected_log(gamma)
+    gamma = np.ones((k, n_docs))
+    theta = exp_expected_log(gamma.T).T
     active = np.ones(n_docs, dtype=bool)
+    listed = n_docs
     for _ in range(INNER_PASSES):
-        use = active[doc]
-        d, b, c = doc[use], entry_beta[:, use], count[use]
-        ratio = c / ((theta[d].T * b).sum(axis=0) + np.finfo(float).eps)
-        sums = np.stack([np.bincount(d, ratio * b[t], n_docs) for t in range(k)], axis=1)
-        updated = theta * sums + 1.0 / k
-        change = np.abs(updated - gamma).mean(axis=1)
-        gamma[active] = updated[active]
-        theta[active] = exp_expected_log(gamma[active])
-        active &= change >= TOLERANCE
+        if active.sum() < 0.7 * listed:  # drop the entries of finished documents
+            use = active[doc]
+            doc, entry_beta, count = doc[use], entry_beta[:, use], count[use]
+            listed = active.sum()
+        ratio = count / ((theta[:, doc] * entry_beta).sum(axis=0) + np.finfo(float).eps)
+        sums = np.stack([np.bincount(doc, ratio * row, n_docs) for row in entry_beta])
+        updated = (theta * sums + 1.0 / k)[:, active]
+        change = np.abs(updated - gamma[:, active]).mean(axis=0)
+        gamma[:, active] = updated
+        theta[:, active] = exp_expected_log(updated.T).T
+        active[active] = change >= TOLERANCE
         if not active.any():
             break
-    return gamma, theta
+    return gamma.T, theta.T
 
 
 def contributions(

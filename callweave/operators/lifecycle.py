@@ -34,15 +34,15 @@ def complete_calls(
     cutoff: str,
     early_min_seconds: int | None = 10,
     min_seconds: int = 10,
-    distinct: bool = True,
+    distinct: bool = False,
 ) -> DataFrame:
     """Calls whose case was followed from its start.
 
     Up to ``cutoff`` only cases opened in that time, from their first call on;
     after it all calls. Only calls strictly longer than the given seconds count
     (``early_min_seconds=None``: any length up to the cut-off). Each branch
-    reads its own dates. ``distinct=False`` skips the removal of duplicate rows,
-    for input known to have one row per call.
+    reads its own dates. The branches do not overlap and ``call_features`` has one
+    row per call; for input with repeated rows ``distinct`` removes them.
     """
     early = features.filter(F.col("dt") <= cutoff)
     if early_min_seconds is not None:
@@ -65,7 +65,7 @@ def contact_order(calls: DataFrame) -> DataFrame:
 
 
 def lifecycle_base(
-    features: DataFrame, cutoff: str, distinct: bool = True, first_only: bool = False
+    features: DataFrame, cutoff: str, distinct: bool = False, first_only: bool = False
 ) -> DataFrame:
     """Complete calls with contact class and their ordinal within it.
 
@@ -87,7 +87,7 @@ def lifecycle_histogram(
     contact: str | None = None,
     early_min_seconds: int | None = 10,
     min_seconds: int = 10,
-    distinct: bool = True,
+    distinct: bool = False,
 ) -> DataFrame:
     """How many allocations were followed for how many days with how many calls.
 

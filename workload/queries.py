@@ -53,7 +53,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def conversation_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The turn table and the enriched call table, both stored."""
     all_turns = stored(b.turns(spark, sf), "turns")
-    return all_turns, stored(enriched_calls(spark, sf, all_turns), "calls-plus")
+    plus = stored(enriched_calls(spark, sf, all_turns), "calls-plus")
+    return tables.spread(all_turns, "callid"), plus
 
 
 def call_table(spark: SparkSession, sf: str, all_turns: DataFrame) -> DataFrame:
@@ -452,7 +453,7 @@ def u1_union_eras(spark, sf):
 
 @query
 def u2_complete_calls(spark, sf):
-    return rounded(lifecycle.complete_calls(stored_features(spark, sf), b.CUTOFF))
+    return rounded(lifecycle.complete_calls(stored_features(spark, sf), b.CUTOFF, distinct=True))
 
 
 @query
