@@ -66,7 +66,7 @@ def calls_with_rank(calls: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def only_agents(df: DataFrame, agents: DataFrame) -> DataFrame:
     """Rows of the listed agents."""
-    return df.join(agents.select("owner_id"), "owner_id", "left_semi")
+    return df.join(agents.select("owner_id").distinct(), "owner_id", "left_semi")
 
 
 def first_agent(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def extract_transcripts(
 
     Agents are those with a call in that month. One query for all agents.
     """
-    owners = in_month(calls_plus, "file_date", month).select("owner_id").distinct()
+    owners = in_month(calls_plus, "file_date", month)
     attributes = only_agents(calls_plus, owners).drop("file_date")
     texts = call_text(turns, month, channel).join(attributes, "callid")
     ranks = rank_agents(agent_performance(performance, model_like))

@@ -14,4 +14,4 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` without a partner in ``right``."""
-    return left.join(right.select(*keys), list(keys), "left_anti")
+    return left.join(right.select(*keys).distinct(), list(keys), "left_anti")

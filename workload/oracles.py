@@ -201,9 +201,10 @@ union select {CALL_COLUMNS} from event_calls_allocated where file_date > '{CUTOF
     "u3_append": """select owner_id, callid from event_calls
 where owner_id = (select min(owner_id) from event_calls)
 union all select owner_id, callid from event_calls""",
-    "f_scalars": r"""select new_name, seg_no, try_cast(split_part(new_name, '_', 3) as int)
+    "f_scalars": r"""select new_name, cast(seg_no as int) as seg_no, try_cast(split_part(new_name, '_', 3) as int)
   as turn_number, try_cast(split_part(rt_text, '_', 1) as int) as no_number,
-  strlen(rt_text) as bytes, strlen(rt_text) // 3 as chars_of_three, length(rt_text) as chars,
+  cast(strlen(rt_text) as int) as bytes, strlen(rt_text) // 3 as chars_of_three,
+  cast(length(rt_text) as int) as chars,
   substr(rt_text, 1, 7) as head, rt_text like '%电话%' as has_phone,
   regexp_matches(rt_text, '[0-9]|你') as has_you,
   regexp_replace(lower(rt_text), '[[:punct:]]', '', 'g') as bare from segments""",
