@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callweave.functions.columns import case_age, relation_class
@@ -101,53 +103,67 @@ def asof_allocation(
     An allocation of the same day counts even when it is later than the call.
     Calls without one are dropped. Adds ``time_mark`` (timestamp) and
     ``allocated_case``; ties of ``time_mark`` go to the larger case number.
+    """
+    candidates = allocations_in(allocations, since, before, overdue)
+    return latest_up_to_day(calls, candidates, ["user_id"])
+
+
+def latest_up_to_day(
+    calls: DataFrame, allocations: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """The matching of :func:`asof_allocation` for allocations already selected.
+
+    ``keys`` are columns of both sides, the user of an allocation being named
+    ``user_id`` or ``borrow_user_id``.
 
     Matching is by calendar day, so both sides are first reduced to one row per
-    user and day. The running latest allocation is computed on these day rows
+    key and day. The running latest allocation is computed on these day rows
     only, at most one per calendar day and side for a user, however many calls
     or allocations a user has. Calls then fetch their day by an equi-join with
     unique right side; pairs of calls and allocations never arise.
     """
     per_day = (
-        allocations_in(allocations, since, before, overdue)
-        .groupBy(F.col("borrow_user_id").alias("user_id"), F.to_date("time_mark").alias("day"))
+        allocations.withColumnRenamed("borrow_user_id", "user_id")
+        .groupBy(*keys, F.to_date("time_mark").alias("__day"))
         .agg(F.max(F.struct("time_mark", "dun_case_id")).alias("mark"))
+        .withColumn("asked", F.lit(False))
     )
     call_days = (
-        calls.select("user_id", F.to_date("ringtime").alias("day"))
+        calls.select(*keys, F.to_date("ringtime").alias("__day"))
         .distinct()
         .withColumn("mark", F.lit(None).cast(per_day.schema["mark"].dataType))
         .withColumn("asked", F.lit(True))
     )
     upto_day = (
-        Window.partitionBy("user_id")
-        .orderBy("day")
+        Window.partitionBy(*keys)
+        .orderBy("__day")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     latest = (
-        per_day.withColumn("asked", F.lit(False))
-        .unionByName(call_days)
+        per_day.unionByName(call_days)
         .withColumn("latest", F.max("mark").over(upto_day))
         .filter(F.col("asked") & F.col("latest").isNotNull())
         .select(
-            "user_id",
-            F.col("day").alias("__day"),
+            *keys,
+            "__day",
             F.col("latest.time_mark").alias("time_mark"),
             F.col("latest.dun_case_id").alias("allocated_case"),
         )
     )
     return (
         calls.withColumn("__day", F.to_date("ringtime"))
-        .join(latest, ["user_id", "__day"])
+        .join(latest, [*keys, "__day"])
         .drop("__day")
     )
 
 
-def latest_per_call(calls: DataFrame) -> DataFrame:
+def latest_per_call(
+    calls: DataFrame, keys: Sequence[str] = ("callid", "user_id")
+) -> DataFrame:
     """One row per call and user: the one with the latest allocation."""
     return first_of_group(
         calls,
-        ["callid", "user_id"],
+        keys,
         [
             F.col("time_mark").desc(),
             F.col("dun_case_id").desc(),
@@ -162,42 +178,9 @@ def latest_per_call(calls: DataFrame) -> DataFrame:
     )
 
 
-def calls_from_records(
-    turns: DataFrame,
-    records: DataFrame,
-    allocations: DataFrame,
-    since: str,
-    before: str,
-    overdue: tuple[int, int] = (31, 60),
-    case_from_record: bool = False,
-) -> DataFrame:
-    """Calls of one record system with their allocation.
-
-    The case number comes from the allocation, or with ``case_from_record``
-    from the record, which must then have one.
-    """
-    attached = attach_call(turns, records, distinct=False)
-    if case_from_record:
-        attached = not_null(attached, "dun_case_id")
-        matched = asof_allocation(attached, allocations, since, before, overdue)
-    else:
-        matched = asof_allocation(
-            attached.drop("dun_case_id"), allocations, since, before, overdue
-        ).withColumnRenamed("allocated_case", "dun_case_id")
-    return (
-        latest_per_call(matched)
-        .withColumn("time_mark", F.to_date("time_mark"))
-        .select(*CALL_COLUMNS)
-    )
-
-
-def union_eras(early: DataFrame, late: DataFrame, distinct: bool = True) -> DataFrame:
-    """Calls of both eras, without duplicate rows.
-
-    ``distinct=False`` for eras known not to overlap.
-    """
-    both = early.unionByName(late)
-    return both.distinct() if distinct else both
+def union_eras(early: DataFrame, late: DataFrame) -> DataFrame:
+    """Calls of both eras, without duplicate rows."""
+    return early.unionByName(late).distinct()
 
 
 def closest_relation(directory: DataFrame) -> DataFrame:

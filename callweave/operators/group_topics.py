@@ -234,7 +234,7 @@ def fit_topics_by_group(
     lists all documents (``group, key``): those without a known term belong to
     all topics alike.
 
-    Chunks and the weights after each pass are written to ``work_dir``, by
+    Counts, chunks and the weights after each pass are written to ``work_dir``, by
     default below the shared folder of the session: each pass starts from
     files, and a lost executor costs part of one pass. The weights' size on file
     decides whether Spark broadcasts them or joins by shuffle.
@@ -242,10 +242,10 @@ def fit_topics_by_group(
     spark = terms.sparkSession
     work = work_dir or f"{shared_dir(spark)}/group-topics-{uuid.uuid4().hex}"
     by_term = Window.partitionBy(group).orderBy("term")
-    counts = doc_term_counts(terms, [group, key])
+    counts = materialize(doc_term_counts(terms, [group, key]), f"{work}/counts")
     listed = documents if documents is not None else counts.select(group, key).distinct()
     vocab = materialize(
-        vocabulary_by(terms, group, max_features).withColumn(
+        vocabulary_by(counts, group, max_features, "cnt").withColumn(
             "term_no", F.row_number().over(by_term) - 1
         ),
         f"{work}/vocabulary",

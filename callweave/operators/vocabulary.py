@@ -15,22 +15,29 @@ def term_rows(
     return rows.filter(~F.col("term").isin(list(stopwords))) if stopwords else rows
 
 
-def vocabulary(terms: DataFrame, max_features: int | None = 1000) -> DataFrame:
+def _total(count: str | None) -> Column:
+    return (F.count("*") if count is None else F.sum(count)).alias("total")
+
+
+def vocabulary(
+    terms: DataFrame, max_features: int | None = 1000, count: str | None = None
+) -> DataFrame:
     """Terms with their corpus count, the most frequent ones: ``term, total``.
 
-    Equal counts are decided by the term.
+    ``count`` names the column of counts where the rows are not occurrences.
+    Equal totals are decided by the term.
     """
-    totals = terms.groupBy("term").agg(F.count("*").alias("total"))
+    totals = terms.groupBy("term").agg(_total(count))
     if max_features is None:
         return totals
     return totals.orderBy(F.col("total").desc(), "term").limit(max_features)
 
 
 def vocabulary_by(
-    terms: DataFrame, group: str, max_features: int = 1000
+    terms: DataFrame, group: str, max_features: int = 1000, count: str | None = None
 ) -> DataFrame:
     """A vocabulary of its own per group: ``group, term, total``."""
-    totals = terms.groupBy(group, "term").agg(F.count("*").alias("total"))
+    totals = terms.groupBy(group, "term").agg(_total(count))
     best = Window.partitionBy(group).orderBy(F.col("total").desc(), "term")
     return (
         totals.withColumn("__rank", F.row_number().over(best))
@@ -48,7 +55,26 @@ def doc_term_counts(
     be one for all, or one per group when it has a column of the keys.
     """
     counts = terms.groupBy(*keys, "term").agg(F.count("*").alias("cnt"))
-    if vocab is None:
-        return counts
+    return counts if vocab is None else known_terms(counts, vocab, keys)
+
+
+def known_terms(counts: DataFrame, vocab: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts of the terms in the vocabulary."""
     on = [c for c in vocab.columns if c in keys] + ["term"]
     return counts.join(vocab.select(*on), on, "left_semi").select(*keys, "term", "cnt")
+
+
+def term_matrix(
+    terms: DataFrame, keys: Sequence[str], max_features: int = 1000, group: str | None = None
+) -> DataFrame:
+    """Counts over the most frequent terms, of the corpus or of each ``group``.
+
+    The vocabulary is made from the counts, so both come from one exchange: the
+    texts are read and split once.
+    """
+    counts = doc_term_counts(terms, keys)
+    if group is None:
+        vocab = vocabulary(counts, max_features, "cnt")
+    else:
+        vocab = vocabulary_by(counts, group, max_features, "cnt")
+    return known_terms(counts, vocab, keys)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from callweave.functions.predicates import split_era
-from callweave.operators.calls import calls_from_records, resolve_agent, union_eras
+from callweave.functions.predicates import not_null, split_era
+from callweave.operators.calls import (
+    CALL_COLUMNS, allocations_in, attach_call, latest_per_call, latest_up_to_day, resolve_agent,
+)
 
 
 @dataclass(frozen=True)
@@ -39,20 +41,37 @@ def build_calls(
     the agent from the day's roster. ``as_of`` is the day of the run: roster days
     from then on are not read.
 
-    The eras do not overlap and each yields a call and user once, so neither
-    the records nor the union need a separate removal of duplicates.
+    Both eras are matched with their allocations in one go, the era being part of
+    the key. An era yields a call and user once and the eras do not overlap, so
+    neither the records nor the result need a separate removal of duplicates.
     """
     early_turns, late_turns = split_era(turns, cutoff)
     answered = resolve_agent(
         sip, extensions, roster, late.since, as_of, group_like, distinct=False
     )
-    return union_eras(
-        calls_from_records(
-            early_turns, records, allocations, early.since, early.before, early.overdue
-        ),
-        calls_from_records(
-            late_turns, answered, allocations, late.since, late.before, late.overdue,
-            case_from_record=True,
-        ),
-        distinct=False,
+    is_early = F.col("era") == "early"
+    recorded = (
+        attach_call(early_turns, records, distinct=False)
+        .withColumn("dun_case_id", F.lit(None).cast("long"))
+        .withColumn("era", F.lit("early"))
+        .unionByName(
+            not_null(attach_call(late_turns, answered, distinct=False), "dun_case_id")
+            .withColumn("dun_case_id", F.col("dun_case_id").cast("long"))
+            .withColumn("era", F.lit("late"))
+        )
+    )
+    candidates = allocations_in(
+        allocations, early.since, early.before, early.overdue
+    ).withColumn("era", F.lit("early")).unionByName(
+        allocations_in(allocations, late.since, late.before, late.overdue).withColumn(
+            "era", F.lit("late")
+        )
+    )
+    matched = latest_up_to_day(recorded, candidates, ["era", "user_id"]).withColumn(
+        "dun_case_id", F.when(is_early, F.col("allocated_case")).otherwise(F.col("dun_case_id"))
+    )
+    return (
+        latest_per_call(matched, ["era", "callid", "user_id"])
+        .withColumn("time_mark", F.to_date("time_mark"))
+        .select(*CALL_COLUMNS)
     )

@@ -740,15 +740,14 @@ def t5_vocabulary_by_agent(spark, sf):
 
 @query
 def t6_doc_term_counts(spark, sf):
-    terms = _terms(spark, sf)
-    return vocabulary.doc_term_counts(terms, ["doc_id"], vocabulary.vocabulary(terms, 1000))
+    return vocabulary.term_matrix(_terms(spark, sf), ["doc_id"], 1000)
 
 
 @query
 def t6_doc_term_counts_by_agent(spark, sf):
-    terms = _terms(spark, sf)
-    vocab = vocabulary.vocabulary_by(terms, "owner_id", 200)
-    return vocabulary.doc_term_counts(terms, ["owner_id", "doc_id"], vocab)
+    return vocabulary.term_matrix(
+        _terms(spark, sf), ["owner_id", "doc_id"], 200, group="owner_id"
+    )
 
 
 # --- topics ------------------------------------------------------------------
@@ -827,14 +826,17 @@ def l5_topic_share(spark, sf):
 @query
 def l6_topic_term_relevance(spark, sf):
     """Topic explorer figures with the languages as topics."""
-    terms = _terms(spark, sf)
-    in_topics = b.documents(spark, sf).select(
+    counts = stored(
+        vocabulary.doc_term_counts(_terms(spark, sf), ["lang", "doc_id"]), "counts"
+    )
+    weights = counts.groupBy(F.col("lang").alias("topic"), "term").agg(
+        F.sum("cnt").cast("double").alias("weight")
+    )
+    in_topics = tables.read_table(spark, sf, "documents").select(
         "doc_id", F.col("lang").alias("topic"), F.lit(1.0).alias("probability")
     )
-    lengths = terms.groupBy("doc_id").agg(F.count("*").alias("length"))
+    lengths = counts.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
     sizes = topics.topic_sizes(in_topics, lengths, "doc_id")
     return rounded(
-        topics.topic_term_relevance(
-            _language_weights(spark, sf), vocabulary.vocabulary(terms, None), sizes
-        )
+        topics.topic_term_relevance(weights, vocabulary.vocabulary(counts, None, "cnt"), sizes)
     )
