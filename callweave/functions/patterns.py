@@ -24,6 +24,8 @@ CLAUSE_OPENING = "(，|。|！|？)?[^，。！？]*"
 #: Anything before a match on the first line.
 LINE_OPENING = "^.*"
 WIDEST_RANGE = 64
+#: Beyond this many words one scan with the pattern is cheaper than word searches.
+MOST_WORDS = 10
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -88,12 +90,71 @@ def _first_of_item(op, value) -> tuple[set[str], bool] | None:
 
 def first_characters(pattern: str) -> set[str] | None:
     """All characters a match can start with; ``None`` when unknown or empty."""
+    parsed = _parsed(pattern)
+    step = parsed and _first(parsed)
+    return step[0] if step and not step[1] else None
+
+
+def _needed(items) -> set[str] | None:
+    """Words of which every match of a parsed sequence contains one; the fewest found."""
+    choices: list[set[str]] = []
+    run = ""
+    for op, value in items:
+        if op is sre.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            choices.append({run})
+            run = ""
+        if op is sre.SUBPATTERN:
+            words = _needed(value[-1])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and value[0] > 0:
+            words = _needed(value[2])
+        elif op is sre.BRANCH:
+            parts = [_needed(part) for part in value[1]]
+            words = None if None in parts else set().union(*parts)
+        elif op is sre.IN and all(kind is sre.LITERAL for kind, _ in value):
+            words = {chr(member) for _, member in value}
+        else:
+            words = None
+        if words:
+            choices.append(words)
+    if run:
+        choices.append({run})
+    return min(choices, key=lambda w: (len(w), -min(map(len, w))), default=None)
+
+
+def _parsed(pattern: str):
     python_form = re.sub(r"\\x\{([0-9a-fA-F]{4})\}", r"\\u\1", pattern)
     try:
-        step = _first(sre.parse(python_form))
+        return sre.parse(python_form)
     except re.error:
         return None
-    return step[0] if step and not step[1] else None
+
+
+def needed_words(patterns: Sequence[str]) -> list[str] | None:
+    """Words of which a text contains at least one if any pattern is found in it.
+
+    ``None`` when there are no such words, or too many to search for one by one.
+    """
+    words: set[str] = set()
+    for pattern in patterns:
+        parsed = _parsed(pattern)
+        found = parsed and _needed(parsed)
+        if not found:
+            return None
+        words |= found
+    shortest = {w for w in words if not any(o != w and o in w for o in words)}
+    return sorted(shortest) if len(shortest) <= MOST_WORDS else None
+
+
+def plain_words(patterns: Sequence[str]) -> tuple[list[str], tuple[str, ...]]:
+    """Alternatives that are words without pattern characters, and the others."""
+    parts = list(dict.fromkeys(a for p in patterns for a in alternatives(p)))
+    words = [p for p in parts if not re.search(r"[\\^$.|?*+()\[\]{}]", p)]
+    if len(words) > MOST_WORDS:
+        return [], tuple(parts)
+    return words, tuple(p for p in parts if p not in words)
 
 
 def _ahead(chars: set[str]) -> str:

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from decimal import Decimal
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
 from callweave.functions.columns import SELF, TRUE
-from callweave.functions.patterns import one_scan
+from callweave.functions.patterns import needed_words, one_scan, plain_words
 
 @dataclass(frozen=True)
 class Trigger:
@@ -78,9 +80,23 @@ def with_trigger_speaker(rules: Iterable[Rule], name: str, speaker: str) -> tupl
     )
 
 
+def _contains_any(content: Column, words: Iterable[str]) -> Column:
+    return reduce(or_, [content.contains(w) for w in words])
+
+
 def occurs(content: Column, *patterns: str) -> Column:
-    """Whether any of ``patterns`` is found anywhere in ``content``."""
-    return content.rlike(one_scan(patterns))
+    """Whether any of ``patterns`` is found anywhere in ``content``.
+
+    Plain words are searched for as such. The pattern matcher runs only on texts
+    with one of the words that every match contains, and once for all patterns.
+    """
+    words, others = plain_words(patterns)
+    tests = [_contains_any(content, words)] if words else []
+    if others:
+        scan = content.rlike(one_scan(others))
+        needed = needed_words(others)
+        tests.append(_contains_any(content, needed) & scan if needed else scan)
+    return reduce(or_, tests)
 
 
 def _score(rule: Rule, content: Column) -> Column:

@@ -109,12 +109,16 @@ def asof_allocation(
 
 
 def latest_up_to_day(
-    calls: DataFrame, allocations: DataFrame, keys: Sequence[str]
+    calls: DataFrame,
+    allocations: DataFrame,
+    keys: Sequence[str],
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """The matching of :func:`asof_allocation` for allocations already selected.
 
     ``keys`` are columns of both sides, the user of an allocation being named
-    ``user_id`` or ``borrow_user_id``.
+    ``user_id`` or ``borrow_user_id``. ``asked`` may give the keys and ``ringtime``
+    of the calls, or of more calls, where that is cheaper to read than ``calls``.
 
     Matching is by calendar day, so both sides are first reduced to one row per
     key and day. The running latest allocation is computed on these day rows
@@ -129,7 +133,8 @@ def latest_up_to_day(
         .withColumn("asked", F.lit(False))
     )
     call_days = (
-        calls.select(*keys, F.to_date("ringtime").alias("__day"))
+        (calls if asked is None else asked)
+        .select(*keys, F.to_date("ringtime").alias("__day"))
         .distinct()
         .withColumn("mark", F.lit(None).cast(per_day.schema["mark"].dataType))
         .withColumn("asked", F.lit(True))

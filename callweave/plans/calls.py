@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from callweave.functions.predicates import not_null, split_era
+from callweave.functions.predicates import in_window, not_null, split_era
 from callweave.operators.calls import (
     CALL_COLUMNS, allocations_in, attach_call, latest_per_call, latest_up_to_day, resolve_agent,
 )
@@ -42,7 +42,8 @@ def build_calls(
     from then on are not read.
 
     Both eras are matched with their allocations in one go, the era being part of
-    the key. An era yields a call and user once and the eras do not overlap, so
+    the key. The days asked for come straight from the record tables, not from the
+    joined calls. An era yields a call and user once and the eras do not overlap, so
     neither the records nor the result need a separate removal of duplicates.
     """
     early_turns, late_turns = split_era(turns, cutoff)
@@ -67,7 +68,12 @@ def build_calls(
             "era", F.lit("late")
         )
     )
-    matched = latest_up_to_day(recorded, candidates, ["era", "user_id"]).withColumn(
+    asked = records.select("user_id", "ringtime", F.lit("early").alias("era")).unionByName(
+        in_window(sip, "createtime", late.since).select(
+            F.col("ud_1").try_cast("int").alias("user_id"), "ringtime", F.lit("late").alias("era")
+        )
+    )
+    matched = latest_up_to_day(recorded, candidates, ["era", "user_id"], asked).withColumn(
         "dun_case_id", F.when(is_early, F.col("allocated_case")).otherwise(F.col("dun_case_id"))
     )
     return (

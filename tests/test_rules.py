@@ -4,8 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.functions.patterns import alternatives, first_characters, one_scan
-from callweave.functions.rules import Rule, Trigger, with_trigger_speaker
+from callweave.functions.patterns import (
+    alternatives, first_characters, needed_words, one_scan, plain_words,
+)
+from callweave.functions.rules import Rule, Trigger, occurs, with_trigger_speaker
 from callweave.functions.rules_zh import (
     AGENT_RULES, AGENT_SEQUENCE, MANDARIN, TIME_PHRASES, USER_RULES, USER_SEQUENCE,
 )
@@ -157,10 +159,11 @@ def test_one_scan_matches_the_same_texts(spark):
         for p in patterns:
             plain = plain | content.rlike(p)
         differing.append(F.count_if(plain != content.rlike(one_scan(patterns))))
+        differing.append(F.count_if(plain != occurs(content, *patterns)))
     hits = [F.count_if(content.rlike(one_scan(g))) for g in groups]
     row = df.agg(*differing, *hits).first()
-    assert sum(row[: len(groups)]) == 0
-    assert sum(n > 0 for n in row[len(groups):]) > 0.9 * len(groups)
+    assert sum(row[: len(differing)]) == 0
+    assert sum(n > 0 for n in row[len(differing):]) > 0.9 * len(groups)
 
 
 def test_pattern_helpers():
@@ -170,6 +173,9 @@ def test_pattern_helpers():
     assert first_characters("a*") is None
     assert first_characters(r"[\x{4e00}-\x{9fa5}]") is None
     assert one_scan(("^.*ab.*",)) == "^.*(?=[a])ab"
+    assert needed_words(("x?(ab|cd)[^e]*(f|gh)?", "ab+c")) == ["a", "cd"]
+    assert needed_words(("ab", "[^x]*")) is None
+    assert plain_words(("ab|c.",)) == (["ab"], ("c.",))
 
 
 def test_sequences(spark):

@@ -829,8 +829,11 @@ def l6_topic_term_relevance(spark, sf):
     counts = stored(
         vocabulary.doc_term_counts(_terms(spark, sf), ["lang", "doc_id"]), "counts"
     )
-    weights = counts.groupBy(F.col("lang").alias("topic"), "term").agg(
-        F.sum("cnt").cast("double").alias("weight")
+    weights = stored(
+        counts.groupBy(F.col("lang").alias("topic"), "term").agg(
+            F.sum("cnt").cast("double").alias("weight")
+        ),
+        "weights",
     )
     in_topics = tables.read_table(spark, sf, "documents").select(
         "doc_id", F.col("lang").alias("topic"), F.lit(1.0).alias("probability")
