@@ -4,26 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import exact_dedup, line_quality, mixing
+from callweave.llm import (
+    exact_dedup, language, line_quality, mixing, near_dedup, packing, toxicity,
+)
 from callweave.llm.common import documents
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir)).drop("source")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.class_report(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity_report(documents(spark, sf_dir), labels)
+
+
+def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_report(documents(spark, sf_dir))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_report(documents(spark, sf_dir))
 
 
 QUERIES = {
-    "op1_mix_sources": op1_mix_sources,
-    "op6_exact_dedup": op6_exact_dedup,
-    "op8_quality_rules": op8_quality_rules,
+    query.__name__: query
+    for query in (
+        op1_mix_sources, op2_near_dedup, op3_toxicity, op5_best_two_fit, op6_exact_dedup,
+        op7_language, op8_quality_rules,
+    )
 }
 
 SQL: dict[str, str] = {

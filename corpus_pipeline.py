@@ -8,8 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import exact_dedup, mixing
+from callweave.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from callweave.llm.common import documents, run_folder, stored
+from callweave.llm.queries import vocabulary
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +23,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near copies stays."""
+    return near_dedup.keep_one(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source to its target, by whole epochs and a weighted selection."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mixing", mixed)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document stands in the training sequences."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", clean), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed),
+    ("packing", packed),
+]
 
 #: Packing and the learned scores have no SQL form; the tests hold the stages
 #: against brute-force versions.
