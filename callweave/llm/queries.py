@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm import (
-    exact_dedup, language, line_quality, mixing, near_dedup, packing, toxicity,
+    chat, exact_dedup, language, line_quality, mixing, near_dedup, packing, tokenbin, toxicity,
 )
-from callweave.llm.common import documents
+from callweave.llm.common import documents, run_folder
+
+#: A conversation whose texts hold control strings, beside those of the table.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def vocabulary(name: str) -> str:
@@ -46,14 +49,32 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_report(documents(spark, sf_dir))
 
 
+def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)],
+        "conv_id long, turn long, role string, text string",
+    )
+    return chat.chat_report(table.unionByName(extra), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, target = vocabulary("byte_bpe_50k.json"), run_folder(spark, "token-files")
+    tokenbin.write(documents(spark, sf_dir), path, target)
+    return tokenbin.read(spark, target, path)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_mix_sources, op2_near_dedup, op3_toxicity, op5_best_two_fit, op6_exact_dedup,
-        op7_language, op8_quality_rules,
+        op7_language, op8_quality_rules, op9_chat_tree, op10_token_files,
     )
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]+"
+
 SQL: dict[str, str] = {
     "op6_exact_dedup": """
         select doc_id,
@@ -63,4 +84,60 @@ SQL: dict[str, str] = {
                                   order by doc_id desc nulls last) = 1 as kept,
                sha256(coalesce(text, '')) as text_sha256
         from documents""",
+    "op8_quality_rules": f"""
+        with d as (
+            select row_number() over () as r, doc_id, source, coalesce(text, '') as text
+            from documents),
+        w as (
+            select *, regexp_extract_all(text, '{_WORD}') as words,
+                   list_filter(string_split(text, chr(10)),
+                               lambda x: regexp_matches(x, '{_WORD}')) as lines
+            from d),
+        grams as (
+            select r, i, count(*) over (partition by r, words[i], words[i + 1], words[i + 2]) as n
+            from (select r, words, unnest(range(1, len(words) - 1)) as i from w)),
+        repeated as (
+            select r, count(distinct i + k) as n
+            from grams, (values (0), (1), (2)) as o(k) where n > 1 group by r),
+        l as (
+            select r, source, text, line,
+                   trim(regexp_replace(lower(line), '{_SPACE}', ' ', 'g'), ' ') as plain
+            from (select r, source, text, unnest(lines) as line from w)),
+        frequent as (
+            select source, plain from l group by source, plain having count(distinct text) > 10),
+        removed as (
+            select r, sum(len(regexp_extract_all(line, '{_WORD}'))) as n
+            from l join frequent f
+              on l.plain = f.plain and l.source is not distinct from f.source
+            group by r),
+        counted as (
+            select w.doc_id, len(words) as n_words,
+                   length(array_to_string(words, '')) as word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+                   len(lines) - len(list_distinct(lines)) as n_dup_lines,
+                   coalesce(repeated.n, 0) as n_repeat_words,
+                   coalesce(removed.n, 0)::bigint as words_removed
+            from w left join repeated using (r) left join removed using (r)),
+        judged as (
+            select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+            from counted)
+        select *, not base_failed and n_words - words_removed >= 50
+                  and words_removed <= 0.5 * n_words as kept
+        from judged""",
+    "op9_chat_tree": f"""
+        with t as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+            from conversations
+            union all select -7, 0, 'user', '{CONTROL_TEXT}'
+            union all select -7, 1, 'assistant', '{CONTROL_TEXT}')
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text))
+                   as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn, role, text)
+                               filter (role = 'assistant'), '')) as loss_sha256,
+               sum(length('### ' || regexp_replace(role, '(\\\\|###|</turn>|:)', '\\\\\\1', 'g') || ': ')
+                   + length(regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g'))
+                   + length('</turn>') + 1)::bigint as formatted_chars
+        from t group by conv_id""",
 }
