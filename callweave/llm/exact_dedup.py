@@ -70,11 +70,13 @@ def group_report(docs: DataFrame, text: str = "text", folder: str | None = None)
     return single.unionByName(repeated)
 
 
-def keep_one(docs: DataFrame, text: str = "text", folder: str | None = None) -> DataFrame:
+def keep_one(
+    docs: DataFrame, text: str = "text", folder: str | None = None, largest: bool = True
+) -> DataFrame:
     """The documents without their copies, all columns as they were.
 
     Which row of a group stays: the one with the largest doc_id, then the largest
-    values of the other columns that have an order.
+    values of the other columns that have an order; or the smallest, NULL ids last.
     """
     folder = folder or run_folder(docs.sparkSession, "exact-dedup")
     value = F.coalesce(F.col(text), F.lit(""))
@@ -84,7 +86,8 @@ def keep_one(docs: DataFrame, text: str = "text", folder: str | None = None) ->
     ]
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-        F.struct(*[F.col(f"`{c}`") for c in order]).alias("__order"),
+        F.struct(F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull(),
+                 *[F.col(f"`{c}`") for c in order]).alias("__order"),
         F.xxhash64(value).alias("__key"), F.sha2(value, 256).alias("__sha"),
     )
     keys = packed.select("__key")
@@ -94,5 +97,6 @@ def keep_one(docs: DataFrame, text: str = "text", folder: str | None = None) ->
     )
     blocks = bloom.blocks_for(repeated.count(), MAX_FILTER_BYTES)
     marked = bloom.probe(packed, "__key", bloom.build(repeated, "__key", blocks), blocks, "__maybe")
-    kept = marked.filter("__maybe").groupBy("__sha").agg(F.max_by("__row", "__order").alias("__row"))
+    best = F.max_by if largest else F.min_by
+    kept = marked.filter("__maybe").groupBy("__sha").agg(best("__row", "__order").alias("__row"))
     return marked.filter("not __maybe").select("__row").union(kept.select("__row")).select("__row.*")

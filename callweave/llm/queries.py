@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm import (
-    chat, exact_dedup, language, line_quality, mixing, near_dedup, packing, tokenbin, toxicity,
+    chat, exact_dedup, language, line_quality, mixing, near_dedup, packing, repeats, tokenbin,
+    toxicity,
 )
 from callweave.llm.common import documents, run_folder
 
@@ -33,6 +34,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(documents(spark, sf_dir), labels)
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(documents(spark, sf_dir))
+
+
 def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -67,8 +72,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_mix_sources, op2_near_dedup, op3_toxicity, op5_best_two_fit, op6_exact_dedup,
-        op7_language, op8_quality_rules, op9_chat_tree, op10_token_files,
+        op1_mix_sources, op2_near_dedup, op3_toxicity, op4_repeated_strings, op5_best_two_fit,
+        op6_exact_dedup, op7_language, op8_quality_rules, op9_chat_tree, op10_token_files,
     )
 }
 
