@@ -181,7 +181,7 @@ def mix(docs: DataFrame, text: str = "text", folder: str | None = None, **option
         "doc_id", "source", F.col(text).alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__document"),
     )
-    taken = with_copies(with_keys(packed).drop("text"), plan).filter("__copies > 0")
+    taken = with_copies(with_keys(packed).drop("text"), plan).filter("__copies > 0 and __size > 0")
     return taken.select(
         "__document", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")
     ).filter("__copy is not null").select("__document.*")

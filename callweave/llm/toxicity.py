@@ -107,7 +107,7 @@ def _count_batches(batches):
 def _fit(lists: list[np.ndarray], labels: np.ndarray, terms: int) -> tuple:
     """Adagrad over small batches in a fixed order; the sample is bounded."""
     rng = np.random.default_rng(11)
-    share = (labels.mean() * len(labels) + 1) / (len(labels) + 2)
+    share = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(share / (1 - share)))
     weights, vectors = np.zeros(terms), rng.normal(0, 0.02, (terms, FACTORS))
     seen_b, seen_w, seen_v = 1e-6, np.full(terms, 1e-6), np.full((terms, FACTORS), 1e-6)
