@@ -5,6 +5,9 @@ character. Most characters cannot start a match, so each pattern gets a
 look-ahead for its possible first characters: one class test then decides most
 positions, and several patterns can share one scan of the text. A match is found
 in exactly the same texts.
+
+Only patterns whose every construct means the same to the parser used here and to the
+matcher are rewritten, see :func:`understood`; all others stay as they are.
 """
 
 from __future__ import annotations
@@ -28,6 +31,32 @@ WIDEST_RANGE = 64
 MOST_WORDS = 10
 
 
+#: Flags, look-around, named groups, references, quotes and escapes that either stand for
+#: something else in the two syntaxes or tie a part of a pattern to another part.
+_SPECIAL = re.compile(r"\(\?(?!:)|\\[0-9kQEGXRNzZabcehvHVpP]|\[\^?\]|\\\\x|\{,")
+
+
+@lru_cache(maxsize=None)
+def understood(pattern: str) -> bool:
+    """Whether a pattern may be split and guarded without changing what it finds."""
+    if _SPECIAL.search(pattern) or _parsed(pattern) is None:
+        return False
+    in_class, escaped, before = False, False, ""
+    for char in pattern:
+        if escaped:
+            escaped, before = False, ""
+            continue
+        if in_class and (char == "[" or char == before == "&"):
+            return False  # classes inside classes, intersections
+        escaped = char == "\\"
+        if char == "[":
+            in_class = True
+        elif char == "]":
+            in_class = False
+        before = char
+    return True
+
+
 def alternatives(pattern: str) -> list[str]:
     """The alternatives of a pattern's outermost level."""
     found, depth, in_class, escaped = [""], 0, False, False
@@ -127,9 +156,10 @@ def _needed(items) -> set[str] | None:
 def _parsed(pattern: str):
     python_form = re.sub(r"\\x\{([0-9a-fA-F]{4})\}", r"\\u\1", pattern)
     try:
-        return sre.parse(python_form)
-    except re.error:
+        parsed = sre.parse(python_form)
+    except (re.error, OverflowError):
         return None
+    return parsed if parsed.state.flags == re.UNICODE.value and parsed.state.groupdict == {} else None
 
 
 def needed_words(patterns: Sequence[str]) -> list[str] | None:
@@ -166,14 +196,21 @@ def _ahead(chars: set[str]) -> str:
     return f"(?=[{inside}])"
 
 
+def _opens(pattern: str, opening: str) -> bool:
+    """Whether the opening stands there as a whole, without a further quantifier."""
+    return pattern.startswith(opening) and pattern[len(opening) : len(opening) + 1] not in set("?+*{")
+
+
 def _guarded(pattern: str) -> tuple[str, set[str] | None]:
     """One alternative with its look-ahead, and its first characters."""
     opening = ""
-    while pattern.startswith(CLAUSE_OPENING):
+    while _opens(pattern, CLAUSE_OPENING):
         pattern = pattern[len(CLAUSE_OPENING):]
-    if pattern.startswith(LINE_OPENING):
+    if _opens(pattern, LINE_OPENING):
         opening, pattern = LINE_OPENING, pattern[len(LINE_OPENING):]
-    pattern = pattern.removesuffix(".*")
+    rest = pattern.removesuffix(".*")
+    if (len(rest) - len(rest.rstrip("\\"))) % 2 == 0:  # else the dot is escaped
+        pattern = rest
     chars = first_characters(pattern)
     guarded = opening + (_ahead(chars) if chars else "") + pattern
     return guarded, None if opening else chars

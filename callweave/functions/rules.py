@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, functions as F
 
 from callweave.functions.columns import SELF, TRUE
-from callweave.functions.patterns import needed_words, one_scan, plain_words
+from callweave.functions.patterns import needed_words, one_scan, plain_words, understood
 
 @dataclass(frozen=True)
 class Trigger:
@@ -89,9 +89,11 @@ def occurs(content: Column, *patterns: str) -> Column:
 
     Plain words are searched for as such. The pattern matcher runs only on texts
     with one of the words that every match contains, and once for all patterns.
+    Patterns that cannot surely be rewritten are matched as they are.
     """
-    words, others = plain_words(patterns)
+    words, others = plain_words([p for p in patterns if understood(p)])
     tests = [_contains_any(content, words)] if words else []
+    tests.extend(content.rlike(p) for p in dict.fromkeys(patterns) if not understood(p))
     if others:
         scan = content.rlike(one_scan(others))
         needed = needed_words(others)

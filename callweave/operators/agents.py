@@ -29,21 +29,27 @@ def agent_performance(performance: DataFrame, model_like: str) -> DataFrame:
     )
 
 
-def rank_agents(agents: DataFrame, steps: int = 4096) -> DataFrame:
+def rank_agents(agents: DataFrame, steps: int = 4096, target: str | None = None) -> DataFrame:
     """Rank agents by repayment rate, best first, and show the rate as text.
 
     Ties go to the smaller owner number; agents without a rate come last. The
-    rate cut into ``steps`` per unit serves as slot, so the global ranking is
-    not one task's work.
+    rate cut into ``steps`` per unit serves as slot, and among agents with rate 0 or
+    none the owner number in runs of ``steps``, so the ranking is not one task's work.
+    With ``target`` the agents are written there once and computed only once.
     """
     rate = F.col("repay_rate")
+    even = F.coalesce(rate == 0, F.lit(True))
+    slot = F.struct(
+        rate.isNull(), -F.floor(rate * steps), even,
+        F.when(even, F.floor(F.col("owner_id") / steps)),
+    )
     ranked = spread_row_number(
         agents,
         [],
         [rate.desc_nulls_last(), F.col("owner_id")],
-        F.floor(rate * steps),
+        slot,
         "jx_rank",
-        slot_descending=True,
+        target=target,
     )
     return ranked.select(
         "owner_id", "tot_case_num", "repay_rate",

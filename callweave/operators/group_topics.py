@@ -1,4 +1,4 @@
-"""One independent topic model per group, all fitted together.
+"""Topic models: one over a corpus, or an independent one per group, all fitted together.
 
 Batch variational inference for every group at once. Documents are packed into
 chunks of bounded size, so a group with very many documents is spread over many
@@ -12,22 +12,24 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from callweave.operators.topics import describe_topics
 from callweave.operators.vocabulary import doc_term_counts, vocabulary_by
-from callweave.session import shared_dir
+from callweave.session import drop_folder, shared_dir
 from callweave.sources.sinks import materialize
 
 # Executors get the functions of this module with the job, not from an installation.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Group column of a model over the whole corpus.
+CORPUS = "corpus"
+
 # Fixed values of the inference: start distribution, inner passes, tolerance.
 GAMMA_SHAPE = 100.0
 INNER_PASSES = 100
@@ -40,10 +42,15 @@ class GroupTopics:
 
     ``topics``     group, ``topic, term, weight`` (unnormalised)
     ``documents``  group, document key, ``topic0_prob`` and so on
+    ``weights``    group and its weights in one array, topic after topic
+    ``vocabulary`` group, ``term, total, term_no``
     """
 
     topics: DataFrame
     documents: DataFrame
+    weights: DataFrame
+    vocabulary: DataFrame
+    k: int
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -160,6 +167,8 @@ def _pass(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFram
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            # One sum per group of the batch, so a group sends one row per weight and batch.
+            sums: dict = {}
             for row in batch.itertuples(index=False):
                 values = row._asdict()
                 doc = np.unique(np.asarray(values["doc"]), return_inverse=True)[1]
@@ -167,12 +176,16 @@ def _pass(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFram
                 terms, added = contributions(
                     doc, np.asarray(values["term_no"]), np.asarray(values["cnt"], float), current
                 )
+                own = sums.setdefault(values[group], np.zeros_like(current, dtype=float))
+                own[:, terms] += added
+            for name, own in sums.items():
+                topic, term_no = np.nonzero(own)
                 yield pd.DataFrame(
                     {
-                        group: [values[group]] * added.size,
-                        "topic": np.repeat(np.arange(k), len(terms)),
-                        "term_no": np.tile(terms, k),
-                        "added": added.ravel(),
+                        group: [name] * len(topic),
+                        "topic": topic,
+                        "term_no": term_no,
+                        "added": own[topic, term_no],
                     }
                 )
 
@@ -224,7 +237,7 @@ def fit_topics_by_group(
     seed: int = 0,
     max_iter: int = 10,
     max_features: int = 1000,
-    docs_per_chunk: int = 256,
+    docs_per_chunk: int = 64,
     documents: DataFrame | None = None,
     work_dir: str | None = None,
 ) -> GroupTopics:
@@ -253,33 +266,61 @@ def fit_topics_by_group(
     chunks = materialize(
         _pack(counts, vocab, listed, group, key, docs_per_chunk), f"{work}/chunks"
     )
-    with _chunks_per_batch(spark, 16):
-        weights = materialize(_first_weights(vocab, group, k, seed), f"{work}/weights-0")
-        for step in range(1, max_iter + 1):
-            weights = materialize(
-                _pass(chunks, weights, group, k), f"{work}/weights-{step}"
-            )
-        scored = materialize(
-            _distributions(chunks, weights, group, key, k), f"{work}/documents"
-        )
+    weights = materialize(_first_weights(vocab, group, k, seed), f"{work}/weights-0")
+    for step in range(1, max_iter + 1):
+        weights = materialize(_pass(chunks, weights, group, k), f"{work}/weights-{step}")
+        drop_folder(spark, f"{work}/weights-{step - 1}")
+    scored = materialize(_distributions(chunks, weights, group, key, k), f"{work}/documents")
+    for done in ("counts", "chunks"):
+        drop_folder(spark, f"{work}/{done}")
     if documents is not None:
-        names = [f"topic{i}_prob" for i in range(k)]
-        scored = documents.select(group, key).join(scored, [group, key], "left").fillna(
-            1.0 / k, subset=names
-        )
-    return GroupTopics(_named_terms(weights, vocab, group), scored)
+        scored = _all_documents(documents, scored, group, key, k)
+    return GroupTopics(_named_terms(weights, vocab, group), scored, weights, vocab, k)
+
+
+def fit_topics(
+    terms: DataFrame,
+    key: str,
+    k: int = 5,
+    seed: int = 0,
+    max_iter: int = 10,
+    max_features: int = 1000,
+    documents: DataFrame | None = None,
+    work_dir: str | None = None,
+) -> GroupTopics:
+    """One topic model over the whole corpus by the same batch inference.
+
+    ``terms`` has a row per term occurrence (``key, term``). Every pass uses every
+    document. The corpus is one group, named :data:`CORPUS` in the result.
+    """
+    whole = F.lit(0).alias(CORPUS)
+    return fit_topics_by_group(
+        terms.select(whole, key, "term"), CORPUS, key, k, seed, max_iter, max_features,
+        documents=None if documents is None else documents.select(whole, key),
+        work_dir=work_dir,
+    )
+
+
+def topic_distribution(
+    fitted: GroupTopics, terms: DataFrame, group: str, key: str,
+    documents: DataFrame | None = None, docs_per_chunk: int = 256,
+) -> DataFrame:
+    """Topic probabilities of documents, also of ones the model was not fitted on."""
+    counts = doc_term_counts(terms, [group, key])
+    listed = documents if documents is not None else counts.select(group, key).distinct()
+    chunks = _pack(counts, fitted.vocabulary, listed, group, key, docs_per_chunk)
+    scored = _distributions(chunks, fitted.weights, group, key, fitted.k)
+    return _all_documents(listed, scored, group, key, fitted.k)
 
 
-@contextmanager
-def _chunks_per_batch(spark: SparkSession, rows: int):
-    """Arrow batches of few rows: a row is a whole chunk."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _all_documents(
+    documents: DataFrame, scored: DataFrame, group: str, key: str, k: int
+) -> DataFrame:
+    """Documents without a known term belong to all topics alike."""
+    names = [f"topic{i}_prob" for i in range(k)]
+    return documents.select(group, key).join(scored, [group, key], "left").fillna(
+        1.0 / k, subset=names
+    )
 
 
 def _named_terms(weights: DataFrame, vocab: DataFrame, group: str) -> DataFrame:
@@ -304,9 +345,11 @@ def attach_topics(
 ) -> DataFrame:
     """Calls with their topic probabilities and the top words of their group's topics.
 
-    Probabilities are ``topic0_prob`` and so on, words ``topic0_words`` and so on.
+    Probabilities are ``topic0_prob`` and so on, words ``topic0_words`` and so on. No call
+    is lost: without known terms it belongs to all topics alike, and where its group has
+    no vocabulary the words are NULL.
     """
-    k = sum(c.endswith("_prob") for c in fitted.documents.columns)
+    k = fitted.k
     texts = describe_topics(fitted.topics, n, "words", [group])
     wide = texts.groupBy(group).agg(
         *[
@@ -314,4 +357,9 @@ def attach_topics(
             for i in range(k)
         ]
     )
-    return calls.join(fitted.documents, [group, key]).join(wide, group)
+    names = [f"topic{i}_prob" for i in range(k)]
+    return (
+        calls.join(fitted.documents, [group, key], "left")
+        .fillna(1.0 / k, subset=names)
+        .join(wide, group, "left")
+    )

@@ -1,94 +1,12 @@
-"""Topic models over a whole corpus, and reports on topics."""
+"""Reports on topics: words, shares, explorer figures."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from callweave.functions.columns import topic_bin
-from callweave.operators.vocabulary import term_rows, vocabulary
-
-
-@dataclass(frozen=True)
-class TopicModel:
-    """A fitted model with the vocabulary it counts."""
-
-    vectorizer: CountVectorizerModel
-    lda: LDAModel
-    k: int
-
-
-def fit_topics(
-    docs: DataFrame,
-    tokens: str,
-    k: int,
-    seed: int = 0,
-    max_iter: int = 10,
-    max_features: int = 1000,
-    learning_offset: float = 50.0,
-) -> TopicModel:
-    """Fit one topic model over an array column of tokens.
-
-    Every pass uses the whole corpus. Only the vocabulary, at most
-    ``max_features`` terms, and the topic weights reach the driver.
-    """
-    words = vocabulary(term_rows(docs, [], F.col(tokens)), max_features)
-    terms = [row.term for row in words.orderBy("term").collect()]
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        terms, inputCol=tokens, outputCol="__features"
-    )
-    features = vectorizer.transform(docs.select(tokens)).select("__features")
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        lda = LDA(
-            k=k,
-            seed=seed,
-            maxIter=max_iter,
-            featuresCol="__features",
-            topicDistributionCol="__topics",
-            optimizer="online",
-            subsamplingRate=1.0,
-            learningOffset=learning_offset,
-            docConcentration=[1.0 / k],
-            topicConcentration=1.0 / k,
-        ).fit(features)
-    finally:
-        features.unpersist()
-    return TopicModel(vectorizer, lda, k)
-
-
-def topic_distribution(model: TopicModel, docs: DataFrame) -> DataFrame:
-    """Documents with ``topic0_prob`` and so on, all other columns kept.
-
-    A document without a known term belongs to all topics alike.
-    """
-    scored = model.lda.transform(model.vectorizer.transform(docs))
-    probs = vector_to_array("__topics")
-    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumns(
-        {
-            f"topic{i}_prob": F.when(total > 0, probs[i]).otherwise(F.lit(1.0 / model.k))
-            for i in range(model.k)
-        }
-    ).drop("__features", "__topics")
-
-
-def topic_terms(model: TopicModel) -> DataFrame:
-    """Weights of all terms in all topics: ``topic, term, weight``."""
-    terms = F.array(*[F.lit(t) for t in model.vectorizer.vocabulary])
-    described = model.lda.describeTopics(len(model.vectorizer.vocabulary))
-    pairs = F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")
-    return described.select("topic", pairs).select(
-        "topic",
-        F.element_at(terms, F.col("p.termIndices") + 1).alias("term"),
-        F.col("p.termWeights").alias("weight"),
-    )
 
 
 def top_words(topics: DataFrame, n: int = 10, group: Sequence[str] = ()) -> DataFrame:

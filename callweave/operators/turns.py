@@ -41,10 +41,13 @@ def attach_speed(turns: DataFrame, speed: DataFrame) -> DataFrame:
     return turns.join(speed, ["callid", "channel"], "left")
 
 
-def number_turns(turns: DataFrame, slot_width: int = 1024) -> DataFrame:
+def number_turns(
+    turns: DataFrame, slot_width: int = 1024, target: str | None = None
+) -> DataFrame:
     """Number the turns of a call by the number in their name.
 
-    Slots of ``slot_width`` name numbers keep a very long call distributed.
+    Slots of ``slot_width`` name numbers keep a very long call distributed. With
+    ``target`` the turns are written there once and their texts are made only once.
     """
     number = name_part(F.col("new_name"))
     return spread_row_number(
@@ -53,13 +56,19 @@ def number_turns(turns: DataFrame, slot_width: int = 1024) -> DataFrame:
         [number, F.col("new_name"), F.col("channel"), F.col("file_date")],
         F.floor(number / slot_width),
         "seq_id",
+        target=target,
     )
 
 
-def build_turns(segments: DataFrame, raw: DataFrame, order: str = "seg_no") -> DataFrame:
-    """The turn table: ``file_date, callid, channel, content, seq_id, speed``."""
+def build_turns(
+    segments: DataFrame, raw: DataFrame, order: str = "seg_no", target: str | None = None
+) -> DataFrame:
+    """The turn table: ``file_date, callid, channel, content, seq_id, speed``.
+
+    ``target``: see :func:`number_turns`.
+    """
     with_speed = attach_speed(merge_segments(segments, order), weighted_speed(raw))
-    return number_turns(with_speed).select(
+    return number_turns(with_speed, target=target).select(
         "file_date", "callid", "channel", "content", "seq_id", "speed"
     )
 

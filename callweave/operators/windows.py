@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from callweave.sources.sinks import materialize
+
 
 def spread_row_number(
     df: DataFrame,
@@ -14,6 +16,7 @@ def spread_row_number(
     slot: Column,
     out: str,
     slot_descending: bool = False,
+    target: str | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` without hot tasks.
 
@@ -25,11 +28,20 @@ def spread_row_number(
     group of their own, as in a plain window.
 
     ``slot`` must follow the first ordering expression: ascending (NULL first),
-    or descending (NULL last) with ``slot_descending``.
+    or descending (NULL last) with ``slot_descending``. It bounds the rows of a task only as
+    far as it divides them.
+
+    The rows and the counts both depend on ``df``. With ``target``, a folder or table,
+    the rows are written there once and ``df`` is computed once; the counts then read two
+    narrow columns back.
     """
     group = "__group"
     piece = F.struct(*[F.col(k) for k in keys], slot.alias("__slot"))
-    sizes = df.select(piece.alias(group)).groupBy(group).agg(F.count("*").alias("__rows"))
+    inside = Window.partitionBy(group).orderBy(*order)
+    numbered = df.withColumn(group, piece)
+    if target is not None:
+        numbered = materialize(numbered.withColumn("__inside", F.row_number().over(inside)), target)
+    sizes = numbered.groupBy(group).agg(F.count("*").alias("__rows"))
     slot_order = F.col(f"{group}.__slot")
     before = (
         Window.partitionBy(*[F.col(f"{group}.{k}") for k in keys])
@@ -39,11 +51,10 @@ def spread_row_number(
     offsets = sizes.select(
         group, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")
     )
-    inside = Window.partitionBy(group).orderBy(*order)
+    if target is None:
+        numbered = numbered.withColumn("__inside", F.row_number().over(inside))
     return (
-        df.withColumn(group, piece)
-        .withColumn("__inside", F.row_number().over(inside))
-        .join(offsets, group)
+        numbered.join(offsets, group)
         .withColumn(out, (F.col("__before") + F.col("__inside")).cast("int"))
         .drop(group, "__inside", "__before")
     )
@@ -107,7 +118,8 @@ def previous_turn(
             F.struct((own + 1).alias("b"), F.lit(True).alias("guest")),
         ),
     ).otherwise(F.array(F.struct(own.alias("b"), F.lit(False).alias("guest"))))
-    window = Window.partitionBy("callid", F.col("__place.b")).orderBy(
+    # One key of both: rows already hashed by call are shuffled anew, on the finer key.
+    window = Window.partitionBy(F.struct("callid", "__place.b")).orderBy(
         "seq_id", F.col("__place.guest").desc()
     )
     marked = turns.withColumns({f"__now_{n}": c for n, c in marks.items()})

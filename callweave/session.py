@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 #: Runtime settings; all of them can be changed on a live session.
 RECOMMENDED = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Splits the stream side of a join whose key holds a large part of the rows.
@@ -32,16 +35,44 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach.
+    """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    a local test, a temporary folder of this machine takes its place.
+    Only a local session, where all tasks run on this machine, may leave that unset:
+    one temporary folder then serves the session. On a cluster it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="callweave-")
+    if configured:
+        return configured
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(
+            "set spark.checkpoint.dir to a folder that the driver and all executors share"
+        )
+    if master not in _LOCAL:
+        _LOCAL[master] = tempfile.mkdtemp(prefix="callweave-")
+    return _LOCAL[master]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the cluster has not named one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+_LOCAL: dict[str, str] = {}
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in any file system Spark knows."""
+    if "://" not in path and not path.startswith("file:"):
+        shutil.rmtree(path, ignore_errors=True)
+        return
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder below the shared one that is gone after the block.
+
+    For tables that nothing reads once the block has ended.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        drop_folder(spark, path)

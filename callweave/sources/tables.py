@@ -31,19 +31,6 @@ def read_table(spark: SparkSession, directory: str | None, name: str) -> DataFra
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Cut up a scan that has fewer pieces than the session has cores.
-
-    Meant for a freshly read table ahead of costly expressions. A large table
-    already has more pieces than cores and is returned as it is, without a
-    shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def read_agent_calls(
     spark: SparkSession,
     path: str,

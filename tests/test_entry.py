@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from workload import check
 
 SMALL = "/root/testdata/sf0.001"
+#: Values of fitted models: their sums and one-topic forms have SQL.
 NO_SQL = {"l1_fit_topics", "l2_fit_topics_by_agent", "l3_topic_distribution",
           "l4_describe_topics"}
 
@@ -16,7 +17,8 @@ needs_data = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables
 
 def test_every_query_has_check_sql():
     queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(queries) - set(sql) == NO_SQL
+    own = {name for name in queries if not name.startswith("op") and name != "pipeline"}
+    assert own - set(sql) == NO_SQL
     assert set(sql) <= set(queries)
 
 

@@ -2,6 +2,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from callweave.sources import sinks, tables
 from conftest import tuples
 
@@ -69,7 +71,22 @@ def test_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 5
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert tables.spread(wide) is wide
-    assert tables.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 8
+def test_shared_folder(spark, monkeypatch):
+    from callweave import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    Session.conf = Conf({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y"})
+    assert session.shared_dir(Session()) == "hdfs://x/y"
+    with session.scratch(spark, "tried") as folder:
+        spark.range(3).write.parquet(folder)
+        assert spark.read.parquet(folder).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(folder)

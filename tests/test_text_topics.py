@@ -92,16 +92,29 @@ SENTENCES = [
 
 
 def test_corpus_model(spark):
-    docs = docs_from_list(spark, SENTENCES).withColumn("tokens", t.matrix_terms(F.col("text")))
-    model = o.fit_topics(docs, "tokens", k=3, max_iter=5)
-    scored = o.topic_distribution(model, docs)
-    rows = scored.collect()
-    assert len(rows) == 5 and "text" in scored.columns
-    assert all(abs(r.topic0_prob + r.topic1_prob + r.topic2_prob - 1) < 1e-9 for r in rows)
-    assert rows[-1].topic0_prob == pytest.approx(1 / 3)
-    terms = o.topic_terms(model)
-    assert terms.select("topic").distinct().count() == 3
-    assert len(model.vectorizer.vocabulary) <= 1000
+    docs = docs_from_list(spark, SENTENCES)
+    terms = v.term_rows(docs, ["doc_id"], t.matrix_terms(F.col("text")))
+    fit = g.fit_topics(terms, "doc_id", k=3, max_iter=5, documents=docs)
+    rows = {r.doc_id: r for r in fit.documents.collect()}
+    assert len(rows) == 5
+    assert all(abs(r.topic0_prob + r.topic1_prob + r.topic2_prob - 1) < 1e-9 for r in rows.values())
+    assert rows[5].topic0_prob == pytest.approx(1 / 3)
+    total, size = terms.count(), terms.select("term").distinct().count()
+    assert fit.topics.count() == 3 * size
+    assert fit.topics.agg({"weight": "sum"}).first()[0] == pytest.approx(size + total)
+    again = g.topic_distribution(
+        fit, terms.withColumn(g.CORPUS, F.lit(0)), g.CORPUS, "doc_id",
+        docs.select(F.lit(0).alias(g.CORPUS), "doc_id"),
+    )
+    for r in again.collect():
+        assert r.topic0_prob == pytest.approx(rows[r.doc_id].topic0_prob)
+
+
+def test_one_topic_counts_terms(spark):
+    terms = term_sample(spark)
+    fit = g.fit_topics(terms, "doc_id", k=1, max_iter=2)
+    got = {r.term: r.weight for r in fit.topics.collect()}
+    assert got == pytest.approx({"xx": 4, "yy": 3, "zz": 3, "qq": 3})
 
 
 def test_digamma():
@@ -184,6 +197,10 @@ def test_group_documents_without_terms(spark):
     assert wide.columns == ["owner_id", "doc_id", "topic0_prob", "topic1_prob", "topic0_words",
                             "topic1_words"]
     assert wide.count() == documents.count()
+    # An agent without any vocabulary keeps its calls.
+    more = documents.union(spark.createDataFrame([("new", 7)], "owner_id string, doc_id int"))
+    row = g.attach_topics(more, fit, "owner_id", "doc_id").filter("owner_id = 'new'").first()
+    assert row.topic0_prob == 0.5 and row.topic0_words is None
 
 
 def test_relevance(spark):

@@ -13,7 +13,7 @@ from callweave.operators.calls import asof_allocation, enrich_calls, latest_per_
 from callweave.operators.reports import NUMERIC
 from callweave.operators.turns import build_turns
 from callweave.functions.rules_zh import MANDARIN
-from callweave.sources.tables import read_table, spread
+from callweave.sources.tables import read_table
 
 #: Sentences added to the conversation lines, so that Mandarin rules have work.
 PHRASES = (
@@ -67,7 +67,7 @@ CUTOFF = "2024-01-15"
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the spoken turns: ``conv_id, turn, channel, seg_no, line, rt_text``."""
-    spoken = spread(read_table(spark, sf, "conversations"), "conv_id", "turn").filter(
+    spoken = read_table(spark, sf, "conversations").filter(
         F.col("role").isin("user", "assistant")
     )
     agent = (F.col("role") == "assistant") | ((F.col("conv_id") + F.col("turn")) % 5 == 0)
@@ -108,8 +108,8 @@ def raw_segments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def turns(spark: SparkSession, sf: str) -> DataFrame:
-    return build_turns(segments(spark, sf), raw_segments(spark, sf))
+def turns(spark: SparkSession, sf: str, target: str | None = None) -> DataFrame:
+    return build_turns(segments(spark, sf), raw_segments(spark, sf), target=target)
 
 
 def _calls(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,4 +268,4 @@ def event_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents; as calls of an agent where the source serves as owner."""
-    return spread(read_table(spark, sf, "documents"), "doc_id")
+    return read_table(spark, sf, "documents")

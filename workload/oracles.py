@@ -72,6 +72,12 @@ from doc_terms group by 1, 2""",
   term) as int) as rank from lang_weights""",
     "topic_size": """select lang as topic,
   count(*) / (select count(*) from doc_terms) as size from doc_terms group by 1""",
+    "english_terms": rf"""select doc_id, unnest(list_transform(list_filter(
+  regexp_split_to_array(regexp_replace(array_to_string(list_filter(
+    regexp_split_to_array(regexp_replace(lower(text), '^ +| +$', '', 'g'), '\s+'),
+    lambda w: w not in ({_STOP})), ' '), '[[:punct:]]', '', 'g'), '\s+'),
+  lambda w: w <> ''), lambda w: {_LEMMA})) as term
+from documents where lang = 'en'""",
     "probabilities": """select doc_id, source as owner_id,
   case when n_chars % 19 <> 0 then (n_chars % 101) / 100.0::double end as topic0_prob
 from documents""",
@@ -271,7 +277,28 @@ from (select unnest(string_split(p_name, ' ')) as term from part) group by 1""",
 where term in (select term from top_terms) group by 1, 2""",
     "t6_doc_term_counts_by_agent": """select d.owner_id, d.doc_id, d.term, count(*) as cnt
 from doc_terms d join owner_terms o on d.owner_id = o.owner_id and d.term = o.term
-where o.rn <= 200 group by 1, 2, 3""",
+where o.rn <= 1000 group by 1, 2, 3""",
+    "l1_weight_sums": """select 5 * count(*) as n_weights,
+  round(cast(count(*) + sum(total) as double), 3) as total_weight from top_terms""",
+    "l1_one_topic": """select cast(0 as int) as topic, term, round(cast(total + 1 as double), 6) as weight
+from top_terms""",
+    "l1_english_topics": """select 3 * count(*) as n_weights,
+  round(cast(count(*) + sum(total) as double), 3) as total_weight
+from (select term, count(*) as total from english_terms group by 1
+      order by total desc, term limit 1000)""",
+    "l2_weight_sums": """select owner_id, 2 * count(*) as n_weights,
+  round(cast(count(*) + sum(total) as double), 3) as total_weight
+from owner_terms where rn <= 1000 group by 1""",
+    "l3_probability_sums": "select doc_id, cast(1 as double) as total from documents",
+    "l4_describe_one_topic": """select cast(0 as int) as topic,
+  string_agg((total + 1) || '.0*' || term, ' + ' order by total desc, term) as description
+from (select * from top_terms order by total desc, term limit 12)""",
+    "l6_model_relevance": """select cast(0 as int) as topic, term, total,
+  cast(1 as double) as size,
+  round(0.6 * ln(phi) + (1 - 0.6) * ln(phi / share), 6) as relevance,
+  cast(0 as double) as saliency
+from (select *, (total + 1) / sum(total + 1) over () as phi, total / sum(total) over () as share
+      from top_terms)""",
     "l4_describe_given_topics": """select topic, string_agg(term, ',' order by rank) as description
 from ranked_words where rank <= 10 group by 1""",
     "l5_topic_share": f"""select owner_id, belong, num, total_call_num,

@@ -54,7 +54,7 @@ def conversation_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFr
     """The turn table and the enriched call table, both stored."""
     all_turns = stored(b.turns(spark, sf), "turns")
     plus = stored(enriched_calls(spark, sf, all_turns), "calls-plus")
-    return tables.spread(all_turns, "callid"), plus
+    return all_turns, plus
 
 
 def call_table(spark: SparkSession, sf: str, all_turns: DataFrame) -> DataFrame:
@@ -388,7 +388,7 @@ def w1_number_turns(spark, sf):
     merged = turns.merge_segments(b.segments(spark, sf)).withColumn(
         "file_date", F.lit(None).cast("string")
     )
-    return turns.number_turns(merged).select("new_name", "callid", "channel", "seq_id")
+    return turns.number_turns(merged, target=new_folder(spark, "numbered")).select("new_name", "callid", "channel", "seq_id")
 
 
 @query
@@ -412,9 +412,8 @@ def w4_contact_order(spark, sf):
 
 @query
 def w5_rank_agents(spark, sf):
-    return rounded(
-        agents.rank_agents(agents.agent_performance(b.performance(spark, sf), MODEL_LIKE))
-    )
+    performance = agents.agent_performance(b.performance(spark, sf), MODEL_LIKE)
+    return rounded(agents.rank_agents(performance, target=new_folder(spark, "agents")))
 
 
 @query
@@ -574,7 +573,7 @@ def _transcripts(spark, sf):
 
 @query
 def c1_build_turns(spark, sf):
-    return rounded(b.turns(spark, sf))
+    return rounded(b.turns(spark, sf, new_folder(spark, "numbered")))
 
 
 @query
@@ -746,7 +745,7 @@ def t6_doc_term_counts(spark, sf):
 @query
 def t6_doc_term_counts_by_agent(spark, sf):
     return vocabulary.term_matrix(
-        _terms(spark, sf), ["owner_id", "doc_id"], 200, group="owner_id"
+        _terms(spark, sf), ["owner_id", "doc_id"], 1000, group="owner_id"
     )
 
 
@@ -771,48 +770,96 @@ def _language_weights(spark, sf):
     )
 
 
-def _token_docs(spark, sf):
-    documents = b.documents(spark, sf)
-    return documents.select(
-        "doc_id", "source",
-        t.remove_stopwords(t.matrix_terms(F.col("text")), STOPWORDS).alias("tokens"),
+def _documents(spark, sf):
+    return b.documents(spark, sf).select(F.col("source").alias("owner_id"), "doc_id")
+
+
+def _corpus_model(spark, sf, k, **options):
+    return group_topics.fit_topics(
+        _terms(spark, sf), "doc_id", k, documents=_documents(spark, sf), **options
+    )
+
+
+def _agent_models(spark, sf):
+    return group_topics.fit_topics_by_group(
+        _terms(spark, sf), "owner_id", "doc_id", k=2, documents=_documents(spark, sf)
+    )
+
+
+def _weight_sums(topics_: DataFrame, *group: str) -> DataFrame:
+    """Terms and weights: with the prior 1/k a model's weights add up to the size of its
+    vocabulary plus the occurrences of its terms."""
+    return topics_.groupBy(*group).agg(
+        F.count("*").alias("n_weights"), F.round(F.sum("weight"), 3).alias("total_weight")
     )
 
 
 @query
 def l1_fit_topics(spark, sf):
-    model = topics.fit_topics(_token_docs(spark, sf), "tokens", k=5)
-    return topics.topic_terms(model)
+    return _corpus_model(spark, sf, 5).topics.drop(group_topics.CORPUS)
 
 
 @query
-def l2_fit_topics_by_agent(spark, sf):
-    documents = b.documents(spark, sf).select(
-        F.col("source").alias("owner_id"), "doc_id"
-    )
-    fitted = group_topics.fit_topics_by_group(
-        _terms(spark, sf), "owner_id", "doc_id", k=2, documents=documents
+def l1_weight_sums(spark, sf):
+    return _weight_sums(_corpus_model(spark, sf, 5).topics)
+
+
+@query
+def l1_one_topic(spark, sf):
+    """With one topic a term weighs its occurrences and the prior."""
+    fitted = _corpus_model(spark, sf, 1, max_iter=2)
+    return fitted.topics.select("topic", "term", F.round("weight", 6).alias("weight"))
+
+
+@query
+def l1_english_topics(spark, sf):
+    """Cleaned English documents, three topics, 50 passes."""
+    english = t.clean_english(
+        b.documents(spark, sf).filter(F.col("lang") == "en"), "text", STOPWORDS, LEMMAS
     )
-    return group_topics.attach_topics(documents, fitted, "owner_id", "doc_id")
+    terms = vocabulary.term_rows(english, ["doc_id"], F.col("tokens"))
+    return _weight_sums(group_topics.fit_topics(terms, "doc_id", 3, max_iter=50).topics)
+
+
+@query
+def l2_fit_topics_by_agent(spark, sf):
+    documents = _documents(spark, sf)
+    return group_topics.attach_topics(documents, _agent_models(spark, sf), "owner_id", "doc_id")
+
+
+@query
+def l2_weight_sums(spark, sf):
+    return _weight_sums(_agent_models(spark, sf).topics, "owner_id")
 
 
 @query
 def l3_topic_distribution(spark, sf):
-    documents = _token_docs(spark, sf)
-    model = topics.fit_topics(documents, "tokens", k=2)
-    return topics.topic_distribution(model, documents).drop("tokens")
+    return _corpus_model(spark, sf, 2).documents.drop(group_topics.CORPUS)
+
+
+@query
+def l3_probability_sums(spark, sf):
+    fitted = _corpus_model(spark, sf, 2)
+    return fitted.documents.select(
+        "doc_id", F.round(F.col("topic0_prob") + F.col("topic1_prob"), 6).alias("total")
+    )
 
 
 @query
 def l4_describe_topics(spark, sf):
-    model = topics.fit_topics(_token_docs(spark, sf), "tokens", k=3, max_iter=5)
-    terms = topics.topic_terms(model)
+    terms = _corpus_model(spark, sf, 3).topics.drop(group_topics.CORPUS)
     return topics.describe_topics(terms, 3).join(
         topics.describe_topics(terms, 10, "words").withColumnRenamed("description", "words"),
         "topic",
     )
 
 
+@query
+def l4_describe_one_topic(spark, sf):
+    """The weighted style on a fitted model, whose one topic has known weights."""
+    return topics.describe_topics(l1_one_topic(spark, sf), 12)
+
+
 @query
 def l4_describe_given_topics(spark, sf):
     return topics.describe_topics(_language_weights(spark, sf), 10, "words")
@@ -843,3 +890,21 @@ def l6_topic_term_relevance(spark, sf):
     return rounded(
         topics.topic_term_relevance(weights, vocabulary.vocabulary(counts, None, "cnt"), sizes)
     )
+
+
+@query
+def l6_model_relevance(spark, sf):
+    """Topic explorer figures from a fitted model of one topic, whose weights are known."""
+    fitted = _corpus_model(spark, sf, 1, max_iter=2)
+    in_topics = fitted.documents.select(
+        "doc_id", F.lit(0).alias("topic"), F.col("topic0_prob").alias("probability")
+    )
+    counts = stored(vocabulary.doc_term_counts(_terms(spark, sf), ["doc_id"]), "counts")
+    lengths = counts.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
+    return rounded(
+        topics.topic_term_relevance(
+            fitted.topics.select("topic", "term", "weight"),
+            vocabulary.vocabulary(counts, None, "cnt"),
+            topics.topic_sizes(in_topics, lengths, "doc_id"),
+        )
+    )
