@@ -13,11 +13,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from callweave.llm import hashing
+
 #: Pieces kept by a worker before it starts anew: bounds its memory.
-KEPT_PIECES = 2_000_000
+KEPT_PIECES = 3_000_000
 #: Pieces with their leading space, and white space, as the byte-level pattern cuts them.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+#: The same white space at the end of a piece, for Arrow's matcher.
+_BLANK_END = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]$"
+
 
 #: Words and marks that both patterns always cut apart; other pieces are looked up whole.
 _PARTS = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[.,:;!?*#$%&|<>]+|\n(?=[A-Za-z])")
@@ -47,14 +52,15 @@ class CachedTokenizer:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self._index: dict[str, int] = {}
+        self._keys = np.zeros((2, 0), np.uint64)
+        self._codes_of_keys = np.zeros(0, np.int64)
         self._count = 0
         self._starts = np.zeros(1024, np.int64)
-        self._lengths = np.zeros(1024, np.int64)
+        self._lengths = np.zeros(1024, np.int32)
         self._values = np.zeros(4096, np.uint32)
         self._used = 0
 
-    def _add(self, pieces: list[str]) -> None:
+    def _add(self, pieces: list[str], codes: dict[str, int]) -> None:
         """Learn the ids of new pieces; many at once, as one text with marks between."""
         together = [p for p in pieces if not _unsafe(p, self._mark)]
         alone = [p for p in pieces if _unsafe(p, self._mark)]
@@ -69,22 +75,24 @@ class CachedTokenizer:
             keep = np.ones(len(ids), bool)
             for k in range(len(self._mark_ids)):
                 keep[ends + k] = False
-            self._append(some, ids[keep], ends - begins)
+            self._append(some, ids[keep], ends - begins, codes)
         for start in range(0, len(alone), 1024):
             some = alone[start : start + 1024]
             found = [
                 e.ids for e in self._tokenizer.encode_batch_fast(some, add_special_tokens=False)
             ]
             flat = np.fromiter((i for ids in found for i in ids), np.uint32)
-            self._append(some, flat, np.array([len(ids) for ids in found], np.int64))
+            self._append(some, flat, np.array([len(ids) for ids in found], np.int64), codes)
 
-    def _join(self, pieces: list[str], parts: list[list[str]]) -> None:
+    def _join(
+        self, pieces: list[str], parts: list[list[str]], numbers: dict[str, int]
+    ) -> None:
         """Learn pieces that are parts in a row from the ids of the parts."""
-        codes = self._codes([p for some in parts for p in some])
+        codes = self._codes(pa.array([p for some in parts for p in some], pa.string()))
         counts = np.array([len(some) for some in parts], np.int64)
         ids, ends = self._gather(codes)
         lengths = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
-        self._append(pieces, ids, lengths)
+        self._append(pieces, ids, lengths, numbers)
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces in a row, and where each piece begins."""
@@ -93,7 +101,9 @@ class CachedTokenizer:
         shift = np.repeat(self._starts[codes] - ends[:-1], lengths)
         return self._values[shift + np.arange(ends[-1])], ends
 
-    def _append(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+    def _append(
+        self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray, codes: dict[str, int]
+    ) -> None:
         n, used = self._count, self._used
         self._starts = _room(self._starts, n + len(pieces))
         self._lengths = _room(self._lengths, n + len(pieces))
@@ -101,20 +111,56 @@ class CachedTokenizer:
         self._lengths[n : n + len(pieces)] = lengths
         self._starts[n : n + len(pieces)] = used + np.cumsum(lengths) - lengths
         self._values[used : used + len(ids)] = ids
-        self._index.update(zip(pieces, range(n, n + len(pieces))))
+        codes.update(zip(pieces, range(n, n + len(pieces))))
         self._count, self._used = n + len(pieces), used + len(ids)
 
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        new = [p for p in dict.fromkeys(pieces) if p not in self._index]
-        if new:
-            parts = [_PARTS.findall(p) for p in new]
-            whole = [len(q) < 2 or sum(map(len, q)) != len(p) for p, q in zip(new, parts)]
-            self._add([p for p, w in zip(new, whole) if w])
-            if not all(whole):
-                made = [(p, q) for p, q, w in zip(new, parts, whole) if not w]
-                self._join([p for p, _ in made], [q for _, q in made])
-        index = self._index
-        return np.fromiter((index[p] for p in pieces), np.int64, len(pieces))
+    def _codes(self, pieces: pa.Array, spaced: bool = False) -> np.ndarray:
+        """Numbers of pieces, or of the pieces behind a space; new ones are learned.
+
+        Pieces are known by two 64-bit hashes in sorted arrays: a few dozen bytes each.
+        """
+        keys = piece_keys(pieces, spaced)
+        codes = self._find(keys)
+        new = np.flatnonzero(codes < 0)
+        if not len(new):
+            return codes
+        new = new[np.unique(keys[0, new], return_index=True)[1]]
+        names = pieces.take(pa.array(new)).to_pylist()
+        if spaced:
+            names = [" " + name for name in names]
+        self._remember(keys[:, new], self._learn(names))
+        codes = self._find(keys)
+        for k in np.flatnonzero(codes < 0):  # the first hash alone is shared with another piece
+            codes[k] = self._learn([" " * spaced + pieces[int(k)].as_py()])[0]
+        return codes
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        if not self._keys.shape[1]:
+            return np.full(keys.shape[1], -1, np.int64)
+        at = np.minimum(np.searchsorted(self._keys[0], keys[0]), self._keys.shape[1] - 1)
+        same = (self._keys[0, at] == keys[0]) & (self._keys[1, at] == keys[1])
+        return np.where(same, self._codes_of_keys[at], -1)
+
+    def _remember(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        known = self._find(keys) >= 0  # learned meanwhile as a part of another
+        keys = np.concatenate([self._keys, keys[:, ~known]], axis=1)
+        order = np.argsort(keys[0], kind="stable")
+        self._keys = keys[:, order]
+        self._codes_of_keys = np.concatenate([self._codes_of_keys, codes[~known]])[order]
+
+    def _learn(self, names: list[str]) -> np.ndarray:
+        """Numbers of new pieces in the order given."""
+        parts = [_PARTS.findall(p) for p in names]
+        whole = [len(q) < 2 or sum(map(len, q)) != len(p) for p, q in zip(names, parts)]
+        made = [(p, q) for p, q, w in zip(names, parts, whole) if not w]
+        if made:
+            own = pa.array(sorted({part for _, q in made for part in q}), pa.string())
+            self._codes(own)
+        codes: dict[str, int] = {}
+        self._add([p for p, w in zip(names, whole) if w], codes)
+        if made:
+            self._join([p for p, _ in made], [q for _, q in made], codes)
+        return np.fromiter((codes[p] for p in names), np.int64, len(names))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self._count > KEPT_PIECES:
@@ -128,7 +174,7 @@ class CachedTokenizer:
         flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets = offsets - offsets[0]
         coded = flat.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary
         codes, counts = coded.indices.to_numpy().astype(np.int64), np.diff(offsets)
         if self._dropped:
             codes = self._codes(names)[codes]
@@ -139,20 +185,32 @@ class CachedTokenizer:
 
     def _spaced(self, texts, flat, names, codes, offsets):
         """Pieces that start a text have no space; cuts inside white space are undone."""
-        odd = np.array([not n or n[-1].isspace() for n in names], bool)[codes]
+        blank = pc.or_(pc.equal(names, ""), pc.match_substring_regex(names, _BLANK_END))
+        odd = blank.to_numpy(zero_copy_only=False)[codes]
         bad = np.add.reduceat(np.append(odd, False).astype(np.int64), offsets[:-1]) > 0
         counts = np.diff(offsets)
-        codes = self._codes([" " + name for name in names])[codes]
+        codes = self._codes(names, spaced=True)[codes]
         firsts = offsets[:-1][~bad]
-        codes[firsts] = self._codes(flat.take(pa.array(firsts)).to_pylist())
+        codes[firsts] = self._codes(flat.take(pa.array(firsts)))
         if not bad.any():
             return codes, counts
         parts = np.split(codes, offsets[1:-1])
         for row in np.flatnonzero(bad):  # such texts are cut by the pattern itself
-            parts[row] = self._codes(_PIECES.findall(texts[int(row)].as_py()))
+            parts[row] = self._codes(pa.array(_PIECES.findall(texts[int(row)].as_py()), pa.string()))
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
+def piece_keys(pieces: pa.Array, spaced: bool) -> np.ndarray:
+    """Two independent hashes of each piece, other ones with a space before it."""
+    data, offsets = hashing.text_bytes(pieces)
+    first = hashing.range_hashes(hashing.prefix_hashes(data), offsets[:-1], offsets[1:])
+    turned = hashing.prefix_hashes(data ^ np.uint8(0xA5))
+    second = hashing.range_hashes(turned, offsets[:-1], offsets[1:])
+    if spaced:
+        first, second = hashing.mix(first + np.uint64(1)), hashing.mix(second + np.uint64(1))
+    return np.stack([first, second])
+
+
 def _split_spaces(texts: pa.Array) -> pa.Array:
     return pc.split_pattern(texts, " ")
 
