@@ -8,7 +8,11 @@ different surroundings are compared byte by byte: their suffixes are sorted, the
 prefixes of neighbours give the interval tree of an enhanced suffix array by one scan with
 a stack, and inside each interval the same scan over what stands to the left tests the
 left extensions. That gives every maximal repeat with all its occurrences; all but the
-earliest are removed.
+earliest are removed. Repeats around one anchor all hold it, so what they cover of an
+occurrence is one range.
+
+A string of LENGTH bytes reaches at least half of REACH beyond its anchor to one side.
+Occurrences that share that much with no other, to neither side, are left out by a hash.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes that a string may reach beyond its anchor, to either side.
 REACH = LENGTH - GRAM
+#: Bytes that a string reaches at least to one of the sides.
+HALF = REACH // 2
 MAX_FILTER_BYTES = 64 << 20
 _TAG_BITS = 18
 _SETTLED = np.int64(-(2**63))
@@ -48,11 +54,13 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors of all strings: text number, place, reach left and right, two hashes.
 
-    The first hash is the anchor's own, the second that of all its surroundings.
+    The first hash is the anchor's own, the second that of all its surroundings. The last
+    value holds a 32-bit hash of the HALF bytes to the left and one of those to the right,
+    0 where the text ends before.
     """
     n = len(data)
     if n < LENGTH:
-        return tuple(np.zeros(0, k) for k in (np.int64,) * 4 + (np.uint64,) * 2)
+        return tuple(np.zeros(0, k) for k in (np.int64,) * 4 + (np.uint64,) * 3)
     prefix = hashing.prefix_hashes(data)
     down = hashing._powers("down", hashing._INVERSE, n + 1)
     grams = hashing.mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
@@ -67,7 +75,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     right = np.minimum(REACH, offsets[rows + 1] - at - GRAM)
     around = hashing.range_hashes(prefix, at - left, at + GRAM + right)
     around = hashing.mix(around + (left * (REACH + 1) + right).astype(np.uint64))
-    return rows, at - offsets[rows], left, right, grams[at], around
+    low, one = np.uint64(0xFFFFFFFF), np.uint64(1)
+    before = hashing.range_hashes(prefix, np.maximum(at - HALF, 0), at) & low | one
+    after = hashing.range_hashes(prefix, at + GRAM, np.minimum(at + GRAM + HALF, n)) & low | one
+    before[left < HALF] = 0
+    after[right < HALF] = 0
+    halves = before << np.uint64(32) | after
+    return rows, at - offsets[rows], left, right, grams[at], around, halves
 
 
 def _pack(place, left, right, tag):
@@ -81,7 +95,7 @@ def _unpack(packed):
     return rest >> 14, rest >> 7 & 127, rest & 127, tag
 
 
-_ANCHOR_ROWS = "anchor long, around long, doc long, packed long"
+_ANCHOR_ROWS = "anchor long, around long, doc long, packed long, halves long"
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,13 +107,13 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         tag = batch.column("tag").to_numpy()
         found: list[tuple[np.ndarray, ...]] = []
         for lo, hi in hashing.chunks(offsets):
-            rows, place, left, right, own, around = anchors(
+            rows, place, left, right, own, around, halves = anchors(
                 data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             )
-            found.append((own, around, doc[lo:hi][rows], _pack(place, left, right, tag[lo:hi][rows])))
+            found.append((own, around, doc[lo:hi][rows], _pack(place, left, right, tag[lo:hi][rows]), halves))
         if not found:
             continue
-        own, around, docs, packed = (np.concatenate(c) for c in zip(*found))
+        own, around, docs, packed, halves = (np.concatenate(c) for c in zip(*found))
         key = hashing.mix(own ^ hashing.mix(around))
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -119,8 +133,8 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             part = slice(start, start + (1 << 17))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[part].view(np.int64)) for c in (own, around)]
-                + [pa.array(docs[part]), pa.array(packed[part])],
-                ["anchor", "around", "doc", "packed"],
+                + [pa.array(docs[part]), pa.array(packed[part]), pa.array(halves[part].view(np.int64))],
+                ["anchor", "around", "doc", "packed", "halves"],
             )
 
 
@@ -138,7 +152,7 @@ def settle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     tail: list[np.ndarray] | None = None
     for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in ("anchor", "around", "doc", "packed")]
+        columns = [batch.column(c).to_numpy() for c in ("anchor", "around", "doc", "packed", "halves")]
         settled = columns[3] < 0
         if settled.any():
             yield out(columns[0][settled], columns[2][settled], columns[3][settled], False)
@@ -147,26 +161,31 @@ def settle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             columns = [np.concatenate([t, c]) for t, c in zip(tail, columns)]
         if not len(columns[0]):
             continue
-        anchor, around, doc, packed = columns
+        anchor, around, doc, packed, halves = columns
         later = np.zeros(len(anchor), bool)
         later[1:] = (anchor[1:] == anchor[:-1]) & (around[1:] == around[:-1])
         if later.any():
             yield out(anchor[later], doc[later], packed[later], False)
-            anchor, around, doc, packed = (c[~later] for c in columns)
+            anchor, around, doc, packed, halves = (c[~later] for c in columns)
         # The last anchor may go on in the next batch.
         cut = int(np.searchsorted(anchor, anchor[-1], "left"))
-        tail = [c[cut:] for c in (anchor, around, doc, packed)]
-        yield from _open(anchor[:cut], doc[:cut], packed[:cut], out)
+        tail = [c[cut:] for c in (anchor, around, doc, packed, halves)]
+        yield from _open(anchor[:cut], doc[:cut], packed[:cut], halves[:cut], out)
     if tail is not None:
-        yield from _open(tail[0], tail[2], tail[3], out)
+        yield from _open(tail[0], tail[2], tail[3], tail[4], out)
 
 
-def _open(anchor, doc, packed, out):
-    several = np.zeros(len(anchor), bool)
-    several[1:] = anchor[1:] == anchor[:-1]
-    several[:-1] |= several[1:].copy()
-    if several.any():
-        yield out(anchor[several], doc[several], packed[several], True)
+def _open(anchor, doc, packed, halves, out):
+    """Those that share a half of their surroundings with another of the same anchor."""
+    near = np.zeros(len(anchor), bool)
+    for side in (halves.view(np.uint64) >> np.uint64(32), halves.view(np.uint64) & np.uint64(0xFFFFFFFF)):
+        order = np.lexsort((side, anchor))
+        own, side = anchor[order], side[order]
+        same = (own[1:] == own[:-1]) & (side[1:] == side[:-1]) & (side[1:] != 0)
+        near[order[1:][same]] = True
+        near[order[:-1][same]] = True
+    if near.any():
+        yield out(anchor[near], doc[near], packed[near], True)
 
 
 def _runs(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -208,6 +227,11 @@ def maximal_repeats(
     the intervals of the sorted suffixes; among an interval's members the left-diverse ones
     are the intervals of what stands before them. Only repeats of LENGTH bytes or more.
     """
+    if len(after) == 2:
+        left, right = _common(*before), _common(*after)
+        if left + right >= REACH:
+            yield left, right, [0, 1]
+        return
     order = sorted(range(len(after)), key=after.__getitem__)
     common = [_common(after[a], after[b]) for a, b in zip(order, order[1:])]
     for right, first, last in _runs(common, 0):
@@ -223,13 +247,20 @@ def repeat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     rows: list[tuple[int, int, int, int]] = []
 
     def group():
-        keys = [r[1:4] for r in held]
+        held.sort(key=lambda r: r[1:4])
+        reach = [[-1, -1] for _ in held]
         for left, right, members in maximal_repeats([r[4] for r in held], [r[5] for r in held]):
-            first = min(members, key=keys.__getitem__)
+            first = min(members)
             for k in members:
                 if k != first:
-                    doc, tag, place = keys[k]
-                    rows.append((doc, tag, place - left, place + GRAM + right))
+                    own = reach[k]
+                    if left > own[0]:
+                        own[0] = left
+                    if right > own[1]:
+                        own[1] = right
+        for (_, doc, tag, place, _, _), (left, right) in zip(held, reach):
+            if right >= 0:
+                rows.append((doc, tag, place - left, place + GRAM + right))
 
     def flush():
         columns = list(zip(*rows))
