@@ -73,10 +73,18 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
+def range_hashes(
+    prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int | None = None
+) -> np.ndarray:
+    """Hashes of byte ranges; equal bytes have equal hashes wherever they stand.
+
+    ``first``: as if each range began with this byte.
+    """
     down = _powers("down", _INVERSE, len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    raw, sizes = (prefix[ends] - prefix[starts]) * down[starts], (ends - starts).astype(np.uint64)
+    if first is not None:
+        raw, sizes = raw * _BASE + _BYTE_VALUES[first], sizes + np.uint64(1)
+    return mix(raw + sizes)
 
 
 def word_hashes(

@@ -16,7 +16,11 @@ import pyarrow.compute as pc
 from callweave.llm import hashing
 
 #: Pieces kept by a worker before it starts anew: bounds its memory.
-KEPT_PIECES = 3_000_000
+KEPT_PIECES = 2_000_000
+#: New pieces that are kept apart before they are sorted in among the others.
+RECENT_PIECES = 200_000
+#: Bytes of text that are cut and looked up at once.
+SLICE_BYTES = 6 << 20
 #: Pieces with their leading space, and white space, as the byte-level pattern cuts them.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
@@ -52,10 +56,10 @@ class CachedTokenizer:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self._keys = np.zeros((2, 0), np.uint64)
-        self._codes_of_keys = np.zeros(0, np.int64)
+        # Two sorted tables of keys and numbers: all pieces, and the recent ones.
+        self._known = [(np.zeros((2, 0), np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
         self._count = 0
-        self._starts = np.zeros(1024, np.int64)
+        self._starts = np.zeros(1024, np.int32)
         self._lengths = np.zeros(1024, np.int32)
         self._values = np.zeros(4096, np.uint32)
         self._used = 0
@@ -85,19 +89,19 @@ class CachedTokenizer:
             self._append(some, flat, np.array([len(ids) for ids in found], np.int64), codes)
 
     def _join(
-        self, pieces: list[str], parts: list[list[str]], numbers: dict[str, int]
+        self, made: list[tuple[str, list[str]]], numbers: dict[str, int], codes: dict[str, int]
     ) -> None:
         """Learn pieces that are parts in a row from the ids of the parts."""
-        codes = self._codes(pa.array([p for some in parts for p in some], pa.string()))
-        counts = np.array([len(some) for some in parts], np.int64)
-        ids, ends = self._gather(codes)
+        counts = np.array([len(some) for _, some in made], np.int64)
+        row = np.fromiter((numbers[p] for _, some in made for p in some), np.int64, counts.sum())
+        ids, ends = self._gather(row)
         lengths = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
-        self._append(pieces, ids, lengths, numbers)
+        self._append([p for p, _ in made], ids, lengths, codes)
 
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces in a row, and where each piece begins."""
         lengths = self._lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         shift = np.repeat(self._starts[codes] - ends[:-1], lengths)
         return self._values[shift + np.arange(ends[-1])], ends
 
@@ -120,54 +124,65 @@ class CachedTokenizer:
         Pieces are known by two 64-bit hashes in sorted arrays: a few dozen bytes each.
         """
         keys = piece_keys(pieces, spaced)
-        codes = self._find(keys)
-        new = np.flatnonzero(codes < 0)
-        if not len(new):
-            return codes
-        new = new[np.unique(keys[0, new], return_index=True)[1]]
-        names = pieces.take(pa.array(new)).to_pylist()
-        if spaced:
-            names = [" " + name for name in names]
-        self._remember(keys[:, new], self._learn(names))
-        codes = self._find(keys)
-        for k in np.flatnonzero(codes < 0):  # the first hash alone is shared with another piece
-            codes[k] = self._learn([" " * spaced + pieces[int(k)].as_py()])[0]
+        order = np.argsort(keys[0])
+        keys = keys[:, order]
+        found = self._find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            # Equal pieces stand together now; of each the first is learned.
+            first = np.ones(len(new), bool)
+            first[1:] = (keys[:, new[1:]] != keys[:, new[:-1]]).any(axis=0)
+            names = pieces.take(pa.array(order[new[first]])).to_pylist()
+            learned = self._learn([" " + n for n in names] if spaced else names)
+            found[new] = learned[np.cumsum(first) - 1]
+            self._remember(keys[:, new[first]], learned)
+        codes = np.empty(len(found), np.int64)
+        codes[order] = found
         return codes
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        if not self._keys.shape[1]:
-            return np.full(keys.shape[1], -1, np.int64)
-        at = np.minimum(np.searchsorted(self._keys[0], keys[0]), self._keys.shape[1] - 1)
-        same = (self._keys[0, at] == keys[0]) & (self._keys[1, at] == keys[1])
-        return np.where(same, self._codes_of_keys[at], -1)
+        """Numbers for keys in ascending order, -1 where unknown."""
+        found = np.full(keys.shape[1], -1, np.int64)
+        for known, numbers in self._known:
+            if len(numbers):
+                at = np.minimum(np.searchsorted(known[0], keys[0]), len(numbers) - 1)
+                same = (known[0, at] == keys[0]) & (known[1, at] == keys[1])
+                found[same] = numbers[at[same]]
+        return found
 
     def _remember(self, keys: np.ndarray, codes: np.ndarray) -> None:
-        known = self._find(keys) >= 0  # learned meanwhile as a part of another
-        keys = np.concatenate([self._keys, keys[:, ~known]], axis=1)
-        order = np.argsort(keys[0], kind="stable")
-        self._keys = keys[:, order]
-        self._codes_of_keys = np.concatenate([self._codes_of_keys, codes[~known]])[order]
+        self._known[1] = _merged(self._known[1], (keys, codes.astype(np.int32)))
+        if len(self._known[1][1]) > RECENT_PIECES:
+            self._known[0] = _merged(*self._known)
+            self._known[1] = (np.zeros((2, 0), np.uint64), np.zeros(0, np.int32))
 
     def _learn(self, names: list[str]) -> np.ndarray:
         """Numbers of new pieces in the order given."""
         parts = [_PARTS.findall(p) for p in names]
         whole = [len(q) < 2 or sum(map(len, q)) != len(p) for p, q in zip(names, parts)]
-        made = [(p, q) for p, q, w in zip(names, parts, whole) if not w]
-        if made:
-            own = pa.array(sorted({part for _, q in made for part in q}), pa.string())
-            self._codes(own)
         codes: dict[str, int] = {}
         self._add([p for p, w in zip(names, whole) if w], codes)
+        made = [(p, q) for p, q, w in zip(names, parts, whole) if not w]
         if made:
-            self._join([p for p, _ in made], [q for _, q in made], codes)
+            own = list({part for _, q in made for part in q})
+            numbers = dict(zip(own, self._codes(pa.array(own, pa.string())).tolist()))
+            self._join(made, numbers, codes)
         return np.fromiter((codes[p] for p in names), np.int64, len(names))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy()
+        begins = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        ids, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for lo, hi in hashing.chunks(begins, SLICE_BYTES):
+            some, own = self._encode(texts.slice(lo, hi - lo))
+            ids.append(some)
+            ends.append(own[1:] + ends[-1][-1])
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self._count > KEPT_PIECES:
             self._clear()
-        texts = pc.fill_null(texts, "")
-        if not len(texts):
-            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         split = pc.ascii_split_whitespace if self._dropped else _split_spaces
         lists = split(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -201,14 +216,14 @@ class CachedTokenizer:
 
 
 def piece_keys(pieces: pa.Array, spaced: bool) -> np.ndarray:
-    """Two independent hashes of each piece, other ones with a space before it."""
+    """Two independent hashes of each piece, or of each with a space before it."""
     data, offsets = hashing.text_bytes(pieces)
-    first = hashing.range_hashes(hashing.prefix_hashes(data), offsets[:-1], offsets[1:])
-    turned = hashing.prefix_hashes(data ^ np.uint8(0xA5))
-    second = hashing.range_hashes(turned, offsets[:-1], offsets[1:])
-    if spaced:
-        first, second = hashing.mix(first + np.uint64(1)), hashing.mix(second + np.uint64(1))
-    return np.stack([first, second])
+    turn = 0xA5
+    return np.stack([
+        hashing.range_hashes(hashing.prefix_hashes(data ^ np.uint8(by)), offsets[:-1], offsets[1:],
+                             32 ^ by if spaced else None)
+        for by in (0, turn)
+    ])
 
 
 def _split_spaces(texts: pa.Array) -> pa.Array:
@@ -226,6 +241,12 @@ def _positions(ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _merged(one: tuple, other: tuple) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([one[0], other[0]], axis=1)
+    order = np.argsort(keys[0], kind="stable")
+    return keys[:, order], np.concatenate([one[1], other[1]])[order]
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
