@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HAN = r"\x{4e00}-\x{9fa5}"
 #: A run of word characters other than Han characters.
 OTHER_WORD = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{HAN}]]+"
+#: Bound of a lexicon that is sent to the executors.
+MAX_LEXICON_BYTES = 256 << 20
 #: Terms a term matrix counts: two word characters or more.
 TERM = r"[\p{L}\p{N}_]{2,}"
 
@@ -37,34 +39,55 @@ def tokenize(
     df: DataFrame,
     column: str,
     words: Sequence[str] = (),
-    dictionary: Iterable[str] | None = None,
+    dictionary: Iterable[str] | DataFrame | None = None,
     out: str = "tokens",
 ) -> DataFrame:
     """Split a text into words by greedy longest match; array column ``out``.
 
     ``words`` are forced words and part of one pattern, matched in the JVM.
-    ``dictionary`` is for lexicons too large for a pattern: they are matched in
-    Arrow batches by the length of the longest entry.
+    ``dictionary`` is for lexicons too large for a pattern: a list, or a table with the
+    column ``word``. They are sent to the executors once, up to :data:`MAX_LEXICON_BYTES`,
+    and matched in Arrow batches.
     """
     if dictionary is None:
         pattern = segmentation_pattern(words)
         return df.withColumn(out, F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))
-    return df.withColumn(out, _longest_match({*words, *dictionary})(F.col(column)))
-
-
-def _longest_match(lexicon: set[str]):
-    shared = frozenset(lexicon)
-    longest = max(map(len, shared), default=1)
+    lexicon = {*words, *_listed(dictionary)}
+    size = sum(len(w.encode()) + 64 for w in lexicon)
+    if size > MAX_LEXICON_BYTES:
+        raise ValueError(f"a lexicon of about {size} bytes is above {MAX_LEXICON_BYTES}")
+    return df.withColumn(out, _longest_match(df.sparkSession, lexicon)(F.col(column)))
+
+
+def _listed(dictionary: Iterable[str] | DataFrame) -> Iterable[str]:
+    """The words; of a table no more than the bound allows are read."""
+    if not isinstance(dictionary, DataFrame):
+        return dictionary
+    known = dictionary.select("word").filter("word <> ''").distinct()
+    size = known.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    if size > MAX_LEXICON_BYTES:
+        raise ValueError(f"a lexicon of about {size} bytes is above {MAX_LEXICON_BYTES}")
+    return [r.word for r in known.collect()]
+
+
+def _longest_match(spark, lexicon: set[str]):
+    # By first character, with the lengths that occur there, longest first.
+    lengths: dict[str, set[int]] = {}
+    for word in lexicon:
+        lengths.setdefault(word[0], set()).add(len(word))
+    shared = spark.sparkContext.broadcast(
+        (frozenset(lexicon), {c: sorted(n, reverse=True) for c, n in lengths.items()})
+    )
     other = re.compile(r"[^\W一-龥]+")
 
     def split(text: str | None) -> list[str] | None:
         if text is None:
             return None
+        known, sizes = shared.value
         tokens, at = [], 0
         while at < len(text):
             end = next(
-                (e for e in range(min(len(text), at + longest), at, -1) if text[at:e] in shared),
-                0,
+                (at + n for n in sizes.get(text[at], ()) if text[at : at + n] in known), 0
             )
             if not end:
                 run = other.match(text, at)
@@ -87,34 +110,45 @@ def _longest_match(lexicon: set[str]):
 
 
 @lru_cache
-def _accent_table() -> tuple[str, str]:
-    """Characters with one base character, and those bases.
+def _accent_table() -> tuple[str, str, str]:
+    """Characters with one base character, those bases, and a pattern for all others that
+    a decomposition changes.
 
-    Follows from the Unicode compatibility decomposition over the Latin, Greek
-    and Cyrillic blocks and the full-width forms; combining marks come last and
-    have no counterpart, which deletes them.
+    Follows from the Unicode compatibility decomposition of every code point; combining
+    marks come last among the characters and have no counterpart, which deletes them.
     """
-    blocks = [(0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0xFF01, 0xFFEF)]
-    source, target = [], []
-    for start, end in blocks:
-        for char in map(chr, range(start, end)):
-            parts = unicodedata.normalize("NFKD", char)
-            base = "".join(c for c in parts if not unicodedata.combining(c))
-            if base != char and len(base) == 1:
-                source.append(char)
-                target.append(base)
-    marks = [c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c)]
-    return "".join(source + marks), "".join(target)
+    source, target, marks, wide = [], [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(char)
+            continue
+        parts = unicodedata.normalize("NFKD", char)
+        base = "".join(c for c in parts if not unicodedata.combining(c))
+        if base == char:
+            continue
+        if len(base) == 1:
+            source.append(char)
+            target.append(base)
+        elif wide and wide[-1][1] == code - 1:
+            wide[-1][1] = code
+        else:
+            wide.append([code, code])
+    ranges = "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in wide)
+    return "".join(source + marks), "".join(target), f"(?=[^\\x00-\\x7f])[{ranges}]"
 
 
 def strip_accents(text: Column) -> Column:
-    """Letters without their accents, for alphabets and full-width forms.
+    """Compatibility decomposition without combining marks, for any script.
 
-    Characters that decompose into several (ligatures, fractions, Hangul) stay;
-    :func:`strip_accents_full` covers them.
+    One table look-up per character in the JVM. Only texts with characters that become
+    several (ligatures, fractions, squared units, Hangul) go through Arrow.
     """
-    source, target = _accent_table()
-    return F.translate(text, source, target)
+    source, target, several = _accent_table()
+    rare = strip_accents_full(F.when(text.rlike(several), text))
+    return F.coalesce(rare, F.translate(text, source, target))
 
 
 @F.pandas_udf(T.StringType())

@@ -1,3 +1,6 @@
+from functools import reduce
+from operator import or_
+
 import random
 import re
 
@@ -206,3 +209,51 @@ def test_own_rule_table(spark):
     assert f.tag_turns(spark.createDataFrame(rows, TURN), rules, codes=False).schema[
         "greets"
     ].dataType.typeName() == "boolean"
+
+
+OTHER = (
+    "(?i)refund", "(?i)yes|no", r"(ab)\1|(cd)\2", r"(ab)\1|x(cd)\2", "[a-z&&[^b]]", "[a-z&&[^b]]x",
+    r"no.*|yes\.*", r"wait\.*", r"\Qa.b\E|c", "a||b", "|x", "(|a)b", "(?:a|)c", "(?=x)y|xy", "(?<!a)b",
+    "(?<w>ab)\\k<w>", "a.*", ".*", "^.*b", "^.*?b", "(，|。|！|？)?[^，。！？]*?x", "[[a-c]d]", "[]a]x",
+    "[^]a]x", "[a-c[x-z]]", r"\p{L}\p{N}", r"\d\s", r"\bno\b", "a{2}", "a{2,}b", "a+?b", "a*+b", "(?s)a.b",
+    "(?m)^x", "(?x) a b", "[.*]", r"x\\.*", r"\x{61}b", r"\\x", "a|b|c|d|e|f|g|h|i|j|k|l|m", "[a-zA-Z]1", "(a|b)(c|d)",
+    "ab?c", "no$", "[^a-y ]", "(?i:Ab)c", "(?-i)ab", "yes|(?i)NO", r"\(a\)", "a\\|b", "[a&&b]", "[&]x", "x(?!y)",
+)
+
+
+@pytest.mark.parametrize("words, widest", [(10, 64), (0, 0), (10_000, 10_000)])
+def test_occurs_equals_the_matcher(spark, monkeypatch, words, widest):
+    """Any valid pattern, whatever the limits of the rewriting."""
+    import random
+
+    from callweave.functions import patterns
+
+    monkeypatch.setattr(patterns, "MOST_WORDS", words)
+    monkeypatch.setattr(patterns, "WIDEST_RANGE", widest)
+    patterns.one_scan.cache_clear()
+    rng = random.Random(words)
+    parts = ["ab", "cd", "a", "b", "x", "y", " ", "\n", "NO", "no", "yes", "Refund", ".", "\\", "，", "1", "wait", "(a)", "|", "&", "]"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(7))) for _ in range(150)]
+    texts += ["Refund please", "NO way", "cdcd", "xcdcd", "c", "cx", "yes", "wait.", "a.b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    text = F.col("text")
+    pairs = [OTHER[i : i + 2] for i in range(0, len(OTHER) - 1, 3)]
+    checks = [(p,) for p in OTHER] + [tuple(p) for p in pairs]
+    try:
+        for start in range(0, len(checks), 30):
+            some = checks[start : start + 30]
+            rows = df.select(
+                "text",
+                *[
+                    F.struct(
+                        occurs(text, *ps).alias("got"),
+                        reduce(or_, [text.rlike(p) for p in ps]).alias("want"),
+                    ).alias(f"c{i}")
+                    for i, ps in enumerate(some)
+                ],
+            ).collect()
+            for row in rows:
+                for i, ps in enumerate(some):
+                    assert row[f"c{i}"].got == row[f"c{i}"].want, (ps, row.text)
+    finally:
+        patterns.one_scan.cache_clear()

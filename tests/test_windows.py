@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import Window, functions as F
@@ -85,3 +86,55 @@ def test_previous_turn_equals_self_join(spark):
     assert tuples(shifted, "callid", "seq_id", "before") == tuples(
         joined, "callid", "seq_id", "before"
     )
+
+
+def partition_sizes(df):
+    return [n for n in df.rdd.glom().map(len).collect() if n]
+
+
+def test_hot_call_is_many_tasks_even_when_hashed_by_call(spark):
+    from callweave.operators.windows import previous_turn
+
+    n = 20_000
+    turns = spark.range(n).select(F.lit("hot").alias("callid"), F.col("id").alias("seq_id"))
+    hashed = turns.repartition(4, "callid")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        marked = previous_turn(hashed, {"even": F.col("seq_id") % 2 == 0})
+        sizes = partition_sizes(marked)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == n and len(sizes) > 1 and max(sizes) < n / 2
+    assert marked.filter("even").count() == n // 2
+
+
+def test_numbering_with_a_target_reads_its_input_once(spark, tmp_path):
+    from callweave.operators.agents import agent_performance, rank_agents
+
+    spark.range(50).selectExpr(
+        "id % 7 as owner_id", "id as dun_case_id", "cast(id % 5 as double) as dun_repay_amount",
+        "cast(10 as double) as start_owing_amount", "'PRO' as model",
+    ).write.parquet(str(tmp_path / "in"))
+    performance = agent_performance(spark.read.parquet(str(tmp_path / "in")), "PRO")
+    ranked = rank_agents(performance, target=str(tmp_path / "out"))
+    assert str(tmp_path / "in") not in ranked._jdf.queryExecution().toString()
+    plain = rank_agents(performance)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_equal_rates_are_ranked_by_owner_in_runs(spark):
+    from callweave.operators.agents import rank_agents
+
+    rows = [(k, 1, [None, 0.0, 0.0, 0.5][k % 4]) for k in range(400)]
+    df = spark.createDataFrame(rows, "owner_id long, tot_case_num long, repay_rate double")
+    got = {r.owner_id: r.jx_rank for r in rank_agents(df, steps=16).collect()}
+    order = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+    assert got == {r[0]: i for i, r in enumerate(order, start=1)}
+
+
+@pytest.mark.parametrize("query", ["c4_agent_flags", "c6_call_metrics", "c7_call_features"])
+def test_conversation_queries_deal_nothing_by_call(spark, query):
+    import __spark_entry__ as entry
+
+    df = entry.queries()[query](spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" not in df._jdf.queryExecution().toString()

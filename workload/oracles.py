@@ -9,7 +9,9 @@ from callweave.operators.reports import (
     ALL_SELF_METRICS, CONTACT_METRICS, NUMERIC, SELF_METRICS,
 )
 from workload.bindings import BEFORE, CUTOFF, MONTH, SINCE
-from workload.queries import LATIN_RULES, LEMMAS, MODEL_LIKE, STOPWORDS
+from workload.queries import (
+    DECOMPOSED, LATIN_RULES, LEMMAS, MODEL_LIKE, OTHER_PATTERNS, STOPWORDS,
+)
 from workload.sqlparts import (
     CALL_COLUMNS, METRIC_COLUMNS, quote, rule_column, trigger_rows, with_parts,
 )
@@ -78,6 +80,12 @@ from doc_terms group by 1, 2""",
     lambda w: w not in ({_STOP})), ' '), '[[:punct:]]', '', 'g'), '\s+'),
   lambda w: w <> ''), lambda w: {_LEMMA})) as term
 from documents where lang = 'en'""",
+    "kept_transcripts": """select * from transcripts
+where phone_type is distinct from 'self' and duration >= 10""",
+    "transcript_words": rf"""select owner_id, unnest(list_filter(list_transform(
+  regexp_extract_all(content, '打个电话|打电话|征信|[\x{{4e00}}-\x{{9fa5}}]|[\p{{Latin}}\p{{M}}\p{{N}}_]+', 0),
+  lambda w: lower(w)), lambda w: length(w) >= 2 and w not in ({_STOP}))) as term
+from kept_transcripts""",
     "probabilities": """select doc_id, source as owner_id,
   case when n_chars % 19 <> 0 then (n_chars % 101) / 100.0::double end as topic0_prob
 from documents""",
@@ -259,6 +267,27 @@ from (select callid, seq_id, regexp_extract_all(content,
   '紧急联系人|打个电话|打电话|征信|[\x{4e00}-\x{9fa5}]|[\p{Latin}\p{M}\p{N}_]+', 0) as tokens from turns)""",
     "t1_tokenize_documents": r"""select doc_id, cast(len(regexp_extract_all(text,
   '打个电话|打电话|[\x{4e00}-\x{9fa5}]|[\p{L}\p{M}\p{N}_]+', 0)) as int) as n_tokens from documents""",
+    "t1_tokenize_lexicon": r"""select doc_id, cast(len(tokens) as int) as n_tokens,
+  array_to_string(tokens, ' ') as cut_words
+from (select doc_id, regexp_extract_all(lower(text), 'oredthe|' || (
+        select string_agg(word, '|' order by length(word) desc, word) from (
+          select word, count(*) as n
+          from (select unnest(string_split(lower(text), ' ')) as word from documents)
+          where regexp_full_match(word, '[a-z]{2,4}') group by 1) where n >= 20)
+      || '|[\x{4e00}-\x{9fa5}]|[\p{L}\p{M}\p{N}_]+', 0) as tokens
+  from documents)""",
+    "r0_other_patterns": "select conv_id, turn, " + ", ".join(
+        f"regexp_matches(text, {quote(p)}) as p{i}" for i, p in enumerate(OTHER_PATTERNS)
+    ) + ", " + " or ".join(f"regexp_matches(text, {quote(p)})" for p in OTHER_PATTERNS[1:4])
+    + " as any_of from conversations",
+    "t4_other_characters": f"""select p_partkey, p_name
+  || list_extract([{", ".join(quote(base) for _, base in DECOMPOSED)}],
+    cast(p_partkey % {len(DECOMPOSED)} as int) + 1) || ' E' as plain from part""",
+    "l2_topic_plan": """select owner_id, n_calls, coalesce(n_terms, 0) as n_terms,
+  coalesce(n_known, 0) as n_known, n_calls as n_binned
+from (select owner_id, count(*) as n_calls from kept_transcripts group by 1)
+left join (select owner_id, count(*) as n_terms, least(count(distinct term), 1000) as n_known
+           from transcript_words group by 1) using (owner_id)""",
     "t2_clean_english": rf"""select doc_id, array_to_string(list_transform(list_filter(
   regexp_split_to_array(regexp_replace(array_to_string(list_filter(
     regexp_split_to_array(regexp_replace(lower(text), '^ +| +$', '', 'g'), '\s+'),

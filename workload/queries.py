@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callweave.functions import columns as c, predicates as p, text as t
-from callweave.functions.rules import Rule, Trigger, trigger_hit
+from callweave.functions.rules import Rule, Trigger, occurs, trigger_hit
 from callweave.functions.rules_zh import (
     AGENT_RULES, AGENT_SEQUENCE, SHOWN_ONLY_WITH, SPOKEN_WORDS, TIME_ASKED, USER_RULES,
     USER_SEQUENCE,
@@ -19,6 +19,7 @@ from callweave.operators import (
 )
 from callweave.plans.calls import Era, build_calls
 from callweave.plans.features import features_from_turns
+from callweave.plans.topics import agent_topics
 from callweave.session import shared_dir
 from callweave.sources import sinks, tables
 from workload import bindings as b
@@ -561,6 +562,22 @@ def r0_rule_counts(spark, sf):
     )
 
 
+#: Patterns outside the Mandarin set, in the syntax that both engines share.
+OTHER_PATTERNS = (
+    "(?i)THE|and", "(?i)quoi|NON", "tion\\.*", "en.*|an\\.*", "(?:un|in)[a-z]+ed", "a{2,3}",
+    "[^a-z ]{3}", "(re|de)(en|an)", "^[A-Z][a-z]+ ", "[.]$", "(?s)on.*er.*[.]", "x|",
+    "e(?:r|s)+ ", "[a-c][d-f]|[x-z]", "th(?:at|is|e)", "\\d+|[é-ü]+n", "(?:sch|ung)+", "\\.\\.",
+)
+
+
+@query
+def r0_other_patterns(spark, sf):
+    turns_ = tables.read_table(spark, sf, "conversations")
+    found = {f"p{i}": occurs(F.col("text"), p) for i, p in enumerate(OTHER_PATTERNS)}
+    pair = {"any_of": occurs(F.col("text"), *OTHER_PATTERNS[1:4])}
+    return turns_.withColumns({**found, **pair}).drop("text", "role")
+
+
 # --- composed chains ---------------------------------------------------------
 
 
@@ -678,6 +695,27 @@ def t1_tokenize_documents(spark, sf):
     return cut.select("doc_id", F.size("tokens").alias("n_tokens"))
 
 
+def _lexicon(spark, sf):
+    """Short words of the documents that are frequent."""
+    words = tables.read_table(spark, sf, "documents").select(
+        F.explode(F.split(F.lower("text"), " ")).alias("word")
+    )
+    return (
+        words.filter("length(word) between 2 and 4 and word rlike '^[a-z]+$'")
+        .groupBy("word").count().filter("count >= 20").select("word")
+    )
+
+
+@query
+def t1_tokenize_lexicon(spark, sf):
+    """Greedy longest match with a word table."""
+    texts = b.documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
+    cut = t.tokenize(texts, "text", ["oredthe"], dictionary=_lexicon(spark, sf))
+    return cut.select(
+        "doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("cut_words")
+    )
+
+
 @query
 def t2_clean_english(spark, sf):
     cleaned = t.clean_english(
@@ -720,6 +758,20 @@ def t4_strip_accents_full(spark, sf):
     )
 
 
+#: Characters that become several, or that lie outside the alphabets, and their bases.
+DECOMPOSED = (("①", "1"), ("ﬁ", "fi"), ("½", "1⁄2"), ("㎡", "m2"), ("豈", "豈"), ("ｶﾞ", "カ"), ("é̂", "e"), ("𝔘", "U"))
+
+
+@query
+def t4_other_characters(spark, sf):
+    marks = F.array(*[F.lit(char) for char, _ in DECOMPOSED])
+    pick = (F.col("p_partkey") % len(DECOMPOSED) + 1).cast("int")
+    texts = tables.read_table(spark, sf, "part").withColumn(
+        "text", F.concat("p_name", F.element_at(marks, pick), F.lit(" É"))
+    )
+    return texts.select("p_partkey", t.strip_accents(F.col("text")).alias("plain"))
+
+
 def _terms(spark, sf):
     documents = b.documents(spark, sf).withColumnRenamed("source", "owner_id")
     return vocabulary.term_rows(
@@ -860,6 +912,21 @@ def l4_describe_one_topic(spark, sf):
     return topics.describe_topics(l1_one_topic(spark, sf), 12)
 
 
+@query
+def l2_topic_plan(spark, sf):
+    """Transcripts to topic shares: what every agent's model is made of."""
+    transcripts = stored(_transcripts(spark, sf), "transcripts")
+    made = agent_topics(transcripts, [*SPOKEN_WORDS, "征信"], stopwords=STOPWORDS)
+    calls_ = made.calls.groupBy("owner_id").agg(F.count("*").alias("n_calls"))
+    terms = made.terms.groupBy("owner_id").agg(F.count("*").alias("n_terms"))
+    known = made.fitted.vocabulary.groupBy("owner_id").agg(F.count("*").alias("n_known"))
+    binned = made.shares.groupBy("owner_id").agg(F.sum("num").alias("n_binned"))
+    return (
+        calls_.join(terms, "owner_id", "left").join(known, "owner_id", "left")
+        .join(binned, "owner_id", "left").fillna(0)
+    )
+
+
 @query
 def l4_describe_given_topics(spark, sf):
     return topics.describe_topics(_language_weights(spark, sf), 10, "words")
