@@ -81,7 +81,26 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("seg_no") * 5 + F.length("line")
     ) % len(PHRASES)
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (pick + 1).cast("int"))
-    return split.withColumn("rt_text", F.concat("line", F.lit("，"), phrase, F.lit("。")))
+    return split.withColumn(
+        "rt_text", F.concat("line", F.lit("，"), phrase, F.lit("。"), _exchange())
+    )
+
+
+#: What customer and agent say in some conversations, so that the rules that look at the
+#: turn before have work: a denial, and a farewell or a reassurance.
+DENIAL, FAREWELL, REASSURANCE, REDUCTION = "我不认识他。", "好的，再见。", "别误会，我只是核对一下。", "能不能减免一点。"
+
+
+def _exchange() -> Column:
+    user = F.col("channel") == "USER"
+    return F.coalesce(
+        F.when(
+            (F.col("seg_no") == 0) & (F.col("conv_id") % 3 == 0),
+            F.when(user, DENIAL).when(F.col("conv_id") % 2 == 0, FAREWELL).otherwise(REASSURANCE),
+        ),
+        F.when((F.col("seg_no") == 0) & (F.col("conv_id") % 3 == 1) & user, REDUCTION),
+        F.lit(""),
+    )
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
