@@ -21,6 +21,8 @@ RECOMMENDED = {
     # Splits hot owners at the export (rebalance hint).
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows are whole texts: smaller batches keep the Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # The JVM compiles methods up to 8000 bytes only. The rule projection is larger
     # as one generated stage; beyond the limit Spark splits it into small methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
