@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 
 from callweave.llm import hashing
 
-#: Pieces kept by a worker before it starts anew: bounds its memory.
-KEPT_PIECES = 2_000_000
+#: Pieces known to a worker before it forgets the rare ones: bounds its memory.
+KEPT_PIECES = 1_000_000
 #: New pieces that are kept apart before they are sorted in among the others.
-RECENT_PIECES = 200_000
+RECENT_PIECES = 100_000
 #: Bytes of text that are cut and looked up at once.
 SLICE_BYTES = 6 << 20
 #: Pieces with their leading space, and white space, as the byte-level pattern cuts them.
@@ -63,6 +63,27 @@ class CachedTokenizer:
         self._lengths = np.zeros(1024, np.int32)
         self._values = np.zeros(4096, np.uint32)
         self._used = 0
+        self._hits = np.zeros(1024, np.uint8)
+
+    def _forget(self) -> None:
+        """Keep the pieces met again since they were learned, at most half of the bound."""
+        hits = self._hits[: self._count]
+        least = 1
+        while (hits >= least).sum() > KEPT_PIECES // 2 and least < 255:
+            least += 1
+        keep = np.flatnonzero(hits >= least)[: KEPT_PIECES // 2]
+        keys, codes = _merged(*self._known)
+        values, ends = self._gather(keep)
+        number = np.full(self._count, -1, np.int32)
+        number[keep] = np.arange(len(keep))
+        lengths = self._lengths[keep]
+        self._clear()
+        self._count, self._used = len(keep), len(values)
+        self._starts = ends[:-1].astype(np.int32)
+        self._lengths, self._values = lengths, values
+        self._hits = np.zeros(len(keep), np.uint8)
+        kept = number[codes] >= 0
+        self._known[0] = (keys[:, kept], number[codes[kept]])
 
     def _add(self, pieces: list[str], codes: dict[str, int]) -> None:
         """Learn the ids of new pieces; many at once, as one text with marks between."""
@@ -111,6 +132,7 @@ class CachedTokenizer:
         n, used = self._count, self._used
         self._starts = _room(self._starts, n + len(pieces))
         self._lengths = _room(self._lengths, n + len(pieces))
+        self._hits = _room(self._hits, n + len(pieces))
         self._values = _room(self._values, used + len(ids))
         self._lengths[n : n + len(pieces)] = lengths
         self._starts[n : n + len(pieces)] = used + np.cumsum(lengths) - lengths
@@ -128,6 +150,8 @@ class CachedTokenizer:
         keys = keys[:, order]
         found = self._find(keys)
         new = np.flatnonzero(found < 0)
+        again = np.unique(found[found >= 0])
+        self._hits[again] = np.minimum(self._hits[again], 254) + 1
         if len(new):
             # Equal pieces stand together now; of each the first is learned.
             first = np.ones(len(new), bool)
@@ -182,7 +206,7 @@ class CachedTokenizer:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self._count > KEPT_PIECES:
-            self._clear()
+            self._forget()
         split = pc.ascii_split_whitespace if self._dropped else _split_spaces
         lists = split(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -250,7 +274,7 @@ def _merged(one: tuple, other: tuple) -> tuple[np.ndarray, np.ndarray]:
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
-    grown = np.zeros(max(size, 2 * len(array)), array.dtype)
+    grown = np.zeros(max(size, len(array) + len(array) // 2), array.dtype)
     grown[: len(array)] = array
     return grown
 

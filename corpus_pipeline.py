@@ -11,30 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from callweave.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from callweave.llm.common import documents, run_folder, stored
 from callweave.llm.queries import vocabulary
+from callweave.session import tune
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    tune(spark)
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of equal texts stays."""
+    tune(spark)
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near copies stays."""
+    tune(spark)
     return near_dedup.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source to its target, by whole epochs and a weighted selection."""
+    tune(spark)
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document stands in the training sequences."""
+    tune(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

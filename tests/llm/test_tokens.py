@@ -50,7 +50,7 @@ def test_cache_starts_anew(monkeypatch):
 
     monkeypatch.setattr(tokens, "KEPT_PIECES", 5)
     fresh = CachedTokenizer(BYTES)
-    for k in range(4):
+    for k in range(12):
         ids, offsets = fresh.encode(pa.array([f"one two{k} three{k} four {k}", None, ""]))
         assert ids[: offsets[1]].tolist() == ids_of(PLAIN[BYTES], f"one two{k} three{k} four {k}")
         assert offsets.tolist()[1:] == [len(ids)] * 3
