@@ -31,6 +31,10 @@ _BLANK_END = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 #: Words and marks that both patterns always cut apart; other pieces are looked up whole.
 _PARTS = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[.,:;!?*#$%&|<>]+|\n(?=[A-Za-z])")
 
+#: A word as both patterns keep it whole and both normalisations treat it letter by letter.
+_LETTERS = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_SAMPLE = ("word", " Words", "Été", " straße", "a", "xyzzyx")
+
 
 class CachedTokenizer:
     """``encode`` of an Arrow string array gives all ids in one array, and offsets.
@@ -50,11 +54,18 @@ class CachedTokenizer:
         )
         self._mark = "\n" if not self._dropped else " ☃☃ "
         self._mark_ids = np.array(self._ids("b" + self._mark)[len(self._ids("b")):], np.uint32)
+        self._byte_letters = _byte_letters()
+        self._direct = all(self._word(w).tolist() == self._ids(w) for w in _SAMPLE)
         self._clear()
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _word(self, word: str) -> np.ndarray:
+        """Ids of one run of letters, straight from the merges."""
+        text = (word.strip().lower() if self._dropped else word).translate(self._byte_letters)
+        return np.array([t.id for t in self._tokenizer.model.tokenize(text)], np.uint32)
+
     def _clear(self) -> None:
         # Two sorted tables of keys and numbers: all pieces, and the recent ones.
         self._known = [(np.zeros((2, 0), np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
@@ -87,6 +98,15 @@ class CachedTokenizer:
 
     def _add(self, pieces: list[str], codes: dict[str, int]) -> None:
         """Learn the ids of new pieces; many at once, as one text with marks between."""
+        if self._direct:
+            words = [p for p in pieces if _LETTERS.fullmatch(p)]
+            tokenize, table = self._tokenizer.model.tokenize, self._byte_letters
+            fold = str.lower if self._dropped else str
+            found = [[t.id for t in tokenize(fold(w).translate(table))] for w in words]
+            lengths = np.array([len(f) for f in found], np.int64)
+            flat = np.fromiter((i for f in found for i in f), np.uint32, lengths.sum())
+            self._append(words, flat, lengths, codes)
+            pieces = [p for p in pieces if not _LETTERS.fullmatch(p)]
         together = [p for p in pieces if not _unsafe(p, self._mark)]
         alone = [p for p in pieces if _unsafe(p, self._mark)]
         for start in range(0, len(together), 4096):
@@ -265,6 +285,17 @@ def _positions(ids: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for a character's bytes in byte-level vocabularies."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {
+        code: "".join(part for part, _ in level.pre_tokenize_str(chr(code)))
+        for code in [32, *range(0xC0, 0x100)]
+    }
+
+
 def _merged(one: tuple, other: tuple) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([one[0], other[0]], axis=1)
     order = np.argsort(keys[0], kind="stable")
