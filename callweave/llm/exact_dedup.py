@@ -54,9 +54,12 @@ def group_report(docs: DataFrame, text: str = "text", folder: str | None = None)
         marked.filter("__maybe").groupBy("text_sha256", "doc_id")
         .agg(F.count("*").alias("__copies"))
     )
-    groups = (
+    # A table of its own: the join's sides are then both plain exchanges, and Spark can
+    # split a group that makes up a large part of the rows.
+    groups = stored(
         marked.filter("__maybe").groupBy("text_sha256")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")),
+        folder, "groups",
     )
     repeated = (
         rows.join(groups, "text_sha256")
