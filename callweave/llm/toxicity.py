@@ -153,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", folder: str | No
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE)
     )
+    # At most MAX_SAMPLE ids are broadcast; the texts stay where they are.
     sample = stored(
-        docs.select("doc_id", F.col(text).alias("text")).join(chosen, "doc_id")
+        docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
         .select("text", F.col("toxic").cast("int").alias("toxic")),
         folder, "sample",
     )
