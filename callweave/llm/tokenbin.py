@@ -27,11 +27,13 @@ from callweave.llm.tokens import tokenizer
 
 END = 0
 SCALE_BITS = 20
-LANES = 512
-#: Steps between checkpoints: 65 536 ids.
+LANES = 1024
+#: Steps between checkpoints: 131 072 ids.
 CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 18
 FILE_TOKENS = 1 << 23
+#: A table of one row per file is broadcast up to this many files, else joined by shuffle.
+BROADCAST_FILES = 1 << 18
 _MAGIC = 0x534E4152
 _HEADER = struct.Struct("<7I")
 _LOW = np.uint64(1 << 31)
@@ -165,8 +167,8 @@ def write(docs: DataFrame, path: str, target: str, text: str = "text", folder: s
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                counts += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            data = b"".join(batch.column("ids").to_pylist())
+            counts += np.bincount(np.frombuffer(data, kind), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["id", "n"])
 
@@ -234,6 +236,8 @@ def read(spark: SparkSession, target: str, path: str) -> DataFrame:
         stored_blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"))
         .select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     )
+    if stored_blocks.select("file").distinct().count() <= BROADCAST_FILES:
+        files = F.broadcast(files)
     placed = stored_blocks.join(files, "file").select(
         (F.col("base") + F.col("before")).alias("start"), "doc_ids", "sizes", "payload"
     )

@@ -129,10 +129,10 @@ def test_parts_decode_alone_and_damage_shows():
     table = tokenbin.Table(np.bincount(ids, minlength=1000))
     payload = tokenbin.encode_block(ids, table)
     size = tokenbin.CHECKPOINT_STEPS * tokenbin.LANES
-    for part in (4, 0, 2):
+    for part in (2, 0, 1):
         assert (tokenbin.decode_part(payload, table, part) == ids[part * size : (part + 1) * size]).all()
     entropy = -sum(p * np.log2(p) for p in np.bincount(ids) / len(ids) if p) * len(ids) / 8
-    assert len(payload) < entropy * 1.05 + 5 * (4 + 8 * tokenbin.LANES)
+    assert len(payload) < entropy * 1.05 + 3 * (4 + 8 * tokenbin.LANES)
     broken = bytearray(payload)
     broken[len(broken) // 2] ^= 1
     with pytest.raises(ValueError):
