@@ -71,11 +71,14 @@ def _speaker_flags(
         turns = previous_turn(
             turns, {n: trigger_hit(t, content, channel) for n, t in triggers.items()}
         )
-    with_call = attach_call_attributes(by_channel(turns, speaker), calls_plus)
+    # Before the join: a call of two users then pays once for its texts.
+    hits = {f"__hit_{r.name}": raw_hit(r, content, channel) for r in rules}
+    tagged = by_channel(turns, speaker).withColumns(hits)
+    with_call = attach_call_attributes(tagged, calls_plus)
     contact = F.col("contact_type")
     flags = {}
     for rule in rules:
-        flag = settle(rule, raw_hit(rule, content, channel), contact)
+        flag = settle(rule, F.col(f"__hit_{rule.name}"), contact)
         flags[rule.name] = flag_text(flag, rule.code) if codes else flag
     return with_call.withColumns(flags).select(
         "dt", "owner_id", "file_date", "callid", "channel", "content", "seq_id", "speed",

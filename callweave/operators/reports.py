@@ -50,6 +50,7 @@ ALL_SELF_METRICS = NUMERIC + (
 
 def _share_deviation(hits: Column, count: Column) -> Column:
     """Sample deviation of 0/1 values from their sum; NULL for a single value."""
+    hits = hits.cast("double")  # the square of a large sum is no long
     squares = hits - hits * hits / count
     return F.sqrt(F.try_divide(squares, count - 1))
 
