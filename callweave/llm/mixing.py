@@ -16,7 +16,7 @@ from callweave.llm.common import run_folder, stored, word_count
 from callweave.operators.windows import spread_row_number
 
 #: Slots of the key: the largest sort is about a source's rows divided by this.
-KEY_SLOTS = 65536
+KEY_SLOTS = 4096
 SEED = 20240229
 
 
