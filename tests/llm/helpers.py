@@ -40,3 +40,17 @@ def corpus(seed=3, n=60):
              (5, "another text under a used id " * 8, "en", "s1")]
     rng.shuffle(rows)
     return rows
+
+
+def family(copies, seed=11):
+    """A base of 300 words and copies with six words changed: 0.8 and more alike to the
+    base, far less to each other."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(300)]
+    rows = [(0, " ".join(base), "en", "s0")]
+    for k in range(1, copies + 1):
+        own = list(base)
+        for place in range(6):
+            own[rng.randrange(50 * place + 5, 50 * place + 45)] = f"e{k}p{place}"
+        rows.append((k, " ".join(own), "en", "s0"))
+    return rows

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import corpus, frame
+from helpers import corpus, family, frame
 
 from callweave.llm import (
     exact_dedup, hashing, language, line_quality, mixing, near_dedup, repeats, toxicity,
@@ -231,6 +231,12 @@ def test_near_keep_one(docs):
     assert kept.count() <= docs.count()
 
 
+def test_copies_alike_only_through_their_base(spark):
+    rows = family(300)
+    got = near_dedup.class_report(frame(spark, rows)).collect()
+    assert {(r["class_id"], r["class_size"]) for r in got} == {(0, len(rows))}
+
+
 def test_probability_jaccard_of_arrays():
     rng = np.random.default_rng(5)
     for _ in range(40):
