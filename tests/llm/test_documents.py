@@ -237,6 +237,17 @@ def test_copies_alike_only_through_their_base(spark):
     assert {(r["class_id"], r["class_size"]) for r in got} == {(0, len(rows))}
 
 
+def test_repeated_lines_do_not_hide_a_near_copy(spark):
+    rows = []
+    for k in range(20):
+        body = " ".join(f"d{k}w{i}" for i in range(200))
+        line = "\n" + " ".join(f"d{k}r{i}" for i in range(10))
+        rows += [(2 * k, body + line * 2, "en", "s0"), (2 * k + 1, body + line * 100, "en", "s0")]
+    got = near_dedup.class_report(frame(spark, rows)).collect()
+    assert {(r["doc_id"] // 2 * 2, r["class_size"]) for r in got} == {(2 * k, 2) for k in range(20)}
+    assert all(r["class_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
 def test_probability_jaccard_of_arrays():
     rng = np.random.default_rng(5)
     for _ in range(40):
