@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from helpers import corpus, frame
+from helpers import corpus, family, frame
 from test_documents import WORD, probability_jaccard, shingle_counts
 from tokenizers import Tokenizer
 
@@ -81,3 +81,9 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, folder).collect()
     pieces = lambda rows_: collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows_)
     assert pieces(whole) == pieces(packed)
+
+
+def test_near_stage_keeps_one_of_a_large_family(spark):
+    rows = family(400, seed=5)
+    kept = corpus_pipeline.near(spark, frame(spark, rows), "").collect()
+    assert [r["doc_id"] for r in kept] == [0]
