@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from callweave.llm.common import fold
 
@@ -40,13 +40,7 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang") -> dic
         F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)
     )
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    rows = (
-        known.filter(F.length("text").between(*SAMPLE_CHARS))
-        .select("lang", "text", F.xxhash64("text").alias("h"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-        .filter(F.col("r") <= SAMPLE_TEXTS)
-        .collect()
-    )
+    rows = _sample(known.filter(F.length("text").between(*SAMPLE_CHARS)), SAMPLE_TEXTS)
     found: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         found.setdefault(row["lang"], []).append(plain(row["text"]))
@@ -57,6 +51,20 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang") -> dic
     return out
 
 
+def _sample(known: DataFrame, n: int) -> list[Row]:
+    """lang, r, text: the first ``n`` different texts of each language by their hashes."""
+    hashed = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = (
+        hashed.select("lang", "h").distinct()
+        .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n)
+    )
+    return (
+        hashed.join(F.broadcast(chosen), ["lang", "h"])
+        .groupBy("lang", "r").agg(F.min("text").alias("text")).collect()
+    )
+
+
 def plain(text: str) -> bytes:
     """Lower-case words only: marks and figures tell nothing of the language."""
     return _OTHER.sub(" ", text.lower()).encode()

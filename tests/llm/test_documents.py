@@ -385,6 +385,16 @@ def test_machine_learns_pairs():
     assert one[2] > 0.5 > max(one[:2])
 
 
+def test_language_sample_counts_copies_once(spark):
+    texts = [" ".join(f"{w}{chr(97 + k)}" for w in ("wort", "haus", "baum", "licht", "wasser", "garten", "strasse")) for k in range(12)]
+    rows = [(4 * k + j * 1000, t, "de", "s0") for k, t in enumerate(texts) for j in range(120)]
+    found = language.dictionaries(frame(spark, rows))["de"].decode()
+    from callweave.llm.common import fold
+    from pyspark.sql import functions as F
+    labelled = frame(spark, rows).filter(fold(F.col("doc_id")) != 2).select("text").distinct().collect()
+    assert len(labelled) > 1 and all(r["text"] in found for r in labelled)
+
+
 def test_language(spark):
     import random
 
