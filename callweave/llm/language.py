@@ -18,6 +18,9 @@ from callweave.llm.common import fold
 SAMPLE_TEXTS = 96
 SAMPLE_CHARS = (40, 4000)
 DICTIONARY_BYTES = 112 << 10
+#: Slices of a text too long for the sample; texts too short for it that count as one.
+SLICES = 4
+SHORT_TEXTS = 32
 #: Texts are compressed in blocks, so that the dictionary serves all of a long text.
 BLOCK_BYTES = 8 << 10
 LEVEL = 6
@@ -34,7 +37,8 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang") -> dic
     """Dictionary content per language, most frequent first, from rows outside fold 2.
 
     The sample is bounded per language and chosen by the hash of the text; only it
-    reaches the driver. Texts too short or too long for the sample are only predicted.
+    reaches the driver. Texts too short or too long for it serve languages that have too
+    few others: long ones by slices, short ones joined.
     """
     known = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)
@@ -44,6 +48,9 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang") -> dic
     found: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["r"])):
         found.setdefault(row["lang"], []).append(plain(row["text"]))
+    few = [name for name in counts if len(found.get(name, [])) < SAMPLE_TEXTS]
+    if few:
+        _fill(found, known.filter(F.col("lang").isin(few)))
     out = {}
     for name in sorted(found, key=lambda n: (-counts[n], n)):
         content = b" ".join(dict.fromkeys(found[name]))
@@ -65,6 +72,27 @@ def _sample(known: DataFrame, n: int) -> list[Row]:
     )
 
 
+def _fill(found: dict[str, list[bytes]], known: DataFrame) -> None:
+    """Fill samples up to :data:`SAMPLE_TEXTS` from texts outside :data:`SAMPLE_CHARS`."""
+    least, most = SAMPLE_CHARS
+    size = F.length("text")
+    width = most // SLICES
+    step = ((size - width) / (SLICES - 1)).cast("int")
+    slices = F.concat_ws(" ", *[F.substring("text", F.lit(1) + step * k, F.lit(width)) for k in range(SLICES)])
+    long = known.filter(size > most).withColumn("text", slices)
+    short = known.filter((size > 0) & (size < least))
+    for part, joined in ((long, 1), (short, SHORT_TEXTS)):
+        own: dict[str, list[bytes]] = {}
+        for row in sorted(_sample(part, SAMPLE_TEXTS * joined), key=lambda r: (r["lang"], r["r"])):
+            text = plain(row["text"])
+            if text.strip():
+                own.setdefault(row["lang"], []).append(text)
+        for name, texts in own.items():
+            have = found.setdefault(name, [])
+            groups = [b" ".join(texts[k : k + joined]) for k in range(0, len(texts), joined)]
+            have += groups[: max(SAMPLE_TEXTS - len(have), 0)]
+
+
 def plain(text: str) -> bytes:
     """Lower-case words only: marks and figures tell nothing of the language."""
     return _OTHER.sub(" ", text.lower()).encode()

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -395,6 +396,19 @@ def test_language_sample_counts_copies_once(spark):
     assert len(labelled) > 1 and all(r["text"] in found for r in labelled)
 
 
+def test_language_learns_from_books_and_short_messages(spark):
+    own = {"de": "wort haus baum licht", "fr": "maison arbre livre jardin", "en": "house tree light garden"}
+    rng = random.Random(4)
+    draw = lambda lang, n: " ".join(rng.choice(own[lang].split()) for _ in range(n))
+    rows = [(k, draw("en", 40), "en", "s0") for k in range(20)]
+    rows += [(100 + k, draw("de", 3000), "de", "s0") for k in range(8)]
+    rows += [(200 + k, draw("fr", 3), "fr", "s0") for k in range(40)]
+    found = language.dictionaries(frame(spark, rows))
+    assert set(found) == {"de", "fr", "en"}
+    for lang, content in found.items():
+        assert all(w.encode() in content for w in own[lang].split())
+
+
 def test_language(spark):
     import random
 
