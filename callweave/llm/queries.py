@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from callweave.llm import (
-    chat, exact_dedup, language, line_quality, mixing, near_dedup, packing, repeats, tokenbin,
-    toxicity,
+    chat, exact_dedup, language, line_dedup, line_quality, mixing, near_dedup, negatives, packing,
+    repeats, tokenbin, toxicity, whitening,
 )
 from callweave.llm.common import documents, run_folder
 
@@ -69,11 +69,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, target, path)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(embeddings(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(embeddings(spark, sf_dir), F.col("id") % 100 == 0, label=label)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_mix_sources, op2_near_dedup, op3_toxicity, op4_repeated_strings, op5_best_two_fit,
         op6_exact_dedup, op7_language, op8_quality_rules, op9_chat_tree, op10_token_files,
+        op11_whitening, op12_hard_negatives, op13_line_dedup,
     )
 }
 
@@ -145,4 +163,41 @@ SQL: dict[str, str] = {
                    + length(regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g'))
                    + length('</turn>') + 1)::bigint as formatted_chars
         from t group by conv_id""",
+    "op12_hard_negatives": """
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, lambda c: floor(256 * c::double)) as x
+            from embeddings
+            where label is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+        s as (
+            select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label,
+                   list_dot_product(a.x, b.x)::bigint as score
+            from v as a join v as b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        p as (
+            select anchor_id, own, vec_id as positive_id, score as positive_score
+            from s where label = own
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select p.anchor_id, positive_id, s.vec_id as negative_id, positive_score,
+               s.score as negative_score,
+               row_number() over (partition by p.anchor_id, positive_id
+                                  order by s.score desc, s.vec_id) as rank
+        from p join s on s.anchor_id = p.anchor_id and s.label <> p.own
+             and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+        qualify rank <= 10""",
+    "op13_line_dedup": r"""
+        with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+        l as (
+            select r, doc_id, i, lines[i] as line,
+                   translate(regexp_replace(regexp_replace(lines[i], '^[\x20\x09-\x0D]+', ''),
+                                            '[\x20\x09-\x0D]+$', ''),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from (select r, doc_id, lines, unnest(range(1, len(lines) + 1)) as i
+                  from (select r, doc_id, string_split(text, chr(10)) as lines from d))),
+        f as (select key from l where key <> '' group by key having count(distinct r) >= 10)
+        select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.key is null), ''))
+                   as kept_sha256
+        from l left join f on l.key = f.key
+        group by r, doc_id""",
 }
