@@ -348,7 +348,10 @@ def mine(
         for pair in _each(batches):
             a_ids, _, a_labels, q = _unpacked(pair, "a", width, dtype)
             r_ids, places, labels, x = _unpacked(pair, "r", width, dtype)
-            windows = [[(-(-low * s // 100), high * s // 100) for s in ss] for ss in pair["a_scores"]]
+            windows = [
+                [(max(-(-low * s // 100), -(2**62)), min(high * s // 100, 2**62)) for s in scores]
+                for scores in pair["a_scores"]
+            ]
             a, j, r, score = fill_windows(
                 Index(x), q, windows, lambda a, r: labels[r] != a_labels[a], _ranks(places, r_ids), negatives,
             )

@@ -132,7 +132,7 @@ def mined(rows, every, window=(30, 90)):
     for a, r in enumerate(rows):
         if r[0] is None or r[0] % every:
             continue
-        score = x @ x[a]
+        score = [int(s) for s in x @ x[a]]
         order = sorted(range(len(rows)), key=lambda k: (-score[k], ids[k]))
         for p in [k for k in order if k != a and rows[k][2] == r[2]][:5]:
             hard = [k for k in order if rows[k][2] != r[2]
