@@ -34,7 +34,6 @@ REACH = LENGTH - GRAM
 #: Bytes that a string reaches at least to one of the sides.
 HALF = REACH // 2
 MAX_FILTER_BYTES = 64 << 20
-_TAG_BITS = 18
 _SETTLED = np.int64(-(2**63))
 
 
@@ -84,18 +83,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return rows, at - offsets[rows], left, right, grams[at], around, halves
 
 
-def _pack(place, left, right, tag):
-    return ((place << 14 | left << 7 | right) << _TAG_BITS | tag).astype(np.int64)
+def _pack(place, left, right):
+    return (place << 14 | left << 7 | right).astype(np.int64)
 
 
-def _unpack(packed):
-    packed = packed & np.int64(2**63 - 1)
-    tag = packed & ((1 << _TAG_BITS) - 1)
-    rest = packed >> _TAG_BITS
-    return rest >> 14, rest >> 7 & 127, rest & 127, tag
-
-
-_ANCHOR_ROWS = "anchor long, around long, doc long, packed long, halves long"
+_ANCHOR_ROWS = "anchor long, around long, doc long, tag long, packed long, halves long"
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +102,10 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows, place, left, right, own, around, halves = anchors(
                 data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             )
-            found.append((own, around, doc[lo:hi][rows], _pack(place, left, right, tag[lo:hi][rows]), halves))
+            found.append((own, around, doc[lo:hi][rows], tag[lo:hi][rows], _pack(place, left, right), halves))
         if not found:
             continue
-        own, around, docs, packed, halves = (np.concatenate(c) for c in zip(*found))
+        own, around, docs, tags, packed, halves = (np.concatenate(c) for c in zip(*found))
         key = hashing.mix(own ^ hashing.mix(around))
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -123,18 +115,19 @@ def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         several[:-1] |= same[1:]
         again = order[several]
         if len(again):
-            place, _, _, tags = _unpack(packed[again])
-            again = again[np.lexsort((place, tags, docs[again], around[again], own[again]))]
+            again = again[np.lexsort((packed[again], tags[again], docs[again], around[again], own[again]))]
             later = np.zeros(len(again), bool)
             later[1:] = (own[again][1:] == own[again][:-1]) & (around[again][1:] == around[again][:-1])
             packed[again[later]] |= _SETTLED
-            own[again[later]] = hashing.mix(packed[again[later]].view(np.uint64))  # any task will do
+            # Any task will do for these.
+            own[again[later]] = hashing.mix((packed[again[later]] ^ tags[again[later]]).view(np.uint64))
         for start in range(0, len(own), 1 << 17):
             part = slice(start, start + (1 << 17))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c[part].view(np.int64)) for c in (own, around)]
-                + [pa.array(docs[part]), pa.array(packed[part]), pa.array(halves[part].view(np.int64))],
-                ["anchor", "around", "doc", "packed", "halves"],
+                + [pa.array(docs[part]), pa.array(tags[part]), pa.array(packed[part]),
+                   pa.array(halves[part].view(np.int64))],
+                ["anchor", "around", "doc", "tag", "packed", "halves"],
             )
 
 
@@ -144,38 +137,40 @@ def settle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     Settled (open = false): an equal one with equal surroundings stands earlier. Open: the
     earliest of its surroundings, where the anchor has different ones.
     """
-    def out(anchor, doc, packed, is_open):
+    def out(anchor, doc, tag, packed, is_open):
         return pa.RecordBatch.from_arrays(
-            [pa.array(anchor), pa.array(doc), pa.array(packed), pa.array(np.full(len(doc), is_open))],
-            ["anchor", "doc", "packed", "open"],
+            [pa.array(c) for c in (anchor, doc, tag, packed)] + [pa.array(np.full(len(doc), is_open))],
+            ["anchor", "doc", "tag", "packed", "open"],
         )
 
+    names = ("anchor", "around", "doc", "tag", "packed", "halves")
     tail: list[np.ndarray] | None = None
     for batch in batches:
-        columns = [batch.column(c).to_numpy() for c in ("anchor", "around", "doc", "packed", "halves")]
-        settled = columns[3] < 0
+        columns = [batch.column(c).to_numpy() for c in names]
+        settled = columns[4] < 0
         if settled.any():
-            yield out(columns[0][settled], columns[2][settled], columns[3][settled], False)
+            yield out(columns[0][settled], *(c[settled] for c in columns[2:5]), False)
             columns = [c[~settled] for c in columns]
         if tail is not None:
             columns = [np.concatenate([t, c]) for t, c in zip(tail, columns)]
         if not len(columns[0]):
             continue
-        anchor, around, doc, packed, halves = columns
+        anchor, around = columns[:2]
         later = np.zeros(len(anchor), bool)
         later[1:] = (anchor[1:] == anchor[:-1]) & (around[1:] == around[:-1])
         if later.any():
-            yield out(anchor[later], doc[later], packed[later], False)
-            anchor, around, doc, packed, halves = (c[~later] for c in columns)
+            yield out(anchor[later], *(c[later] for c in columns[2:5]), False)
+            columns = [c[~later] for c in columns]
         # The last anchor may go on in the next batch.
+        anchor = columns[0]
         cut = int(np.searchsorted(anchor, anchor[-1], "left"))
-        tail = [c[cut:] for c in (anchor, around, doc, packed, halves)]
-        yield from _open(anchor[:cut], doc[:cut], packed[:cut], halves[:cut], out)
+        tail = [c[cut:] for c in columns]
+        yield from _open(*(c[:cut] for c in columns), out)
     if tail is not None:
-        yield from _open(tail[0], tail[2], tail[3], tail[4], out)
+        yield from _open(*tail, out)
 
 
-def _open(anchor, doc, packed, halves, out):
+def _open(anchor, _, doc, tag, packed, halves, out):
     """Those that share a half of their surroundings with another of the same anchor."""
     near = np.zeros(len(anchor), bool)
     for side in (halves.view(np.uint64) >> np.uint64(32), halves.view(np.uint64) & np.uint64(0xFFFFFFFF)):
@@ -185,7 +180,7 @@ def _open(anchor, doc, packed, halves, out):
         near[order[1:][same]] = True
         near[order[:-1][same]] = True
     if near.any():
-        yield out(anchor[near], doc[near], packed[near], True)
+        yield out(anchor[near], doc[near], tag[near], packed[near], True)
 
 
 def _runs(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -337,15 +332,14 @@ def covered_ranges(texts: DataFrame, folder: str) -> DataFrame:
     """doc, tag, begin, end: ranges of texts (doc, tag, text) that occur earlier."""
     found = stored(
         texts.mapInArrow(anchor_batches, _ANCHOR_ROWS)
-        .withColumn("__tag", F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)))
         .repartition(F.col("anchor"))
-        .sortWithinPartitions("anchor", "around", "doc", "__tag", "packed").drop("__tag")
-        .mapInArrow(settle_batches, "anchor long, doc long, packed long, open boolean"),
+        .sortWithinPartitions("anchor", "around", "doc", "tag", "packed")
+        .mapInArrow(settle_batches, "anchor long, doc long, tag long, packed long, open boolean"),
         folder, "anchors",
     )
-    rest = F.shiftright(F.col("packed").bitwiseAND(F.lit(2**63 - 1)), _TAG_BITS)
+    rest = F.col("packed").bitwiseAND(F.lit(2**63 - 1))
     seen = found.select(
-        "anchor", "doc", "open", F.col("packed").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).alias("tag"),
+        "anchor", "doc", "tag", "open",
         F.shiftright(rest, 14).alias("place"),
         F.shiftright(rest, 7).bitwiseAND(F.lit(127)).alias("left"),
         rest.bitwiseAND(F.lit(127)).alias("right"),
@@ -386,9 +380,12 @@ def repeat_report(docs: DataFrame, text: str = "text", folder: str | None = None
         folder, "rows",
     )
     single = exact_dedup.keep_one(given, folder=folder, largest=False)
+    # Texts of one id are told apart, and ordered, by 62 bits of their hash; those without
+    # an id come after every id.
     texts = single.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
-        F.xxhash64("text").bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).alias("tag"), "text",
+        (F.shiftrightunsigned(F.xxhash64("text"), 2)
+         + F.when(F.col("doc_id").isNull(), 2**62).otherwise(0)).alias("tag"), "text",
     ).filter(F.octet_length("text") >= LENGTH)
     ranges = stored(
         covered_ranges(texts, folder).groupBy("doc", "tag")

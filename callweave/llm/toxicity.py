@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words and their beginnings, hashed. The ones whose share of toxic documents is
-far from the average are chosen on the labelled sample; the machine gives each a weight
-and a vector, so pairs of terms (an insult together with a group) have weights of
-their own that a linear score lacks.
+far from the average are chosen on the labelled sample; then, among the documents that
+hold a chosen term of toxic documents, the ones whose share is far from the average there: their
+partners, which may well be neutral by themselves. The machine gives each a weight and a
+vector, so pairs of terms (an insult together with a group) have weights of their own that a
+linear score lacks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ MAX_TERMS = 4096
 #: A term is chosen from so many documents and standard deviations on.
 MIN_DOCUMENTS = 3
 MIN_DEVIATIONS = 4.0
+#: The same among the documents with a chosen term, and how many partners there are at most.
+PARTNER_DEVIATIONS = 2.5
+MAX_PARTNERS = 4096
 FACTORS = 8
 EPOCHS = 30
 THRESHOLD = 0.3
@@ -87,21 +92,55 @@ def _terms(texts: pa.Array, slots: np.ndarray | None) -> Iterator[tuple[int, int
         yield lo, hi, keys // BUCKETS, keys % BUCKETS
 
 
-def _count_batches(batches):
-    """Documents and toxic documents per bucket."""
-    totals = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
-        label = batch.column("toxic").to_numpy(zero_copy_only=False)
-        for lo, hi, rows, buckets in _terms(batch.column("text"), None):
-            totals[0] += np.bincount(buckets, minlength=BUCKETS)
-            totals[1] += np.bincount(buckets[label[lo:hi][rows] == 1], minlength=BUCKETS)
-    at = np.flatnonzero(totals[0])
-    for start in range(0, len(at), 1 << 16):
-        part = at[start : start + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part), pa.array(totals[0][part]), pa.array(totals[1][part])],
-            ["bucket", "n", "toxic"],
+def _counter(holding: np.ndarray | None = None):
+    """Documents and toxic documents per bucket; of those only that hold one of ``holding``."""
+    def count(batches):
+        totals, seen = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            label = batch.column("toxic").to_numpy(zero_copy_only=False)
+            for lo, hi, rows, buckets in _terms(batch.column("text"), None):
+                use = np.ones(hi - lo, bool)
+                if holding is not None:
+                    use = np.bincount(rows[holding[buckets]], minlength=hi - lo) > 0
+                toxic = label[lo:hi] == 1
+                seen += [use.sum(), (use & toxic).sum()]
+                rows, buckets = rows[use[rows]], buckets[use[rows]]
+                totals[0] += np.bincount(buckets, minlength=BUCKETS)
+                totals[1] += np.bincount(buckets[toxic[rows]], minlength=BUCKETS)
+        at = np.flatnonzero(totals[0])
+        yield pa.RecordBatch.from_arrays(  # -1: all documents
+            [pa.array([-1]), pa.array(seen[:1]), pa.array(seen[1:])], ["bucket", "n", "toxic"]
         )
+        for start in range(0, len(at), 1 << 16):
+            part = at[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), pa.array(totals[0][part]), pa.array(totals[1][part])],
+                ["bucket", "n", "toxic"],
+            )
+
+    return count
+
+
+def _telling(
+    sample: DataFrame, holding: np.ndarray | None, deviations: float, most: int, folder: str, name: str
+) -> list:
+    """bucket and deviation of the terms whose share of toxic documents is far from the average."""
+    counts = stored(
+        sample.mapInArrow(_counter(holding), "bucket long, n long, toxic long")
+        .groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")),
+        folder, name,
+    )
+    whole = counts.filter("bucket = -1").first()
+    if whole is None:
+        return []
+    share = (whole["toxic"] + 1) / (whole["n"] + 2)
+    expected = F.col("n") * share
+    deviation = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
+    return (
+        counts.filter((F.col("bucket") >= 0) & (F.col("n") >= MIN_DOCUMENTS))
+        .select("bucket", deviation.alias("d")).filter(F.abs("d") >= deviations)
+        .orderBy(F.desc(F.abs("d")), "bucket").limit(most).collect()
+    )
 
 
 def _fit(lists: list[np.ndarray], labels: np.ndarray, terms: int) -> tuple:
@@ -153,24 +192,27 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", folder: str | No
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE)
     )
-    # At most MAX_SAMPLE ids are broadcast; the texts stay where they are.
+    # At most MAX_SAMPLE ids are broadcast; of an id on several rows one text is taken, before
+    # anything is shuffled, so the sample has at most as many rows.
+    value = F.coalesce(F.col(text), F.lit(""))
     sample = stored(
-        docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-        .select("text", F.col("toxic").cast("int").alias("toxic")),
+        docs.select("doc_id", value.alias("text")).join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id").agg(
+            F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"),
+            F.first("toxic").cast("int").alias("toxic"),
+        ).select("text", "toxic"),
         folder, "sample",
     )
-    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    share = (toxic + 1) / (n + 2)
-    expected = F.col("n") * share
-    deviation = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
-    terms = [
-        r["bucket"]
-        for r in sample.mapInArrow(_count_batches, "bucket long, n long, toxic long")
-        .groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-        .filter(F.col("n") >= MIN_DOCUMENTS).withColumn("d", F.abs(deviation))
-        .filter(F.col("d") >= MIN_DEVIATIONS)
-        .orderBy(F.desc("d"), "bucket").limit(MAX_TERMS).collect()
-    ]
+    first = _telling(sample, None, MIN_DEVIATIONS, MAX_TERMS, folder, "counts")
+    terms = [r["bucket"] for r in first]
+    holding = np.zeros(BUCKETS, bool)
+    holding[[r["bucket"] for r in first if r["d"] > 0]] = True
+    if holding.any():
+        partners = _telling(
+            sample, holding, PARTNER_DEVIATIONS, MAX_PARTNERS + len(terms), folder, "partner-counts"
+        )
+        known = set(terms)
+        terms += [r["bucket"] for r in partners if r["bucket"] not in known][:MAX_PARTNERS]
     slots = np.full(BUCKETS, -1, np.int16)
     slots[terms] = np.arange(len(terms))
 
@@ -192,16 +234,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", folder: str | No
     return Model(slots, bias, weights, vectors)
 
 
+def _scores(texts: pa.Array, model: Model) -> np.ndarray:
+    out = np.zeros(len(texts))
+    for lo, hi, rows, terms in _terms(texts, model.slots):
+        out[lo:hi] = model.score(rows, terms, hi - lo)
+    return out
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``__score``; a NULL text scores as an empty one."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
 
     def scored(batches):
         for batch in batches:
-            out = np.zeros(len(batch))
-            for lo, hi, rows, terms in _terms(batch.column(text), model.slots):
-                out[lo:hi] = model.score(rows, terms, hi - lo)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "__score"])
+            out = pa.array(_scores(batch.column(text), model))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "__score"])
 
     return docs.mapInArrow(scored, schema)
 
@@ -220,4 +267,10 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, text: str = "text") -> D
 def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that score below :data:`THRESHOLD`, columns as they were."""
     model = fit(docs, labels, text)
-    return score(docs, model, text).filter(F.col("__score") < THRESHOLD).drop("__score")
+
+    def kept(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), model) < THRESHOLD))
+
+    at = docs.columns.index(text)
+    return docs.mapInArrow(kept, docs.schema)

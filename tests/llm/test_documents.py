@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import corpus, family, frame
+from helpers import corpus, family, frame, words
 
 from callweave.llm import (
     exact_dedup, hashing, language, line_quality, mixing, near_dedup, repeats, toxicity,
@@ -168,13 +168,50 @@ def test_mix_takes_by_keys(docs):
 
 
 def test_mix_repeats_documents(docs, rows):
-    report = collections.Counter()
+    report, least = collections.Counter(), {}
     for r in mixing.mix_report(docs).collect():
         if r["taken"]:
             report[r["doc_id"]] += r["taken"] // r["size"]
+        elif not r["size"]:
+            least[r["doc_id"], r["source"]] = int(r["target"] // r["source_size"]) if r["source_size"] else 1
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == report
+    found = mixed.collect()
+    worded = [r for r in found if WORD.search(r["text"] or "")]
+    assert collections.Counter(r["doc_id"] for r in worded) == report
+    # Documents without words are in every epoch too.
+    given = collections.Counter((r[0], r[3], r[1]) for r in rows if not WORD.search(r[1] or ""))
+    have = collections.Counter((r["doc_id"], r["source"], r["text"]) for r in found if not WORD.search(r["text"] or ""))
+    for (doc_id, source, text), n in given.items():
+        epochs = least[doc_id, source]
+        assert epochs * n <= have[doc_id, source, text] <= (epochs + 1) * n
+    assert set(have) <= set(given) and any(have.values())
+
+
+def symbol_rich(n=4000):
+    """Short texts full of symbols: their keys are large, and most are near each other."""
+    rng = random.Random(6)
+    return [(k, "#*$ " * 3 + f"w{rng.randrange(9)}", "en", "s0") for k in range(n)] + [
+        (n + k, words(rng, 60), "en", "s0") for k in range(300)
+    ] + [(9999, "the same row again " * 4, "en", "s1")] * 900
+
+
+def test_mix_sorts_few_rows(spark, tmp_path, monkeypatch):
+    docs = frame(spark, symbol_rich())
+    whole = as_tuples(mixing.mix_report(docs), "doc_id", "size", "source_size", "target", "taken")
+    monkeypatch.setattr(mixing, "SORTED_ROWS", 40)
+    monkeypatch.setattr(mixing, "KEY_SLOTS", 3)
+    folder = str(tmp_path)
+    assert as_tuples(mixing.mix_report(docs, folder=folder), "doc_id", "size", "source_size", "target", "taken") == whole
+    cuts = sorted(tmp_path.glob("cut-*"), key=lambda f: int(f.name[4:]))
+    assert len(cuts) > 2
+    last = spark.read.parquet(str(cuts[-1])).collect()
+    assert all(r["rows"] <= 40 or r["low"] == r["high"] for r in last)
+    taken = collections.defaultdict(int)
+    for doc_id, size, _, target, t in whole:
+        taken[target] += t
+    for target, t in taken.items():
+        assert abs(t - target) <= 0.02 * target + 900 * 16
 
 
 # --- near copies
@@ -238,6 +275,53 @@ def test_copies_alike_only_through_their_base(spark):
     assert {(r["class_id"], r["class_size"]) for r in got} == {(0, len(rows))}
 
 
+def template(share, n=300, n_words=240, seed=3):
+    """Texts that share a template and are no near copies, and a near copy of each."""
+    rng = random.Random(seed)
+    base, keep = [f"t{k}" for k in range(n_words)], int(n_words * share)
+    rows = []
+    for k in range(n):
+        text = base[:keep] + [f"d{k}w{i}" for i in range(n_words - keep)]
+        while True:
+            copy = list(text)
+            for _ in range(rng.choice((4, 5))):
+                copy[rng.randrange(n_words)] = f"e{rng.random()}"
+            x, y = shingle_counts(" ".join(text)).keys(), shingle_counts(" ".join(copy)).keys()
+            if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+                break
+        rows += [(2 * k, " ".join(text), "en", "s0"), (2 * k + 1, " ".join(copy), "en", "s0")]
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.67, 0.8, 0.857])
+def test_near_copies_inside_a_template_family(spark, share):
+    """Similarities of 0.5, 0.66 and 0.75 between the texts of the family."""
+    rows = template(share)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.class_report(frame(spark, rows)).collect()}
+    found = [got[2 * k] == got[2 * k + 1] for k in range(len(rows) // 2)]
+    assert np.mean(found) >= 0.97
+    assert len({got[2 * k] for k in range(len(rows) // 2)}) == len(rows) // 2
+
+
+def test_few_pairs_of_a_template_family_are_verified(spark, tmp_path):
+    rows = [(k, " ".join([f"t{i}" for i in range(300)] + [f"d{k}w{i}" for i in range(100)]), "en", "s0")
+            for k in range(800)]
+    near_dedup.class_report(frame(spark, rows), folder=str(tmp_path)).count()
+    n = sum(
+        spark.read.parquet(str(f)).count() for f in tmp_path.iterdir() if f.name in ("round-0", "round-1", "rest")
+    )
+    assert n < 0.03 * 800 * 799 / 2
+
+
+def test_buckets_are_split_and_compared_in_full_at_the_end(spark, monkeypatch):
+    """All limits tiny: the last level has to compare many members outside the largest class."""
+    for name, value in {"FEW": 2, "PIECE": 4, "LEVELS": 1, "LEADERS": (1,)}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rows = template(0.857, n=40)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.class_report(frame(spark, rows)).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(40)) and len(set(got.values())) == 40
+
+
 def test_repeated_lines_do_not_hide_a_near_copy(spark):
     rows = []
     for k in range(20):
@@ -310,12 +394,23 @@ TAGS = {}
 
 
 def test_repeats(docs, rows):
-    for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) & 262143 as h").collect():
+    for r in docs.selectExpr("coalesce(text, '') as t", "shiftrightunsigned(xxhash64(coalesce(text, '')), 2) as h").collect():
         TAGS[r["t"]] = r["h"]
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert as_tuples(repeats.repeat_report(docs), *names) == repeats_expected(rows)
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(21)
+    shared = ["".join(rng.choices("abcdefgh ", k=140)) for _ in range(40)]
+    own = lambda: "".join(rng.choices("abcdefgh ", k=rng.randrange(20, 90)))
+    rows = []
+    for k in range(5000):
+        doc_id = None if k < 2500 else 7 if k < 4900 else 2**63 - 1
+        rows.append((doc_id, f"{k} " + own() + rng.choice(shared) * (k % 5 == 0) + own(), "en", "s0"))
+    test_repeats(frame(spark, rows).repartition(4), rows)
+
+
 def test_maximal_repeats_are_all_found():
     import random
 
@@ -372,6 +467,84 @@ def test_toxicity(spark):
     assert kept.count() == (got.predicted == 0).sum()
 
 
+def test_pairs_are_learned_where_each_word_alone_tells_little(spark):
+    """An insult is toxic only beside a group word; group words are common and neutral."""
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    groups = ["".join(rng.choices(letters, k=9)) for _ in range(20)]
+    rows, labels, kinds = [], [], {}
+    for k in range(6000):
+        insult, group = rng.random() < 0.1, rng.random() < 0.5
+        own = [f"n{rng.randrange(900)}" for _ in range(30)]
+        if insult:
+            own.insert(rng.randrange(30), "insultus")
+        if group:
+            own.insert(rng.randrange(30), rng.choice(groups))
+        rows.append((k, " ".join(own), "en", "s0"))
+        labels.append((k, int(insult and group)))
+        kinds[k] = (insult, group)
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity_report(frame(spark, rows), given).collect() if r["held_out"]]
+    called = lambda kind: [r["predicted"] for r in held if kinds[r["doc_id"]] == kind]
+    assert np.mean(called((True, True))) > 0.9
+    assert np.mean(called((True, False))) < 0.1
+    assert np.mean(called((False, True)) + called((False, False))) < 0.01
+
+
+def test_sample_is_bounded_in_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_SAMPLE", 50)
+    rows = [(1, f"text {k}", "en", "s0") for k in range(3000)] + [(k, "words", "en", "s0") for k in range(2, 200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 200)], "doc_id long, toxic int")
+    toxicity.fit(frame(spark, rows), labels, folder=str(tmp_path))
+    sample = spark.read.parquet(str(tmp_path / "sample"))
+    assert sample.count() == 50
+
+
+def test_machine_equals_its_formula():
+    """The score against the sum over all pairs of terms, written out."""
+    rng = np.random.default_rng(8)
+    bias, weights, vectors = 0.3, rng.normal(size=12), rng.normal(size=(12, toxicity.FACTORS))
+    model = toxicity.Model(np.zeros(1, np.int16), bias, weights, vectors)
+    lists = [rng.permutation(12)[: rng.integers(0, 8)] for _ in range(30)]
+    rows = np.repeat(np.arange(30), [len(t) for t in lists])
+    got = model.score(rows, np.concatenate(lists), 30)
+    for terms, value in zip(lists, got):
+        out = bias + sum(weights[t] for t in terms)
+        out += sum(vectors[a] @ vectors[b] for k, a in enumerate(terms) for b in terms[:k])
+        assert math.isclose(value, 1 / (1 + math.exp(-out)), rel_tol=1e-9)
+
+
+def test_fit_equals_a_plain_machine():
+    """The fitted numbers against Adagrad written out row by row and pair by pair."""
+    rng = np.random.default_rng(12)
+    lists = [np.sort(rng.permutation(6)[: rng.integers(1, 5)]) for _ in range(200)]
+    labels = np.array([float(0 in t and 1 in t) for t in lists])
+    got = toxicity._fit(lists, labels, 6)
+    draw = np.random.default_rng(11)
+    share = (labels.sum() + 1) / (len(labels) + 2)
+    bias, weights, vectors = math.log(share / (1 - share)), np.zeros(6), draw.normal(0, 0.02, (6, toxicity.FACTORS))
+    seen_b, seen_w, seen_v = 1e-6, np.full(6, 1e-6), np.full(vectors.shape, 1e-6)
+    for _ in range(toxicity.EPOCHS):
+        order = draw.permutation(len(lists))
+        for start in range(0, len(order), 128):
+            step_b, step_w, step_v = 0.0, 1e-3 * weights, 1e-3 * vectors
+            for k in order[start : start + 128]:
+                terms = lists[k]
+                out = bias + weights[terms].sum()
+                out += sum(vectors[a] @ vectors[b] for i, a in enumerate(terms) for b in terms[:i])
+                error = 1 / (1 + math.exp(-out)) - labels[k]
+                step_b += error
+                for a in terms:
+                    step_w[a] += error
+                    step_v[a] += error * sum((vectors[b] for b in terms if b != a), np.zeros(toxicity.FACTORS))
+            seen_b, seen_w, seen_v = seen_b + step_b**2, seen_w + step_w**2, seen_v + step_v**2
+            weights = weights - 0.3 * step_w / np.sqrt(seen_w)
+            vectors = vectors - 0.03 * step_v / np.sqrt(seen_v)
+            bias -= 0.1 * step_b / math.sqrt(seen_b)
+    assert math.isclose(got[0], bias, rel_tol=1e-6)
+    assert np.allclose(got[1], weights, atol=1e-6) and np.allclose(got[2], vectors, atol=1e-6)
+
+
 def test_machine_learns_pairs():
     """Toxic only where an insult meets a group: each alone is as common among the others."""
     rng = np.random.default_rng(3)

@@ -54,18 +54,24 @@ def test_stages(spark, tmp_path):
     assert gone and all(any(near(r, other) for other in before if other is not r) for r in gone)
 
     before, kept = after["mixing"]
-    taken = collections.Counter(r["doc_id"] for r in kept)
+    taken = collections.Counter(r["doc_id"] for r in kept if WORD.search(r["text"] or ""))
     assert max(collections.Counter((r["doc_id"], r["text"]) for r in kept).values()) <= 2
     for source in {r["source"] for r in before}:
         own = [r for r in before if r["source"] == source]
         size = sum(len(WORD.findall(r["text"] or "")) for r in own)
-        mixed = sum(len(WORD.findall(r["text"])) for r in kept if r["source"] == source)
+        mixed = sum(len(WORD.findall(r["text"] or "")) for r in kept if r["source"] == source)
         assert mixed <= 2 * size
     report = mixing.mix_report(spark.createDataFrame(before, given.schema)).collect()
     want = collections.Counter()
     for r in report:
         want[r["doc_id"]] += r["taken"] // max(r["size"], 1)
     assert taken == +want
+    # Every source's complete epochs hold its documents without words as well.
+    for r in before:
+        if not WORD.search(r["text"] or ""):
+            own = [q for q in report if q["source"] == r["source"]]
+            whole = own[0]["target"] >= own[0]["source_size"]
+            assert not whole or r in kept
 
     before, packed = after["packing"]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
