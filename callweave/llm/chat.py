@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -74,12 +75,14 @@ class _Block:
         self.last: list[int] = []
         self.path: list[tuple[bytes, int]] = []
 
-    def add(self, conv_id, keys: list[bytes], turns: list[list[list[int]]]) -> None:
+    def add(self, conv_id, keys: list[bytes], turns: list, encode=lambda parts: parts) -> None:
+        """``encode`` gives a turn's parts (under the loss mask, ids); shared turns are not encoded."""
         shared = 0
         while shared < min(len(keys), len(self.path)) and keys[shared] == self.path[shared][0]:
             shared += 1
         del self.path[shared:]
-        for key, parts in zip(keys[shared:], turns[shared:]):
+        for key, turn in zip(keys[shared:], turns[shared:]):
+            parts = encode(turn)
             parent = self.path[-1][1] if self.path else None
             intervals = list(self.attention[parent]) if parent is not None else []
             begin = len(self.ids)
@@ -142,17 +145,20 @@ def build_blocks(conversations: DataFrame, path: str) -> DataFrame:
         def ids(value: str) -> list[int]:
             return encoder.encode(value, add_special_tokens=False).ids
 
+        # The same few roles in all turns.
+        frame_ids = lru_cache(1024)(ids)
+
+        def parts(turn: dict) -> list[tuple[bool, list[int]]]:
+            head, body, tail = format_turn(turn["role"], turn["text"])
+            return [(False, frame_ids(head)), (turn["role"] == TRAINED, ids(body)), (False, frame_ids(tail))]
+
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("conv_id", "path", "turns"))
-            for conv_id, keys, turns in zip(*columns):
+            for k in range(len(batch)):
+                conv_id, keys, turns = (batch.column(c)[k].as_py() for c in ("conv_id", "path", "turns"))
                 if len(block.conv_ids) >= BLOCK_CONVERSATIONS or len(block.ids) >= BLOCK_TOKENS:
                     yield block.batch()
                     block = _Block()
-                parts = []
-                for t in turns:
-                    head, body, tail = format_turn(t["role"], t["text"])
-                    parts.append([(False, ids(head)), (t["role"] == TRAINED, ids(body)), (False, ids(tail))])
-                block.add(conv_id, keys, parts)
+                block.add(conv_id, keys, turns, parts)
         if block.conv_ids:
             yield block.batch()
 
@@ -172,30 +178,32 @@ def read_back(blocks: DataFrame, path: str) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _encoder(path)
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _digest(row, decoder)
+            for k in range(len(batch)):
+                yield _digest({name: batch.column(name)[k].values for name in BLOCKS.names}, decoder)
 
     return blocks.mapInArrow(digests, schema)
 
 
 def _digest(row: dict, decoder) -> pa.RecordBatch:
-    begins = row["turn_begins"]
-    ends = begins[1:] + [len(row["ids"])]
+    """``row``: a block's columns as Arrow arrays."""
+    ids = row["ids"].to_numpy()
+    trained = row["loss"].to_numpy(zero_copy_only=False).astype(bool)
+    begins = row["turn_begins"].to_pylist()
+    ends = begins[1:] + [len(ids)]
     turn_at = {begin: k for k, begin in enumerate(begins)}
     known: dict[int, tuple[str, str, str, int]] = {}
 
     def turn(k: int) -> tuple[str, str, str, int]:
         if k not in known:
-            ids = row["ids"][begins[k] : ends[k]]
-            formatted = decoder.decode(ids, skip_special_tokens=False)
-            trained = [i for i, on in zip(ids, row["loss"][begins[k] : ends[k]]) if on]
-            masked = unescape(decoder.decode(trained, skip_special_tokens=False)) if trained else ""
+            own, on = ids[begins[k] : ends[k]], trained[begins[k] : ends[k]]
+            formatted = decoder.decode(own.tolist(), skip_special_tokens=False)
+            masked = unescape(decoder.decode(own[on].tolist(), skip_special_tokens=False)) if on.any() else ""
             known[k] = (*parse_turn(formatted), masked, len(formatted))
         return known[k]
 
     out = []
-    for conv_id, last in zip(row["conv_ids"], row["last_turns"]):
-        seen = row["attention"][last]
+    for conv_id, last in zip(row["conv_ids"].to_pylist(), row["last_turns"].to_pylist()):
+        seen = row["attention"][last].as_py()
         own = []
         for begin, end in zip(seen[::2], seen[1::2]):
             while begin < end:

@@ -29,7 +29,6 @@ TIE_LEVEL = 19
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -131,7 +130,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score between 0 and 1, margin between 0 and 1."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
         if len(self.names) == 1:
             return self.names[0], 1.0, 1.0

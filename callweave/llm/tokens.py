@@ -39,13 +39,16 @@ _SAMPLE = ("word", " Words", "Été", " straße", "a", "xyzzyx")
 class CachedTokenizer:
     """``encode`` of an Arrow string array gives all ids in one array, and offsets.
 
-    ``path`` is a file of the ``tokenizers`` library; NULL texts have no ids. Strings
-    of special tokens inside a text are ordinary text.
+    ``path`` is a file of the ``tokenizers`` library; NULL texts have no ids. A text that
+    holds the string of a special token goes to the library whole, which gives such a string
+    the token's own id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self._plain = Tokenizer.from_file(path)
+        self._special = [t.content for t in self._plain.get_added_tokens_decoder().values()]
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         # White space is dropped where a space has no ids; there a piece needs no space.
@@ -215,6 +218,23 @@ class CachedTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
+        marked = np.zeros(len(texts), bool)
+        for name in self._special:
+            marked |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode_slices(texts)
+        ids, offsets = self._encode_slices(pc.if_else(pa.array(marked), "", texts))
+        rows = np.flatnonzero(marked)
+        whole = [
+            np.array(self._plain.encode(texts[int(row)].as_py(), add_special_tokens=False).ids, np.uint32)
+            for row in rows
+        ]
+        lengths = np.diff(offsets)
+        lengths[rows] = [len(w) for w in whole]
+        ids = np.insert(ids, np.repeat(offsets[rows], lengths[rows]), np.concatenate(whole))
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+    def _encode_slices(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sizes = pc.binary_length(texts).to_numpy()
         begins = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         ids, ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]

@@ -592,12 +592,14 @@ def test_language(spark):
         lang = rng.choice(["aa", "bb"])
         text = " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(30))
         rows.append((k, text.upper() if k % 10 == 0 else text, lang, None))
-    odd = [(400, None, "aa", None), (401, "12 !!", "bb", None), (402, "", None, None), (None, "kalo mitu", None, None)]
+    odd = [(400, None, "aa", None), (401, "12 !!", "bb", None), (402, "", None, None), (None, "kalo mitu", None, None),
+           (403, "½ ² ① Ⅷ", "aa", None)]
     got = language.language_report(frame(spark, rows + odd)).toPandas().set_index("doc_id")
     truth = {r[0]: r[2] for r in rows}
     hit = [got.lang_pred[k] == truth[k] for k in truth if got.held_out[k]]
     assert len(hit) > 40 and np.mean(hit) > 0.97
-    assert list(got.lang_pred[[400, 401, 402]]) == ["und"] * 3 and (got.score[[400, 401, 402]] == 0).all()
+    bare = [400, 401, 402, 403]
+    assert list(got.lang_pred[bare]) == ["und"] * 4 and (got.score[bare] == 0).all()
     assert got.score.between(0, 1).all()
     nothing = frame(spark, [(1, "words", None, None)])
     assert language.language_report(nothing).first()["lang_pred"] == "und"

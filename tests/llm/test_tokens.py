@@ -22,18 +22,12 @@ PATHS = [BYTES, public_tokenizers.path("word_bpe_49k.json")]
 CACHED = {p: CachedTokenizer(p) for p in PATHS}
 
 
-def plain(path):
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
-
-
 def ids_of(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
-PLAIN = {p: plain(p) for p in PATHS}
-ALPHABET = st.sampled_from(list("abÀé.,'s \n\t  !#☃\x1c\u3000\u00a0ΣŁ9") + ["☃☃", "<|endoftext|>", "'ll", "\u0301"])
+PLAIN = {p: Tokenizer.from_file(p) for p in PATHS}
+ALPHABET = st.sampled_from(list("abÀé.,'s \n\t  !#☃\x1c\u3000\u00a0ΣŁ9") + ["☃☃", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'ll", "\u0301"])
 
 
 @settings(max_examples=150, deadline=None)
@@ -56,6 +50,16 @@ def test_cache_starts_anew(monkeypatch):
         assert offsets.tolist()[1:] == [len(ids)] * 3
 
 
+def test_special_strings_have_their_own_ids():
+    texts = ["x <|endoftext|> y", "plain text", None, "<|endoftext|>", "", "a<|startoftext|>b"]
+    for path in PATHS:
+        ids, offsets = CACHED[path].encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == ids_of(PLAIN[path], text)
+    ids, _ = CACHED[BYTES].encode(pa.array(["x <|endoftext|> y"]))
+    assert 50256 in ids
+
+
 # --- packing
 
 
@@ -232,6 +236,7 @@ def test_small_blocks_hold_the_same():
             head, body, tail = chat.format_turn(r, t)
             parts.append([(False, ids_of(encoder, head)), (r == "assistant", ids_of(encoder, body)), (False, ids_of(encoder, tail))])
         block.add(conv, keys, parts)
-    row = block.batch().to_pylist()[0]
+    batch = block.batch()
+    row = {name: batch.column(name)[0].values for name in chat.BLOCKS.names}
     got = chat._digest(row, encoder).to_pylist()
     assert {tuple(r.values()) for r in got} == {(c, *digest([t[2:] for t in sorted(g)])) for c, g in groups.items()}
