@@ -315,7 +315,7 @@ def test_few_pairs_of_a_template_family_are_verified(spark, tmp_path):
 
 def test_buckets_are_split_and_compared_in_full_at_the_end(spark, monkeypatch):
     """All limits tiny: the last level has to compare many members outside the largest class."""
-    for name, value in {"FEW": 2, "PIECE": 4, "LEVELS": 1, "LEADERS": (1,)}.items():
+    for name, value in {"FEW": 2, "PIECE": 4, "LEVELS": 1, "LEADERS": (1,), "LOT": 3}.items():
         monkeypatch.setattr(near_dedup, name, value)
     rows = template(0.857, n=40)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.class_report(frame(spark, rows)).collect()}
