@@ -110,14 +110,15 @@ def _longest_match(spark, lexicon: set[str]):
 
 
 @lru_cache
-def _accent_table() -> tuple[str, str, str]:
-    """Characters with one base character, those bases, and a pattern for all others that
-    a decomposition changes.
+def _accent_table() -> tuple[str, str, str, str, tuple[str, ...]]:
+    """Characters with one base character, and those bases; a pattern for the characters that
+    become several or other ones beyond that, these characters, and what they become.
 
     Follows from the Unicode compatibility decomposition of every code point; combining
     marks come last among the characters and have no counterpart, which deletes them.
+    Hangul syllables are in the pattern only: their letters follow from their number.
     """
-    source, target, marks, wide = [], [], [], []
+    source, target, marks, wide, bases, ranges = [], [], [], [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code < 0xE000:
             continue
@@ -132,23 +133,67 @@ def _accent_table() -> tuple[str, str, str]:
         if len(base) == 1:
             source.append(char)
             target.append(base)
-        elif wide and wide[-1][1] == code - 1:
-            wide[-1][1] = code
+            continue
+        if not HANGUL <= code < HANGUL + 11172:
+            wide.append(char)
+            bases.append(base)
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
         else:
-            wide.append([code, code])
-    ranges = "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in wide)
-    return "".join(source + marks), "".join(target), f"(?=[^\\x00-\\x7f])[{ranges}]"
+            ranges.append([code, code])
+    classes = "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in ranges)
+    return "".join(source + marks), "".join(target), f"[{classes}]", "".join(wide), tuple(bases)
+
+
+#: First Hangul syllable, and its first leading, medial and trailing letter.
+HANGUL, LEADING, MEDIAL, TRAILING = 0xAC00, 0x1100, 0x1161, 0x11A7
+
+
+def _several(char: Column) -> Column:
+    """What a character of the pattern becomes."""
+    _, _, _, wide, bases = _accent_table()
+    # One folded literal: the place of the character is that of its letters.
+    listed = F.element_at(F.split(F.lit("\x00".join(bases)), "\x00"), F.instr(F.lit(wide), char))
+    # UTF-16 of the syllable's letters by their numbers.
+    number = F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("int") - HANGUL
+    tail = number % 28
+    letter = lambda n: F.unhex(F.lpad(F.hex(n), 4, "0"))
+    syllable = F.decode(
+        F.concat(
+            letter(LEADING + F.floor(number / 588)), letter(MEDIAL + F.floor(number % 588 / 28)),
+            F.when(tail > 0, letter(TRAILING + tail)).otherwise(F.unhex(F.lit(""))),
+        ),
+        "UTF-16BE",
+    )
+    return F.when(char.between(F.lit(chr(HANGUL)), F.lit(chr(HANGUL + 11171))), syllable).otherwise(listed)
+
+
+def _put_together(text: Column, pattern: str, become) -> Column:
+    """The text with every match of ``pattern`` replaced by ``become`` of it."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), become)
+    pieces = F.zip_with(
+        F.split(text, pattern, -1), found,
+        lambda part, match: F.concat(part, F.coalesce(match, F.lit(""))),
+    )
+    return F.array_join(pieces, "")
 
 
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without combining marks, for any script.
 
-    One table look-up per character in the JVM. Only texts with characters that become
-    several (ligatures, fractions, squared units, Hangul) go through Arrow.
+    ASCII texts stay as they are. Of others only the runs beyond ASCII are looked at: one table
+    look-up per character, and where characters become several (ligatures, fractions,
+    squared units, Hangul) the run is cut at them and put together again with their
+    letters. All in the JVM.
     """
-    source, target, several = _accent_table()
-    rare = strip_accents_full(F.when(text.rlike(several), text))
-    return F.coalesce(rare, F.translate(text, source, target))
+    source, target, pattern, *_ = _accent_table()
+
+    def plain(run: Column) -> Column:
+        several = F.translate(_put_together(run, pattern, _several), source, target)
+        return F.when(run.rlike(pattern), several).otherwise(F.translate(run, source, target))
+
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, text).otherwise(_put_together(text, r"[^\x00-\x7f]+", plain))
 
 
 @F.pandas_udf(T.StringType())

@@ -4,7 +4,9 @@ Batch variational inference for every group at once. Documents are packed into
 chunks of bounded size, so a group with very many documents is spread over many
 tasks; a group's topic weights are one row. A pass joins chunks with weights,
 updates each chunk in an Arrow batch, and adds up the contributions by group,
-topic and term with an ordinary aggregation.
+topic and term with an ordinary aggregation. A pass also adds up the variational bound,
+so every group may stop at its own convergence. The online fit goes through the documents
+in mini-batches instead and moves the weights after each.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from callweave.operators.topics import describe_topics
 from callweave.operators.vocabulary import doc_term_counts, vocabulary_by
@@ -44,6 +46,7 @@ class GroupTopics:
     ``documents``  group, document key, ``topic0_prob`` and so on
     ``weights``    group and its weights in one array, topic after topic
     ``vocabulary`` group, ``term, total, term_no``
+    ``bounds``     group, ``step, bound``: the bound per word before each pass, where it was asked for
     """
 
     topics: DataFrame
@@ -51,6 +54,7 @@ class GroupTopics:
     weights: DataFrame
     vocabulary: DataFrame
     k: int
+    bounds: DataFrame | None = None
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -65,6 +69,27 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return shift + np.log(x) - 0.5 / x - series
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function by upward recurrence and its asymptotic series."""
+    x = np.array(x, dtype=float)
+    shift = np.zeros_like(x)
+    while (small := x < 8.0).any():
+        shift[small] -= np.log(x[small])
+        x[small] += 1.0
+    r = 1.0 / (x * x)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / x
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
+
+
+def topics_bound(weights: np.ndarray) -> float:
+    """What the topics add to the variational bound: prior less entropy of their weights."""
+    k, size = weights.shape
+    prior, sums = 1.0 / k, weights.sum(axis=1)
+    expected = digamma(weights) - digamma(sums)[:, None]
+    inner = ((prior - weights) * expected + log_gamma(weights)).sum() - weights.size * log_gamma(prior)
+    return float(inner + (log_gamma(prior * size) - log_gamma(sums)).sum())
+
+
 def exp_expected_log(weights: np.ndarray) -> np.ndarray:
     """``exp(E[log p])`` of Dirichlet rows."""
     return np.exp(digamma(weights) - digamma(weights.sum(axis=1, keepdims=True)))
@@ -105,16 +130,22 @@ def infer(
 
 def contributions(
     doc: np.ndarray, term: np.ndarray, count: np.ndarray, weights: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of a chunk and what its documents add to each topic's weight of them."""
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Terms of a chunk, what its documents add to each topic's weight of them, and what they
+    add to the variational bound."""
     beta = exp_expected_log(weights)
-    n_docs = int(doc.max()) + 1
-    _, theta = infer(doc, term, count, beta, n_docs)
+    k, n_docs = beta.shape[0], int(doc.max()) + 1
+    gamma, theta = infer(doc, term, count, beta, n_docs)
     expected = theta[doc].T * beta[:, term]
-    ratio = count / (expected.sum(axis=0) + np.finfo(float).eps)
+    whole = expected.sum(axis=0) + np.finfo(float).eps
+    ratio = count / whole
     terms, at = np.unique(term, return_inverse=True)
     added = np.stack([np.bincount(at, ratio * row, len(terms)) for row in expected])
-    return terms, added
+    log_theta = digamma(gamma) - digamma(gamma.sum(axis=1))[:, None]
+    prior = 1.0 / k
+    bound = (count * np.log(whole)).sum() + ((prior - gamma) * log_theta + log_gamma(gamma)).sum()
+    bound += n_docs * (log_gamma(1.0) - k * log_gamma(prior)) - log_gamma(gamma.sum(axis=1)).sum()
+    return terms, added, float(bound)
 
 
 def _pack(
@@ -125,8 +156,15 @@ def _pack(
     key: str,
     docs_per_chunk: int,
 ) -> DataFrame:
-    """Chunks of a group's documents: arrays ``doc, term_no, cnt`` of bounded length."""
+    """Chunks of a group's documents, with the group's own vocabulary."""
     rows = counts.join(vocab.select(group, "term", "term_no"), [group, "term"])
+    return _chunked(rows, documents, group, key, docs_per_chunk)
+
+
+def _chunked(
+    rows: DataFrame, documents: DataFrame, group: str, key: str, docs_per_chunk: int
+) -> DataFrame:
+    """Chunks of a group's documents: arrays ``doc, term_no, cnt`` of bounded length."""
     sizes = documents.groupBy(group).agg(F.count("*").alias("__docs"))
     pieces = F.ceil(F.col("__docs") / docs_per_chunk)
     entries = F.collect_list(F.struct(F.col(key).alias("doc"), "term_no", "cnt"))
@@ -159,10 +197,12 @@ def _first_weights(vocab: DataFrame, group: str, k: int, seed: int) -> DataFrame
     return sizes.select(group, draw("__size").alias("weights"))
 
 
-def _pass(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFrame:
-    """New weights of every group after one pass over its documents."""
-    joined = chunks.join(weights, group)
-    prior = 1.0 / k
+def _added(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFrame:
+    """What the chunks add to their group's weights: group, ``topic, term_no, added``.
+
+    Topic -1 has what they add to the bound.
+    """
+    joined = chunks.join(weights.select(group, "weights"), group)
     kind = chunks.schema[group].dataType.simpleString()
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,29 +213,63 @@ def _pass(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFram
                 values = row._asdict()
                 doc = np.unique(np.asarray(values["doc"]), return_inverse=True)[1]
                 current = np.asarray(values["weights"]).reshape(k, -1)
-                terms, added = contributions(
+                terms, added, bound = contributions(
                     doc, np.asarray(values["term_no"]), np.asarray(values["cnt"], float), current
                 )
-                own = sums.setdefault(values[group], np.zeros_like(current, dtype=float))
-                own[:, terms] += added
-            for name, own in sums.items():
-                topic, term_no = np.nonzero(own)
+                own = sums.setdefault(
+                    values[group],
+                    [np.zeros_like(current, dtype=float), np.zeros(current.shape[1], bool), 0.0],
+                )
+                own[0][:, terms] += added
+                own[1][terms] = True
+                own[2] += bound
+            for name, (own, met, bound) in sums.items():
+                # Every entry of the terms met, also one that rounds to 0.
+                terms = np.flatnonzero(met)
                 yield pd.DataFrame(
                     {
-                        group: [name] * len(topic),
-                        "topic": topic,
-                        "term_no": term_no,
-                        "added": own[topic, term_no],
+                        group: [name] * (k * len(terms) + 1),
+                        "topic": np.append(np.repeat(np.arange(k), len(terms)), -1),
+                        "term_no": np.append(np.tile(terms, k), -1),
+                        "added": np.append(own[:, terms].ravel(), bound),
                     }
                 )
 
     parts = joined.mapInPandas(
         update, f"{group} {kind}, topic int, term_no int, added double"
     )
-    summed = parts.groupBy(group, "topic", "term_no").agg(F.sum("added").alias("w"))
-    ordered = F.array_sort(F.collect_list(F.struct("topic", "term_no", F.col("w") + prior)))
-    return summed.groupBy(group).agg(
-        F.transform(ordered, lambda s: s["col3"]).alias("weights")
+    return parts.groupBy(group, "topic", "term_no").agg(F.sum("added").alias("added"))
+
+
+def _pass(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFrame:
+    """New weights of every group after one pass over its documents, and the documents' part
+    of the bound at the weights before it."""
+    prior = 1.0 / k
+    entry = F.struct("topic", "term_no", F.col("added") + prior)
+    ordered = F.array_sort(F.collect_list(F.when(F.col("topic") >= 0, entry)))
+    return _added(chunks, weights, group, k).groupBy(group).agg(
+        F.transform(ordered, lambda s: s["col3"]).alias("weights"),
+        F.max(F.when(F.col("topic") < 0, F.col("added"))).alias("seen"),
+    )
+
+
+@F.pandas_udf(T.DoubleType())
+def _topics_bound(weights: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([
+        topics_bound(np.asarray(w, float).reshape(n, -1)) for w, n in zip(weights, k)
+    ], dtype=float)
+
+
+def _with_bound(after: DataFrame, before: DataFrame, words: DataFrame, group: str, k: int) -> DataFrame:
+    """A pass's weights with the bound per word at the weights before it, and its rise."""
+    last = before.select(
+        group, _topics_bound("weights", F.lit(k)).alias("__topics"), F.col("bound").alias("__last")
+    )
+    bound = (F.col("seen") + F.col("__topics")) / F.col("words")
+    return (
+        after.join(last, group).join(words, group)
+        .withColumn("bound", bound).withColumn("change", F.col("bound") - F.col("__last"))
+        .select(group, "weights", "bound", "change")
     )
 
 
@@ -240,6 +314,7 @@ def fit_topics_by_group(
     docs_per_chunk: int = 64,
     documents: DataFrame | None = None,
     work_dir: str | None = None,
+    tolerance: float | None = None,
 ) -> GroupTopics:
     """Fit a topic model of its own, with its own vocabulary, for every group.
 
@@ -251,6 +326,10 @@ def fit_topics_by_group(
     default below the shared folder of the session: each pass starts from
     files, and a lost executor costs part of one pass. The weights' size on file
     decides whether Spark broadcasts them or joins by shuffle.
+
+    With ``tolerance`` a group stops once a pass has changed its variational bound per word
+    by less; it leaves the join, and once half of the groups left have stopped the
+    chunks of the others are written anew, so that those of stopped groups are read no more.
     """
     spark = terms.sparkSession
     work = work_dir or f"{shared_dir(spark)}/group-topics-{uuid.uuid4().hex}"
@@ -267,15 +346,136 @@ def fit_topics_by_group(
         _pack(counts, vocab, listed, group, key, docs_per_chunk), f"{work}/chunks"
     )
     weights = materialize(_first_weights(vocab, group, k, seed), f"{work}/weights-0")
-    for step in range(1, max_iter + 1):
-        weights = materialize(_pass(chunks, weights, group, k), f"{work}/weights-{step}")
-        drop_folder(spark, f"{work}/weights-{step - 1}")
+    bounds = None
+    if tolerance is None:
+        for step in range(1, max_iter + 1):
+            passed = _pass(chunks, weights, group, k).drop("seen")
+            weights = materialize(passed, f"{work}/weights-{step}")
+            drop_folder(spark, f"{work}/weights-{step - 1}")
+    else:
+        weights, bounds = _until_settled(chunks, weights, group, k, max_iter, tolerance, work)
     scored = materialize(_distributions(chunks, weights, group, key, k), f"{work}/documents")
     for done in ("counts", "chunks"):
         drop_folder(spark, f"{work}/{done}")
     if documents is not None:
         scored = _all_documents(documents, scored, group, key, k)
-    return GroupTopics(_named_terms(weights, vocab, group), scored, weights, vocab, k)
+    return GroupTopics(_named_terms(weights, vocab, group), scored, weights, vocab, k, bounds)
+
+
+def _until_settled(
+    chunks: DataFrame, weights: DataFrame, group: str, k: int, max_iter: int, tolerance: float, work: str
+) -> tuple[DataFrame, DataFrame]:
+    """Weights of every group at its own last pass, and the bounds per group and step."""
+    counted = F.aggregate("cnt", F.lit(0).cast("long"), lambda a, c: a + c)
+    words = materialize(
+        chunks.groupBy(group).agg(F.sum(counted).alias("words")), f"{work}/words"
+    )
+    active = weights.withColumn("bound", F.lit(None).cast("double"))
+    listed = active.count()
+    done, bounds = None, None
+    for step in range(1, max_iter + 1):
+        passed = _with_bound(_pass(chunks, active, group, k), active, words, group, k)
+        passed = materialize(passed, f"{work}/weights-{step}")
+        told = passed.select(group, F.lit(step - 1).alias("step"), "bound")
+        bounds = told if bounds is None else bounds.union(told)
+        settled = F.coalesce(F.abs("change") < tolerance, F.lit(False)) | F.lit(step == max_iter)
+        ended = passed.filter(settled).select(group, "weights")
+        done = ended if done is None else done.union(ended)
+        active = passed.filter(~settled).select(group, "weights", "bound")
+        left = active.count()
+        if not left:
+            break
+        if left <= listed // 2:
+            listed = left
+            chunks = materialize(
+                chunks.join(active.select(group), group, "left_semi"), f"{work}/chunks-{step}"
+            )
+    return done, bounds
+
+
+def fit_topics_online(
+    terms: DataFrame,
+    key: str,
+    k: int = 3,
+    seed: int = 0,
+    passes: int = 50,
+    batch_docs: int = 2000,
+    offset: float = 1.0,
+    decay: float = 0.5,
+    max_features: int = 1000,
+    documents: DataFrame | None = None,
+    docs_per_chunk: int = 64,
+    work_dir: str | None = None,
+) -> GroupTopics:
+    """One topic model over the whole corpus by online variational inference.
+
+    The documents are dealt into mini-batches of about ``batch_docs`` by the hash of their
+    key; a pass goes through all of them in order, so every document counts once a
+    pass. After batch t the weights move towards what that batch alone would give, by the step
+    ``(offset + t) ** -decay``. ``terms``, ``documents`` and the result are as in
+    :func:`fit_topics`.
+
+    A batch is a folder of its own and a step reads no other; the weights of each step are
+    a written table, so a lost executor costs part of one step.
+    """
+    spark = terms.sparkSession
+    work = work_dir or f"{shared_dir(spark)}/online-topics-{uuid.uuid4().hex}"
+    whole = F.lit(0).alias(CORPUS)
+    counts = materialize(
+        doc_term_counts(terms.select(whole, key, "term"), [CORPUS, key]), f"{work}/counts"
+    )
+    listed = documents.select(whole, key) if documents is not None else counts.select(CORPUS, key).distinct()
+    vocab = materialize(
+        vocabulary_by(counts, CORPUS, max_features, "cnt").withColumn(
+            "term_no", F.row_number().over(Window.partitionBy(CORPUS).orderBy("term")) - 1
+        ),
+        f"{work}/vocabulary",
+    )
+    n_docs = listed.count()
+    batches = max(1, -(-n_docs // batch_docs))
+    number = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(batches)).cast("int")
+    sizes = {r["batch"]: r["n"] for r in listed.groupBy(number.alias("batch")).agg(F.count("*").alias("n")).collect()}
+    known = counts.join(vocab.select("term", "term_no"), "term").withColumn("batch", number)
+    packed = _chunked(known, listed.withColumn("batch", number), "batch", key, docs_per_chunk)
+    packed.withColumn(CORPUS, whole).write.mode("overwrite").partitionBy("batch").parquet(f"{work}/chunks")
+    chunks = spark.read.parquet(f"{work}/chunks")
+    weights = materialize(_first_weights(vocab, CORPUS, k, seed), f"{work}/weights-0")
+    step = 0
+    for _ in range(passes):
+        for batch in sorted(sizes):
+            step += 1
+            rate = (offset + step) ** -decay
+            own = _added(chunks.filter(F.col("batch") == batch), weights, CORPUS, k)
+            moved = _moved(weights, own, rate, n_docs / sizes[batch], k)
+            weights = materialize(moved, f"{work}/weights-{step}")
+            drop_folder(spark, f"{work}/weights-{step - 1}")
+    scored = materialize(
+        _distributions(chunks.drop("batch"), weights, CORPUS, key, k), f"{work}/documents"
+    )
+    for done in ("counts", "chunks"):
+        drop_folder(spark, f"{work}/{done}")
+    if documents is not None:
+        scored = _all_documents(listed, scored, CORPUS, key, k)
+    return GroupTopics(_named_terms(weights, vocab, CORPUS), scored, weights, vocab, k)
+
+
+def _moved(weights: DataFrame, added: DataFrame, rate: float, share: float, k: int) -> DataFrame:
+    """Weights a step nearer to those of one batch; terms it does not hold go to the prior."""
+    flat = weights.select(
+        CORPUS, (F.size("weights") / k).cast("int").alias("__terms"), F.posexplode("weights").alias("__at", "__now")
+    )
+    towards = added.filter("topic >= 0").withColumnRenamed("added", "__added")
+    placed = flat.withColumns({
+        "topic": F.floor(F.col("__at") / F.col("__terms")).cast("int"),
+        "term_no": (F.col("__at") % F.col("__terms")).cast("int"),
+    })
+    new = 1.0 / k + share * F.coalesce("__added", F.lit(0.0))
+    return placed.join(towards, [CORPUS, "topic", "term_no"], "left").groupBy(CORPUS).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("__at", ((1 - rate) * F.col("__now") + rate * new).alias("w")))),
+            lambda s: s["w"],
+        ).alias("weights")
+    )
 
 
 def fit_topics(
@@ -287,6 +487,7 @@ def fit_topics(
     max_features: int = 1000,
     documents: DataFrame | None = None,
     work_dir: str | None = None,
+    tolerance: float | None = None,
 ) -> GroupTopics:
     """One topic model over the whole corpus by the same batch inference.
 
@@ -297,7 +498,7 @@ def fit_topics(
     return fit_topics_by_group(
         terms.select(whole, key, "term"), CORPUS, key, k, seed, max_iter, max_features,
         documents=None if documents is None else documents.select(whole, key),
-        work_dir=work_dir,
+        work_dir=work_dir, tolerance=tolerance,
     )
 
 

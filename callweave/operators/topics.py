@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from callweave.functions.columns import topic_bin
@@ -99,3 +100,73 @@ def topic_term_relevance(
         relevance.alias("relevance"),
         (F.col("__share") * divergence).alias("saliency"),
     )
+
+
+#: Topics whose distances are scaled to a map: their square is what the driver holds.
+MAX_MAPPED_TOPICS = 2000
+
+
+def topic_distances(topics: DataFrame) -> DataFrame:
+    """Jensen-Shannon divergence of every two topics: ``topic_a, topic_b, distance``, a < b.
+
+    ``topics``: ``topic, term, weight``. Topics meet on the terms that both have; a term
+    that only one of them has adds half its probability times log 2, so what is left of
+    both sums is all that is needed of the other terms. Only positive weights count.
+    """
+    kept = topics.filter("weight > 0")
+    sums = kept.groupBy("topic").agg(F.sum("weight").alias("__sum"))
+    phi = kept.join(sums, "topic").select("topic", "term", (F.col("weight") / F.col("__sum")).alias("p"))
+    one = phi.select(F.col("topic").alias("topic_a"), "term", "p")
+    two = phi.select(F.col("topic").alias("topic_b"), "term", F.col("p").alias("q"))
+    mean = (F.col("p") + F.col("q")) / 2
+    shared = one.join(two, "term").filter("topic_a < topic_b").groupBy("topic_a", "topic_b").agg(
+        F.sum(F.col("p") * F.log(F.col("p") / mean) + F.col("q") * F.log(F.col("q") / mean)).alias("__both"),
+        F.sum(F.col("p") + F.col("q")).alias("__mass"),
+    )
+    # Topics without a common term meet in no row of the join.
+    names = sums.select("topic").agg(F.sort_array(F.collect_set("topic")).alias("names"))
+    pairs = names.select(F.explode("names").alias("topic_a"), "names").select(
+        "topic_a", F.explode(F.filter("names", lambda n: n > F.col("topic_a"))).alias("topic_b")
+    )
+    divergence = F.coalesce("__both", F.lit(0.0)) + (2 - F.coalesce("__mass", F.lit(0.0))) * F.log(F.lit(2.0))
+    return pairs.join(shared, ["topic_a", "topic_b"], "left").select(
+        "topic_a", "topic_b", F.greatest(divergence / 2, F.lit(0.0)).alias("distance")
+    )
+
+
+def scaled(distances: np.ndarray, dimensions: int = 2) -> np.ndarray:
+    """Classical scaling: coordinates whose distances approach the given ones.
+
+    The doubly centred squares are decomposed; directions come by falling eigenvalue,
+    those without a positive one are 0. Of each, the largest coordinate is positive.
+    """
+    k = len(distances)
+    centre = np.eye(k) - np.ones((k, k)) / k
+    values, vectors = np.linalg.eigh(-centre @ (distances**2) @ centre / 2)
+    order = np.argsort(-values, kind="stable")[:dimensions]
+    found = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
+    found = np.where(values[order] > 1e-12 * max(abs(values).max(), 1e-300), found, 0.0)
+    found = found * np.where(found[np.abs(found).argmax(axis=0), range(found.shape[1])] < 0, -1, 1)
+    return np.pad(found, ((0, 0), (0, dimensions - found.shape[1])))
+
+
+def topic_map(topics: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Where each topic stands on the map of topics: ``topic, x, y, size``.
+
+    The distances are one row per two topics; the driver scales them, so there may be
+    at most :data:`MAX_MAPPED_TOPICS` topics. One topic stands at 0, 0.
+    """
+    names = [r["topic"] for r in topics.filter("weight > 0").select("topic").distinct().orderBy("topic")
+             .limit(MAX_MAPPED_TOPICS + 1).collect()]
+    if len(names) > MAX_MAPPED_TOPICS:
+        raise ValueError(f"more than {MAX_MAPPED_TOPICS} topics have no map")
+    at = {name: k for k, name in enumerate(names)}
+    matrix = np.zeros((len(names), len(names)))
+    for row in topic_distances(topics).collect():
+        a, b = at[row["topic_a"]], at[row["topic_b"]]
+        matrix[a, b] = matrix[b, a] = row["distance"]
+    places = scaled(matrix) if names else np.zeros((0, 2))
+    kind = topics.schema["topic"].dataType.simpleString()
+    rows = [(name, float(x), float(y)) for name, (x, y) in zip(names, places)]
+    found = topics.sparkSession.createDataFrame(rows, f"topic {kind}, x double, y double")
+    return found.join(sizes.select("topic", "size"), "topic", "left")

@@ -1,10 +1,13 @@
+import itertools
 import math
+import random
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.functions import text as t
+from callweave.functions import segmentation as cut, text as t
 from callweave.operators import group_topics as g, topics as o, vocabulary as v
 from callweave.sources.tables import docs_from_list
 from conftest import tuples
@@ -31,6 +34,70 @@ def test_accents(spark):
     assert fast == full == ["Ete naive U full e ß", None]
 
 
+def test_accents_of_every_script(spark):
+    rng = random.Random(3)
+    code = lambda: rng.choice([rng.randrange(0x80, 0x250), rng.randrange(0x2000, 0x3400),
+                               rng.randrange(0xAC00, 0xD7A4), rng.randrange(0xF900, 0xFFFF), rng.randrange(0x1D400, 0x1F250)])
+    texts = ["", None, "ascii only", "한국어 각 ①ﬁ½㎡ e\u0301"] + [
+        "".join(chr(code()) if rng.random() < 0.7 else rng.choice("ab \n") for _ in range(40)) for _ in range(400)
+    ]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    strip = lambda x: x and "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    got = df.select("x", t.strip_accents(F.col("x")).alias("plain"))
+    assert all(r.plain == strip(r.x) for r in got.collect())
+    plan = df.select(t.matrix_terms(F.col("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
+def every_path(text, known, unknown):
+    """All ways to cut a text, with their weights."""
+    if not text:
+        return [(0, [])]
+    if "一" <= text[0] <= "龥":
+        end = 1
+    else:
+        end = next((k for k, c in enumerate(text) if "一" <= c <= "龥"), len(text))
+    ends = {end: unknown}
+    for word, weight in known.items():
+        if text.startswith(word):
+            ends[len(word)] = max(ends.get(len(word), weight), weight)
+    return [
+        (weight + value, [text[:end], *rest])
+        for end, weight in ends.items() for value, rest in every_path(text[end:], known, unknown)
+    ]
+
+
+def test_best_path_equals_exhaustive_search():
+    rng = random.Random(1)
+    for _ in range(600):
+        draw = lambda n: "".join(rng.choices("甲乙丙a1", k=n))
+        known, unknown = cut.weights([(draw(rng.randrange(1, 4)), rng.randrange(1, 30)) for _ in range(rng.randrange(9))])
+        text = draw(rng.randrange(1, 9))
+        best = max(every_path(text, known, unknown), key=lambda p: (p[0], [len(w) for w in p[1]]))
+        assert cut.Lattice(known, unknown).cut(text) == best[1]
+
+
+def test_best_path_beats_the_longest_match(spark):
+    lexicon = [("研究", 60), ("研究生", 20), ("生命", 60), ("命", 5), ("起源", 40)]
+    rows = [(1, "研究生命起源。hello 世界", "old"), (2, None, None), (3, "", None), (4, "!? ", None)]
+    df = spark.createDataFrame(rows, "id int, x string, tokens string")
+    got = {r.id: r.tokens for r in cut.segment(df, "x", lexicon).collect()}
+    assert got == {1: ["研究", "生命", "起源", "hello", "世", "界"], 2: None, 3: [], 4: []}
+    assert t.tokenize(df, "x", dictionary=[w for w, _ in lexicon]).first().tokens[:2] == ["研究生", "命"]
+    table = spark.createDataFrame(lexicon + [("", 9), ("起", 0)], "word string, total long")
+    forced = {r.id: r.tokens for r in cut.segment(df, "x", table, words=["究生", "究"]).collect()}
+    assert forced[1] == ["研", "究生", "命", "起源", "hello", "世", "界"]
+
+
+def test_lexicon_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(cut, "MAX_LEXICON_BYTES", 100)
+    df = spark.createDataFrame([("x",)], "x string")
+    table = spark.createDataFrame([("a", 1), ("b", 1)], "word string, total long")
+    for lexicon in (table, [("a", 1), ("b", 1)]):
+        with pytest.raises(ValueError):
+            cut.segment(df, "x", lexicon)
+
+
 def test_clean_english_keeps_stop_words_with_punctuation(spark):
     docs = docs_from_list(spark, ["The cats, and the dogs. But, the cats run"])
     [row] = t.clean_english(docs, "text", ["the", "and", "but"], {"cats": "cat"}).collect()
@@ -219,3 +286,162 @@ def test_relevance(spark):
     given = [0.75 / 1.25, 0.5 / 1.25]
     saliency = 0.75 * sum(p * math.log(p / q) for p, q in zip(given, (0.75, 0.25)))
     assert a0.saliency == pytest.approx(saliency)
+
+
+def test_log_gamma():
+    x = np.array([0.01, 0.2, 1.0, 3.5, 7.9, 60.0, 1e5])
+    assert np.allclose(g.log_gamma(x), [math.lgamma(a) for a in x], rtol=1e-11, atol=1e-11)
+
+
+def plain_bound(counts, weights):
+    """The variational bound of a model, term by term."""
+    k, prior = len(weights), 1 / len(weights)
+    log_beta = g.digamma(weights) - g.digamma(weights.sum(axis=1, keepdims=True))
+    total = 0.0
+    for row in counts:
+        at = np.nonzero(row)[0]
+        gamma, theta = g.infer(np.zeros(len(at), int), at, row[at], np.exp(log_beta), 1)
+        total += sum(n * math.log(sum(theta[0, j] * math.exp(log_beta[j, w]) for j in range(k)))
+                     for w, n in zip(at, row[at]))
+        for j in range(k):
+            expected = float(g.digamma(gamma[0, j]) - g.digamma(gamma[0].sum()))
+            total += (prior - gamma[0, j]) * expected + math.lgamma(gamma[0, j]) - math.lgamma(prior)
+        total += math.lgamma(1.0) - math.lgamma(gamma[0].sum())
+    for j in range(k):
+        for w in range(weights.shape[1]):
+            total += (prior - weights[j, w]) * log_beta[j, w] + math.lgamma(weights[j, w]) - math.lgamma(prior)
+        total += math.lgamma(prior * weights.shape[1]) - math.lgamma(weights[j].sum())
+    return total
+
+
+def count_matrix(rows):
+    words, docs = sorted({w for *_, w in rows}), sorted({d for _, d, _ in rows})
+    counts = np.zeros((len(docs), len(words)))
+    for _, d, w in rows:
+        counts[docs.index(d), words.index(w)] += 1
+    return counts, docs, words
+
+
+def test_groups_stop_by_their_bound(spark, tmp_path):
+    rows, terms = group_terms(spark)
+    fit = g.fit_topics_by_group(
+        terms, "owner_id", "doc_id", max_iter=40, tolerance=2e-3, docs_per_chunk=7, work_dir=str(tmp_path)
+    )
+    bounds = {}
+    for r in fit.bounds.orderBy("step").collect():
+        bounds.setdefault(r.owner_id, []).append(r.bound)
+    assert set(bounds) == {"hot", "small"}
+    for owner, own in bounds.items():
+        # It rises, and the last two are as near as asked; none before was.
+        steps = np.diff(own)
+        assert (steps > -1e-9).all() and steps[-1] < 2e-3 and (steps[:-1] >= 2e-3).all()
+        counts, docs, words = count_matrix([r for r in rows if r[0] == owner])
+        first = np.random.RandomState(0).gamma(100.0, 0.01, (2, len(words)))
+        assert own[0] == pytest.approx(plain_bound(counts, first) / counts.sum(), rel=1e-9)
+        # The result is that of as many plain passes.
+        weights, _ = dense_fit(counts, 2, 0, len(own))
+        got = {(r.topic, r.term): r.weight for r in fit.topics.filter(F.col("owner_id") == owner).collect()}
+        for topic, (j, w) in itertools.product(range(2), enumerate(words)):
+            assert got[topic, w] == pytest.approx(weights[topic, j], rel=1e-6)
+    # The group that stopped first is in none of the later tables.
+    early = min(bounds, key=lambda o: len(bounds[o]))
+    late = max(bounds, key=lambda o: len(bounds[o]))
+    assert len(bounds[early]) < len(bounds[late])
+    n = len(bounds[early])
+    for step in range(n + 1, len(bounds[late]) + 1):
+        assert {r.owner_id for r in spark.read.parquet(str(tmp_path / f"weights-{step}")).collect()} == {late}
+    assert {r.owner_id for r in spark.read.parquet(str(tmp_path / f"chunks-{n}")).collect()} == {late}
+
+
+def online_by_hand(counts, order, k, passes, offset, decay):
+    weights = np.random.RandomState(0).gamma(100.0, 0.01, (k, counts.shape[1]))
+    step = 0
+    for _ in range(passes):
+        for batch in order:
+            step += 1
+            rate = (offset + step) ** -decay
+            beta, stats = g.exp_expected_log(weights), np.zeros_like(weights)
+            for row in counts[batch]:
+                at = np.nonzero(row)[0]
+                if not len(at):
+                    continue
+                _, theta = g.infer(np.zeros(len(at), int), at, row[at], beta, 1)
+                phi = theta[0] @ beta[:, at] + np.finfo(float).eps
+                stats[:, at] += np.outer(theta[0], row[at] / phi) * beta[:, at]
+            weights = (1 - rate) * weights + rate * (1 / k + len(counts) / len(batch) * stats)
+    return weights
+
+
+def test_online_fit_equals_numpy(spark):
+    rows, _ = group_terms(spark)
+    rows = [("c", d if o == "hot" else 100 + d, w) for o, d, w in rows]
+    terms = spark.createDataFrame([r[1:] for r in rows], "doc_id int, term string")
+    counts, docs, words = count_matrix(rows)
+    fit = g.fit_topics_online(terms, "doc_id", k=3, passes=3, batch_docs=12, offset=4.0, decay=0.7, docs_per_chunk=5)
+    n = -(-len(docs) // 12)
+    number = {r.doc_id: r.b for r in terms.distinct().selectExpr("doc_id", f"pmod(xxhash64(doc_id, 0), {n}) as b").collect()}
+    order = [[k for k, d in enumerate(docs) if number[d] == b] for b in sorted(set(number.values()))]
+    assert sorted(itertools.chain(*order)) == list(range(len(docs))) and len(order) > 2
+    want = online_by_hand(counts, order, 3, 3, 4.0, 0.7)
+    got = {(r.topic, r.term): r.weight for r in fit.topics.collect()}
+    assert len(got) == want.size
+    for topic, (j, w) in itertools.product(range(3), enumerate(words)):
+        assert got[topic, w] == pytest.approx(want[topic, j], rel=1e-6)
+    assert fit.documents.count() == len(docs)
+
+
+def test_all_terms_stay_where_contributions_vanish(spark):
+    """With very many topics some contributions round to 0; every weight is still there."""
+    rows = [(d, f"w{(d * 7 + j) % 40}") for d in range(30) for j in range(5)]
+    terms = spark.createDataFrame(rows, "doc_id int, term string")
+    fit = g.fit_topics(terms, "doc_id", k=400, max_iter=3)
+    assert fit.topics.count() == 400 * 40
+
+
+def divergence(p, q):
+    m = (p + q) / 2
+    part = lambda x: sum(a * math.log(a / b) for a, b in zip(x, m) if a > 0)
+    return (part(p) + part(q)) / 2
+
+
+def test_topic_map(spark):
+    rng = np.random.RandomState(4)
+    weights = rng.gamma(0.4, 1.0, (6, 30)) * (rng.random_sample((6, 30)) < 0.6)
+    weights[5, :20], weights[4, 20:] = 0, 0
+    rows = [(k, f"w{j}", float(weights[k, j])) for k in range(6) for j in range(30)]
+    topics = spark.createDataFrame(rows, "topic int, term string, weight double")
+    p = weights / weights.sum(axis=1, keepdims=True)
+    got = {(r.topic_a, r.topic_b): r.distance for r in o.topic_distances(topics).collect()}
+    assert set(got) == set(itertools.combinations(range(6), 2))
+    for (a, b), value in got.items():
+        assert value == pytest.approx(divergence(p[a], p[b]), rel=1e-9)
+    sizes = spark.createDataFrame([(k, k / 15) for k in range(6)], "topic int, size double")
+    places = {r.topic: (r.x, r.y) for r in o.topic_map(topics, sizes).collect()}
+    d = np.zeros((6, 6))
+    for (a, b), value in got.items():
+        d[a, b] = d[b, a] = value
+    centred = -(d**2 - (d**2).mean(0) - (d**2).mean(1)[:, None] + (d**2).mean()) / 2
+    values = np.sort(np.linalg.eigvalsh(centred))[::-1]
+    x = np.array([places[k] for k in range(6)])
+    assert np.allclose(x.T @ x, np.diag(values[:2]), atol=1e-9)
+    assert np.allclose(centred @ x, x * values[:2], atol=1e-9)
+
+
+def test_scaling_keeps_plane_distances():
+    points = np.array([[0, 0], [3, 0], [0, 4], [-2, 1], [5, 5.0]])
+    d = np.sqrt(((points[:, None] - points) ** 2).sum(axis=2))
+    found = o.scaled(d)
+    assert np.allclose(np.sqrt(((found[:, None] - found) ** 2).sum(axis=2)), d)
+    assert np.allclose(o.scaled(np.zeros((1, 1))), 0) and np.allclose(o.scaled(np.zeros((3, 3))), 0)
+
+
+def test_map_of_few_topics(spark):
+    one = spark.createDataFrame([("a", "w", 1.0)], "topic string, term string, weight double")
+    sizes = spark.createDataFrame([("a", 1.0)], "topic string, size double")
+    assert tuples(o.topic_map(one, sizes), "topic", "x", "y", "size") == [("a", 0.0, 0.0, 1.0)]
+    assert o.topic_map(one.filter("false"), sizes).collect() == []
+    two = spark.createDataFrame([("a", "w", 1.0), ("b", "v", 2.0)], one.schema)
+    [pair] = o.topic_distances(two).collect()
+    assert pair.distance == pytest.approx(math.log(2))
+    x = [r.x for r in o.topic_map(two, sizes).collect()]
+    assert abs(x[0] - x[1]) == pytest.approx(math.log(2))

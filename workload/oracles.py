@@ -10,7 +10,7 @@ from callweave.operators.reports import (
 )
 from workload.bindings import BEFORE, CUTOFF, MONTH, SINCE
 from workload.queries import (
-    DECOMPOSED, LATIN_RULES, LEMMAS, MODEL_LIKE, OTHER_PATTERNS, STOPWORDS,
+    DECOMPOSED, FORCED_WORD, LATIN_RULES, LEMMAS, MODEL_LIKE, OTHER_PATTERNS, STOPWORDS,
 )
 from workload.sqlparts import (
     CALL_COLUMNS, METRIC_COLUMNS, quote, rule_column, trigger_rows, with_parts,
@@ -276,6 +276,58 @@ from (select doc_id, regexp_extract_all(lower(text), 'oredthe|' || (
           where regexp_full_match(word, '[a-z]{2,4}') group by 1) where n >= 20)
       || '|[\x{4e00}-\x{9fa5}]|[\p{L}\p{M}\p{N}_]+', 0) as tokens
   from documents)""",
+    "t1_best_path": f"""select p_partkey, cast(len(tokens) as int) as n_tokens,
+  array_to_string(tokens, ' ') as cut_words
+from (
+  with recursive
+  lex0 as (select word, count(*) as total
+           from (select unnest([w, w[1:3], right(w, 4)]) as word
+                 from (select unnest(string_split(p_name, ' ')) as w from part)) group by 1),
+  lex as (select word, cast(round(1000000 * ln(total / (select cast(sum(total) as double) from lex0)))
+                            as bigint) as weight from lex0
+          union all
+          select null, cast(round(1000000 * ln(1 / (select cast(sum(total) as double) from lex0)))
+                            as bigint)),
+  pieces as (select p_partkey, unnest(found) as piece, unnest(range(len(found))) as pos
+             from (select p_partkey, string_split(replace(replace(p_name, ' ', ''),
+                     '{FORCED_WORD}', '#{FORCED_WORD}#'), '#') as found from part)),
+  paths as (
+    select distinct piece, 0 as pos, cast(0 as bigint) as score, cast([] as varchar[]) as tokens
+    from pieces where piece <> '' and piece <> '{FORCED_WORD}'
+    union all
+    select p.piece, p.pos + length(coalesce(l.word, substr(p.piece, p.pos + 1))), p.score + l.weight,
+      list_append(p.tokens, coalesce(l.word, substr(p.piece, p.pos + 1)))
+    from paths p join lex l
+      on l.word is null or starts_with(substr(p.piece, p.pos + 1), l.word)
+    where p.pos < length(p.piece)),
+  best as (
+    select piece, tokens from paths where pos = length(piece)
+    qualify row_number() over (partition by piece
+      order by score desc, list_transform(tokens, lambda w: length(w)) desc) = 1)
+  select p_partkey, flatten(list(case when p.piece = '{FORCED_WORD}' then [p.piece] else b.tokens end
+                                 order by p.pos)) as tokens
+  from pieces p left join best b on p.piece = b.piece where p.piece <> '' group by 1)""",
+    "l1_online_one_topic": """select cast(0 as int) as topic, term,
+  round(cast(total + 1 as double), 6) as weight
+from (select term, count(*) as total from english_terms group by 1
+      order by total desc, term limit 1000)""",
+    "l1_bound_rises": "select cast(6 as int) as n_steps, true as rises",
+    "l2_settled_weight_sums": """select owner_id, 2 * count(*) as n_weights,
+  round(cast(count(*) + sum(total) as double), 3) as total_weight
+from owner_terms where rn <= 1000 group by 1""",
+    "l6_topic_distances": """select topic_a, topic_b, round((
+    sum(case when p > 0 then p * ln(2 * p / (p + q)) else 0 end)
+    + sum(case when q > 0 then q * ln(2 * q / (p + q)) else 0 end)) / 2, 6) as distance
+from (select a.topic as topic_a, b.topic as topic_b, t.term, coalesce(x.phi, 0) as p,
+        coalesce(y.phi, 0) as q
+      from (select distinct topic from lang_weights) a
+      join (select distinct topic from lang_weights) b on a.topic < b.topic
+      join (select distinct term from lang_weights) t on true
+      left join (select topic, term, weight / sum(weight) over (partition by topic) as phi
+                 from lang_weights) x on x.topic = a.topic and x.term = t.term
+      left join (select topic, term, weight / sum(weight) over (partition by topic) as phi
+                 from lang_weights) y on y.topic = b.topic and y.term = t.term)
+where p > 0 or q > 0 group by 1, 2""",
     "r0_other_patterns": "select conv_id, turn, " + ", ".join(
         f"regexp_matches(text, {quote(p)}) as p{i}" for i, p in enumerate(OTHER_PATTERNS)
     ) + ", " + " or ".join(f"regexp_matches(text, {quote(p)})" for p in OTHER_PATTERNS[1:4])

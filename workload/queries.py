@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from callweave.functions import columns as c, predicates as p, text as t
+from callweave.functions import columns as c, predicates as p, segmentation, text as t
 from callweave.functions.rules import Rule, Trigger, occurs, trigger_hit
 from callweave.functions.rules_zh import (
     AGENT_RULES, AGENT_SEQUENCE, SHOWN_ONLY_WITH, SPOKEN_WORDS, TIME_ASKED, USER_RULES,
@@ -695,6 +695,10 @@ def t1_tokenize_documents(spark, sf):
     return cut.select("doc_id", F.size("tokens").alias("n_tokens"))
 
 
+#: A forced word that no lexicon has: it cuts across the ends of words.
+FORCED_WORD = "coldg"
+
+
 def _lexicon(spark, sf):
     """Short words of the documents that are frequent."""
     words = tables.read_table(spark, sf, "documents").select(
@@ -716,6 +720,34 @@ def t1_tokenize_lexicon(spark, sf):
     )
 
 
+@query
+def t1_best_path(spark, sf):
+    """Part names without their spaces, cut by the counts of words and of parts of words."""
+    names = tables.read_table(spark, sf, "part").select(
+        "p_partkey", F.regexp_replace("p_name", " ", "").alias("text"), "p_name"
+    )
+    whole = names.select(F.explode(F.split("p_name", " ")).alias("word"))
+    forms = F.array(F.col("word"), F.substring("word", 1, 3), F.expr("right(word, 4)"))
+    lexicon = (
+        whole.select(F.explode(forms).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+    )
+    cut = segmentation.segment(names.drop("p_name"), "text", lexicon, [FORCED_WORD])
+    return cut.select(
+        "p_partkey", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("cut_words")
+    )
+
+
+@query
+def t1_best_path_documents(spark, sf):
+    """Documents by the counts of their own frequent words; the words of a text without
+    spaces are found again."""
+    texts = b.documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
+    lexicon = words.groupBy("word").agg(F.count("*").alias("total")).filter("total >= 20")
+    cut = segmentation.segment(texts, "text", lexicon)
+    return cut.select("doc_id", F.size("tokens").alias("n_tokens"))
+
+
 @query
 def t2_clean_english(spark, sf):
     cleaned = t.clean_english(
@@ -873,6 +905,57 @@ def l1_english_topics(spark, sf):
     return _weight_sums(group_topics.fit_topics(terms, "doc_id", 3, max_iter=50).topics)
 
 
+def _english_terms(spark, sf):
+    english = b.documents(spark, sf).filter(F.col("lang") == "en")
+    cleaned = t.clean_english(english, "text", STOPWORDS, LEMMAS)
+    return vocabulary.term_rows(cleaned, ["doc_id"], F.col("tokens")), english
+
+
+@query
+def l1_online_topics(spark, sf):
+    """The English documents in mini-batches, three topics, ten passes."""
+    terms, english = _english_terms(spark, sf)
+    fitted = group_topics.fit_topics_online(
+        terms, "doc_id", 3, passes=10, batch_docs=1000, documents=english.select("doc_id")
+    )
+    return fitted.topics.drop(group_topics.CORPUS)
+
+
+@query
+def l1_online_one_topic(spark, sf):
+    """One topic, all documents in one batch: after the first step a term weighs its
+    occurrences and the prior."""
+    terms, english = _english_terms(spark, sf)
+    fitted = group_topics.fit_topics_online(
+        terms, "doc_id", 1, passes=2, batch_docs=english.count() + 1, offset=0.0,
+        documents=english.select("doc_id"),
+    )
+    return fitted.topics.select("topic", "term", F.round("weight", 6).alias("weight"))
+
+
+@query
+def l1_bound_rises(spark, sf):
+    """The bound of the corpus model before every pass but the first is above the last one."""
+    bounds = _corpus_model(spark, sf, 3, max_iter=6, tolerance=0.0).bounds
+    steps = bounds.groupBy(group_topics.CORPUS).agg(
+        F.sort_array(F.collect_list(F.struct("step", "bound"))).alias("s")
+    )
+    rises = F.zip_with(
+        F.slice("s", 2, 5), F.slice("s", 1, 5), lambda now, last: now["bound"] > last["bound"]
+    )
+    return steps.select(F.size("s").alias("n_steps"), F.forall(rises, lambda r: r).alias("rises"))
+
+
+@query
+def l2_settled_weight_sums(spark, sf):
+    """A model per agent, each fitted until its own bound has settled."""
+    fitted = group_topics.fit_topics_by_group(
+        _terms(spark, sf), "owner_id", "doc_id", k=2, documents=_documents(spark, sf),
+        max_iter=12, tolerance=2e-3,
+    )
+    return _weight_sums(fitted.topics, "owner_id")
+
+
 @query
 def l2_fit_topics_by_agent(spark, sf):
     documents = _documents(spark, sf)
@@ -959,6 +1042,39 @@ def l6_topic_term_relevance(spark, sf):
     )
 
 
+@query
+def l6_topic_distances(spark, sf):
+    """Divergence of the word distributions of every two languages."""
+    found = topics.topic_distances(_language_weights(spark, sf))
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def l6_topic_map(spark, sf):
+    """Where the languages stand to each other, and how much of the corpus they are."""
+    weights = stored(_language_weights(spark, sf), "weights")
+    whole = weights.select(F.sum("weight")).scalar()
+    sizes = weights.groupBy("topic").agg((F.sum("weight") / whole).alias("size"))
+    return rounded(topics.topic_map(weights, sizes))
+
+
+@query
+def l6_model_map(spark, sf):
+    """The explorer's view of a fitted model: a topic's place, size and three heaviest words."""
+    k = 5
+    fitted = _corpus_model(spark, sf, k)
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("topic"), F.col(f"topic{i}_prob").alias("probability")) for i in range(k)
+    ])
+    in_topics = fitted.documents.select("doc_id", F.explode(listed).alias("t")).select("doc_id", "t.*")
+    counts = stored(vocabulary.doc_term_counts(_terms(spark, sf), ["doc_id"]), "counts")
+    lengths = counts.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
+    sizes = stored(topics.topic_sizes(in_topics, lengths, "doc_id"), "sizes")
+    weights = fitted.topics.select("topic", "term", "weight")
+    words = topics.describe_topics(weights, 3, "words")
+    return topics.topic_map(weights, sizes).join(words, "topic")
+
+
 @query
 def l6_model_relevance(spark, sf):
     """Topic explorer figures from a fitted model of one topic, whose weights are known."""
