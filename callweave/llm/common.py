@@ -28,6 +28,15 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession, folder: str, *kept: str) -> None:
+    """Delete a run's tables but for those that its result still reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.listStatus(path) if files.exists(path) else []:
+        if found.getPath().getName() not in kept:
+            files.delete(found.getPath(), True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

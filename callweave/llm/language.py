@@ -16,6 +16,8 @@ from callweave.llm.common import fold
 
 #: Bounds of the sample: texts per language, characters of a text, bytes of a dictionary.
 SAMPLE_TEXTS = 96
+#: Languages that are learned, the most frequent ones: a dictionary for each is in every worker.
+MAX_LANGUAGES = 256
 SAMPLE_CHARS = (40, 4000)
 DICTIONARY_BYTES = 112 << 10
 #: Slices of a text too long for the sample; texts too short for it that count as one.
@@ -42,7 +44,9 @@ def dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang") -> dic
     known = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)
     )
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in frequent.collect()}
+    known = known.filter(F.col("lang").isin(list(counts)) if counts else F.lit(False))
     rows = _sample(known.filter(F.length("text").between(*SAMPLE_CHARS)), SAMPLE_TEXTS)
     found: dict[str, list[bytes]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["r"])):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from callweave.llm import hashing
-from callweave.llm.common import run_folder, stored
+from callweave.llm.common import run_folder, stored, tidy
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
@@ -244,7 +244,7 @@ def drop_frequent_lines(
     the text is empty. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    folder = folder or run_folder(spark, "line-dedup")
+    own, folder = folder is None, folder or run_folder(spark, "line-dedup")
     given = docs.select("doc_id", F.col(text).alias("text"))
     index, shards = build_index(given, "text", folder, min_documents, min_chars)
     size = F.octet_length("bits") * 40 + F.octet_length("fingerprints") + F.octet_length("counts")
@@ -256,6 +256,8 @@ def drop_frequent_lines(
     parts = _parts({r["shard"]: r["bytes"] for r in sized}, max_index_bytes)
     if len(parts) <= 1:
         shared = spark.sparkContext.broadcast(index.collect())
+        if own:
+            tidy(spark, folder)
 
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Index(shared.value, shards)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from callweave.llm.common import run_folder, stored, word_count
+from callweave.llm.common import run_folder, stored, tidy, word_count
 from callweave.operators.windows import spread_row_number
 
 #: Slots of the key into which a source, and then a slot, is cut.
@@ -186,12 +186,15 @@ def mix_report(docs: DataFrame, text: str = "text", folder: str | None = None, *
     NULL and empty texts have size 0 and nothing is taken of them. Rows equal in id,
     text and source share their key and are taken alike. A NULL source is a source.
     """
-    folder = folder or run_folder(docs.sparkSession, "mixing")
+    own = folder or run_folder(docs.sparkSession, "mixing")
     keyed = stored(
         with_keys(docs.select("doc_id", "source", F.col(text).alias("text"))).drop("text"),
-        folder, "keys",
+        own, "keys",
     )
-    return with_copies(keyed, source_plan(keyed, folder, **options)).select(
+    plan = source_plan(keyed, own, **options)
+    if folder is None:
+        tidy(docs.sparkSession, own, "keys", "plan")
+    return with_copies(keyed, plan).select(
         "doc_id", F.col("__size").alias("size"), "source_size", "target",
         (F.col("__copies") * F.col("__size")).alias("taken"), "source",
     )
@@ -203,13 +206,15 @@ def mix(docs: DataFrame, text: str = "text", folder: str | None = None, **option
     Sizes and keys are computed once and stored beside the rows; only the plan of a source
     is joined to them. A document without words is taken as often as any other with its key.
     """
-    folder = folder or run_folder(docs.sparkSession, "mixing")
+    own = folder or run_folder(docs.sparkSession, "mixing")
     packed = docs.select(
         "doc_id", "source", F.col(text).alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__document"),
     )
-    keyed = stored(with_keys(packed).drop("text"), folder, "keyed")
-    plan = source_plan(keyed.drop("__document"), folder, **options)
+    keyed = stored(with_keys(packed).drop("text"), own, "keyed")
+    plan = source_plan(keyed.drop("__document"), own, **options)
+    if folder is None:
+        tidy(docs.sparkSession, own, "keyed", "plan")
     taken = with_copies(keyed, plan).filter("__copies > 0")
     return taken.select(
         "__document", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")

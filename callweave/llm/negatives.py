@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from callweave.llm.common import run_folder, stored
+from callweave.llm.common import run_folder, stored, tidy
 from callweave.llm.whitening import usable
 
 SCALE = 256
@@ -275,7 +275,7 @@ def mine(
     another row under its key is. A positive that scores below 0 has an empty window. An
     empty table gives an empty result.
     """
-    folder = folder or run_folder(vectors.sparkSession, "negatives")
+    own, folder = folder is None, folder or run_folder(vectors.sparkSession, "negatives")
     rows = prepared(vectors, key, vector, F.col(label) if isinstance(label, str) else label, folder)
     kind = rows.schema["id"].dataType.simpleString()
     energy = (
@@ -372,6 +372,9 @@ def mine(
         folder, "negatives",
     )
 
+    if own:
+        tidy(rows.sparkSession, folder, "rows", "positives", "negatives")
+
     def named(df: DataFrame, column: str, out: str) -> DataFrame:
         own = names.select(F.col("row").alias(column), F.col("id").alias(out))
         return df.join(own, column).drop(column)

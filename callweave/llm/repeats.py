@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from callweave.llm import bloom, exact_dedup, hashing
-from callweave.llm.common import run_folder, stored
+from callweave.llm.common import run_folder, stored, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -371,7 +371,7 @@ def repeat_report(docs: DataFrame, text: str = "text", folder: str | None = None
     NULL is empty. Rows with a NULL id come last, rows of one id in the order of their
     text's hash; rows equal in id and text are one document and share their result.
     """
-    folder = folder or run_folder(docs.sparkSession, "repeats")
+    given_folder, folder = folder, folder or run_folder(docs.sparkSession, "repeats")
     value = F.coalesce(F.col(text), F.lit(""))
     given = docs.select("doc_id", value.alias("text"))
     rows = stored(
@@ -405,6 +405,8 @@ def repeat_report(docs: DataFrame, text: str = "text", folder: str | None = None
         ).filter("n > 1").select("node", "first"),
         folder, "copies",
     )
+    if given_folder is None:
+        tidy(docs.sparkSession, folder, "rows", "cut", "copies")
     copy = F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first"))
     whole = copy & (F.col("n_bytes") >= LENGTH)
     zero = F.lit(0).cast("long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from callweave.llm import hashing
-from callweave.llm.common import fold, run_folder, stored
+from callweave.llm.common import fold, run_folder, stored, tidy
 
 #: Bound of the labelled sample that the model is fitted on.
 MAX_SAMPLE = 16_000
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", folder: str | No
     Rows of fold 2, without a label or without a document are not used. Without any
     usable row, or with one label only, every score is the share of label 1.
     """
-    spark = docs.sparkSession
+    spark, given = docs.sparkSession, folder
     folder = folder or run_folder(spark, "toxicity")
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -226,6 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", folder: str | No
             )
 
     rows = sample.mapInArrow(chosen_terms, "terms array<int>, toxic int").toArrow()
+    if given is None:
+        tidy(spark, folder)
     # A fixed order: the same rows give the same model.
     lists = [np.array(x, np.int64) for x in rows.column("terms").to_pylist()]
     labels_ = np.array(rows.column("toxic").to_pylist(), float)

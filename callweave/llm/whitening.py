@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from callweave.llm.common import run_folder, stored
+from callweave.llm.common import run_folder, stored, tidy
 
 SCALE = 1024
 SHIFT = 100_000
@@ -380,13 +380,15 @@ def whitening_report(
     NULL for whitened and 0 for explained. An empty list gives an empty result; other
     columns are not read.
     """
-    folder = folder or run_folder(vectors.sparkSession, "whitening")
+    own, folder = folder is None, folder or run_folder(vectors.sparkSession, "whitening")
     rows = fit_list(vectors, key, vector, folder)
     model = fit(rows, folder, components)
     if model is None:
         model = Whitening(1, [], np.zeros((0, 0)), np.zeros(0), 0.0)
         rows = rows.limit(0)
     scores = stored(whiten(rows, model), folder, "whitened")
+    if own:
+        tidy(vectors.sparkSession, folder, "whitened")
     error = identity_error(scores, [k for k, v in enumerate(model.values) if v > 0])
     explained = F.array(*[F.lit(float(v / model.trace) if model.trace else 0.0) for v in model.values])
     return scores.select("id", "deviation", F.posexplode("whitened").alias("__place", "value")).select(

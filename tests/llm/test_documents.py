@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from helpers import corpus, family, frame, words
 
 from callweave.llm import (
@@ -632,3 +633,36 @@ def test_word_hashes():
     for w, h in zip(flat, hashes.tolist()):
         by_word[w].add(h)
     assert all(len(v) == 1 for v in by_word.values()) and len(set().union(*by_word.values())) == len(by_word)
+
+
+@pytest.mark.parametrize("module, run, kept", [
+    (near_dedup, lambda docs: near_dedup.class_report(docs), {"signed", "labels", "classes"}),
+    (near_dedup, lambda docs: near_dedup.keep_one(docs), {"signed", "labels", "shared"}),
+    (mixing, lambda docs: mixing.mix(docs), {"keyed", "plan"}),
+    (repeats, lambda docs: repeats.repeat_report(docs), {"rows", "cut", "copies"}),
+])
+def test_tables_that_no_result_reads_are_deleted(spark, tmp_path, monkeypatch, module, run, kept):
+    rows = corpus(n=24)
+    monkeypatch.setattr(module, "run_folder", lambda *_: str(tmp_path / "run"))
+    out = run(frame(spark, rows))
+    assert {f.name for f in (tmp_path / "run").iterdir()} <= kept
+    assert out.count() > 0
+
+
+def clashing(spark, rows):
+    """Documents with columns under the names that the operators use themselves."""
+    names = ("__score", "__size", "__key", "__tie", "__copies", "__row", "__order", "__maybe", "__sha",
+             "label", "root", "bucket", "registers", "score", "target", "source_size")
+    df = frame(spark, rows)
+    return df.withColumns({name: F.lit(f"own {name}") for name in names}), names
+
+
+def test_stages_keep_columns_that_clash(spark):
+    docs, names = clashing(spark, corpus(n=30))
+    labels = spark.createDataFrame([(k, int(k == 3)) for k in range(30)], "doc_id long, toxic int")
+    for out in (
+        toxicity.keep_clean(docs, labels), exact_dedup.keep_one(docs), near_dedup.keep_one(docs), mixing.mix(docs),
+    ):
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[name] == f"own {name}" for r in found for name in names)
