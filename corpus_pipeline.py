@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from callweave.llm.common import documents, run_folder, stored
+from callweave.llm.common import documents, run_folder, stored, tidy
 from callweave.llm.queries import vocabulary
 from callweave.session import tune
 
@@ -60,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), folder, name)
+        tidy(spark, folder, name)
     return STAGES[-1][1](spark, docs, sf_dir)
