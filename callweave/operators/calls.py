@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from callweave.functions.columns import case_age, relation_class
 from callweave.functions.predicates import in_window, not_null, number_between, text_contains
-from callweave.operators.windows import first_of_group, spread_row_number
+from callweave.sources.tables import only_days
+from callweave.operators.windows import balanced_row_number, first_of_group, spread_row_number
 
 CALL_COLUMNS = [
     "callid", "file_date", "phone", "ringtime", "duration", "user_id",
@@ -48,12 +49,14 @@ def resolve_agent(
     as_of: str,
     group_like: str,
     distinct: bool = True,
+    by_day: bool = False,
 ) -> DataFrame:
     """Telephone-system records with the agent who sat at the extension that day.
 
     Only calls that lasted, from ``since`` on, and only agents on the roster of
     the day in a group whose name contains ``group_like``. User and case come
-    as text and are NULL where they are no numbers.
+    as text and are NULL where they are no numbers. ``by_day``: the roster is
+    partitioned by ``dt``; the days of the calls are listed first and only those are read.
     """
     lasting = in_window(sip, "createtime", since).filter(F.col("t_durtion") > 0)
     dialled = lasting.join(
@@ -62,6 +65,8 @@ def resolve_agent(
         ),
         "dn",
     ).withColumn("dt", F.to_date("createtime"))
+    if by_day:
+        roster = only_days(roster, "dt", lasting, F.to_date("createtime"))
     agents = (
         text_contains(in_window(roster, "dt", since, as_of), "group_name", group_like)
         .select("owner_id", "owner_name", "group_name", "dt")
@@ -195,8 +200,14 @@ def closest_relation(directory: DataFrame) -> DataFrame:
     )
 
 
-def attach_relation(calls: DataFrame, directory: DataFrame) -> DataFrame:
-    """Calls with the relation rank of the number called, as of the call's day."""
+def attach_relation(calls: DataFrame, directory: DataFrame, by_day: bool = False) -> DataFrame:
+    """Calls with the relation rank of the number called, as of the call's day.
+
+    ``by_day``: the directory is partitioned by ``dt``; the days of the calls are listed
+    first and only those are read.
+    """
+    if by_day:
+        directory = only_days(directory, "dt", calls, F.to_date("ringtime"))
     relation = closest_relation(directory).withColumnRenamed("dt", "__day")
     return (
         calls.withColumn("__day", F.to_date("ringtime"))
@@ -205,19 +216,20 @@ def attach_relation(calls: DataFrame, directory: DataFrame) -> DataFrame:
     )
 
 
-def call_ordinal(calls: DataFrame, slot: Column | None = None) -> DataFrame:
+def call_ordinal(
+    calls: DataFrame, slot: Column | None = None, target: str | None = None
+) -> DataFrame:
     """Number the answered calls of every user and allocation day.
 
     Hours serve as slots, so that a user with very many calls is numbered by
-    many tasks.
+    many tasks. With ``target`` the calls are written there once, in ranges of equal
+    numbers of rows: for users with very many calls in an hour.
     """
-    return spread_row_number(
-        calls,
-        ["user_id", "time_mark"],
-        [F.col("ringtime"), F.col("callid")],
-        F.date_trunc("hour", "ringtime") if slot is None else slot,
-        "yes_call_num",
-    )
+    keys, order = ["user_id", "time_mark"], [F.col("ringtime"), F.col("callid")]
+    if target is not None:
+        return balanced_row_number(calls, keys, order, "yes_call_num", target)
+    hour = F.date_trunc("hour", "ringtime") if slot is None else slot
+    return spread_row_number(calls, keys, order, hour, "yes_call_num")
 
 
 def enrich_calls(calls: DataFrame, directory: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from callweave.functions.columns import SELF, contact_class
 from callweave.functions.predicates import first_day_first_call, in_window, min_duration
-from callweave.operators.windows import first_of_group, spread_row_number
+from callweave.operators.windows import balanced_row_number, first_of_group, spread_row_number
 
 ORDER_KEYS = ["owner_id", "dun_case_id", "time_mark", "new_contact_type"]
 
@@ -53,14 +53,17 @@ def complete_calls(
     return joined.distinct() if distinct else joined
 
 
-def contact_order(calls: DataFrame) -> DataFrame:
-    """Number the calls per owner, case, allocation and contact class."""
+def contact_order(calls: DataFrame, target: str | None = None) -> DataFrame:
+    """Number the calls per owner, case, allocation and contact class.
+
+    Hours serve as slots. With ``target`` the calls are written there once, in ranges of
+    equal numbers of rows: for groups with very many calls in an hour.
+    """
+    order = [F.col("ringtime"), F.col("callid")]
+    if target is not None:
+        return balanced_row_number(calls, ORDER_KEYS, order, "order_num", target)
     return spread_row_number(
-        calls,
-        ORDER_KEYS,
-        [F.col("ringtime"), F.col("callid")],
-        F.date_trunc("hour", "ringtime"),
-        "order_num",
+        calls, ORDER_KEYS, order, F.date_trunc("hour", "ringtime"), "order_num"
     )
 
 

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import sys
+import uuid
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from callweave.session import shared_dir
+from callweave.sources.sinks import materialize
+
+# Executors get the functions of this module with the job, not from an installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def term_rows(
     df: DataFrame, keys: Sequence[str], terms: Column, stopwords: Sequence[str] = ()
@@ -78,3 +90,98 @@ def term_matrix(
     else:
         vocab = vocabulary_by(counts, group, max_features, "cnt")
     return known_terms(counts, vocab, keys)
+
+
+class HeavyTerms:
+    """Counts of the most frequent terms of a stream, with a bound on what is missing.
+
+    Beyond four times ``size`` terms only the ``size`` largest counts stay. A term may have
+    lost at most the largest count dropped each time, so no count is short by more than
+    ``lost``, and no term that is absent occurred more often.
+    """
+
+    def __init__(self, size: int):
+        self._size = size
+        self._terms, self._counts = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.lost = 0
+
+    def add(self, terms: pa.Array) -> None:
+        found = pc.value_counts(terms)
+        self._terms = pa.concat_arrays([self._terms, found.field("values")])
+        self._counts = np.concatenate([self._counts, found.field("counts").to_numpy()])
+        if len(self._terms) > 4 * self._size:
+            self._merge()
+            if len(self._terms) > 2 * self._size:
+                self._drop()
+
+    def _merge(self) -> None:
+        coded = self._terms.dictionary_encode()
+        self._counts = np.bincount(
+            coded.indices.to_numpy(), self._counts, len(coded.dictionary)
+        ).astype(np.int64)
+        self._terms = coded.dictionary
+
+    def _drop(self) -> None:
+        order = np.argsort(-self._counts, kind="stable")
+        keep, gone = order[: self._size], order[self._size :]
+        if len(gone):
+            self.lost += int(self._counts[gone].max())
+        self._terms, self._counts = self._terms.take(pa.array(keep)), self._counts[keep]
+
+    def result(self) -> tuple[pa.Array, np.ndarray]:
+        self._merge()
+        if len(self._terms) > self._size:
+            self._drop()
+        return self._terms, self._counts
+
+
+def heavy_terms(df: DataFrame, terms: Column, size: int) -> DataFrame:
+    """``term, low``: a summary per task, at most ``size`` terms each. The NULL term has what
+    any term's count in that task may be short by."""
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = HeavyTerms(size)
+        for batch in batches:
+            held.add(batch.column("terms").flatten().drop_null())
+        names, counts = held.result()
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array(np.append(counts, held.lost))],
+            ["term", "low"],
+        )
+
+    return df.select(terms.alias("terms")).mapInArrow(summarise, "term string, low long")
+
+
+def frequent_terms(
+    df: DataFrame, terms: Column, max_features: int = 1000, stopwords: Sequence[str] = (),
+    size: int = 65_536, work_dir: str | None = None,
+) -> DataFrame:
+    """The vocabulary of :func:`vocabulary`, exactly, without shuffling every term.
+
+    First every task sends a summary of its most frequent terms. Their sums are counts from
+    below, short by at most the sum of what the tasks may have lost. If that sum is below the
+    count of the last term asked for, every term that may belong to the vocabulary is among
+    those seen; only these are then counted. Otherwise the summaries are made four times
+    as long, until they hold all terms if need be. ``terms`` is an array column.
+    """
+    work = work_dir or f"{shared_dir(df.sparkSession)}/frequent-terms-{uuid.uuid4().hex}"
+    step = 0
+    while True:
+        rows = heavy_terms(df, terms, size)
+        summed = materialize(
+            rows.groupBy("term").agg(F.sum("low").alias("low")), f"{work}/summary-{step}"
+        )
+        lost = summed.filter("term is null").agg(F.sum("low")).first()[0] or 0
+        known = summed.filter("term is not null")
+        if stopwords:
+            known = known.filter(~F.col("term").isin(list(stopwords)))
+        last = known.orderBy(F.desc("low")).limit(max_features).agg(F.min("low"), F.count("*")).first()
+        enough = last[1] == max_features and lost < last[0]
+        if enough or not lost:
+            break
+        size, step = 4 * size, step + 1
+    if not lost:  # nothing was dropped anywhere: the sums are the counts
+        return known.select("term", F.col("low").alias("total")).orderBy(F.desc("total"), "term").limit(max_features)
+    candidates = known.filter(F.col("low") + lost >= last[0]).select("term")
+    counted = term_rows(df, [], terms).join(candidates, "term", "left_semi")
+    return vocabulary(counted, max_features)

@@ -60,6 +60,49 @@ def spread_row_number(
     )
 
 
+def balanced_row_number(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    out: str,
+    target: str,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` in tasks of equal numbers of rows.
+
+    The rows are dealt by ranges of keys and order whose limits Spark draws from the data,
+    so a task holds about the same number of rows whatever a key holds and however its
+    rows cluster; with a unique last ordering column, rows that tie in the others are cut
+    apart as well. Rows are numbered where they are sorted, written to ``target`` once,
+    and shifted by the key's rows in earlier ranges; only a row per key and range meets
+    elsewhere. NULL keys are a group of their own.
+
+    ``df`` is computed twice, for the limits and for the rows: store it first if it is costly.
+    """
+    by = [F.col(k) for k in keys] + list(order)
+    dealt = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    placed = materialize(
+        dealt.sortWithinPartitions(*by).withColumn("__place", F.monotonically_increasing_id()), target
+    )
+    run = F.struct(*[F.col(k) for k in keys], F.shiftright("__place", 33).alias("__range"))
+    numbered = placed.withColumn("__run", run)
+    runs = numbered.groupBy("__run").agg(
+        F.count("*").alias("__rows"), F.min("__place").alias("__first")
+    )
+    before = (
+        Window.partitionBy(*[F.col(f"__run.{k}") for k in keys]).orderBy("__run.__range")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = runs.select(
+        "__run", (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+    )
+    return (
+        numbered.join(offsets, "__run")
+        .withColumn(out, (F.col("__shift") + F.col("__place") + 1).cast("int"))
+        .drop("__run", "__place", "__shift")
+    )
+
+
 def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every group.
 

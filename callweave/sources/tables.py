@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+#: Agents of a table that are listed to choose folders; more are joined.
+MAX_LISTED = 10_000
 
 #: Schema of exported agent transcripts.
 AGENT_CALLS = T.StructType([
@@ -40,7 +43,8 @@ def read_agent_calls(
     """Transcripts from CSV with header, one folder or file per agent.
 
     ``owners`` restricts the agents: a list prunes the folders of an export
-    partitioned by owner, a DataFrame with ``owner_id`` is a semi-join.
+    partitioned by owner, so that no other is read. Of a DataFrame with ``owner_id`` the
+    agents are listed if they are at most :data:`MAX_LISTED`; more are a semi-join.
     """
     calls = (
         spark.read.schema(schema)
@@ -53,12 +57,36 @@ def read_agent_calls(
     if owners is None:
         return calls
     if isinstance(owners, DataFrame):
-        return calls.join(owners.select("owner_id"), "owner_id", "left_semi").select(
-            *schema.fieldNames()
-        )
+        listed = few_values(owners, "owner_id", MAX_LISTED)
+        if listed is None:
+            return calls.join(owners.select("owner_id"), "owner_id", "left_semi").select(
+                *schema.fieldNames()
+            )
+        owners = listed
     return calls.filter(F.col("owner_id").isin(list(owners)))
 
 
+def few_values(df: DataFrame, column: str, most: int) -> list | None:
+    """The distinct values of a column, without NULL, or ``None`` if there are more than ``most``."""
+    found = (
+        df.select(F.col(column).alias("value")).filter("value is not null").distinct()
+        .limit(most + 1).collect()
+    )
+    return [r["value"] for r in found] if len(found) <= most else None
+
+
+def only_days(table: DataFrame, column: str, calls: DataFrame, day: Column, most: int = 4000) -> DataFrame:
+    """The rows of ``table`` whose day is one of the calls' days.
+
+    On a table partitioned by that day this chooses the folders before the scan. The days
+    are listed if they are at most ``most``; else the table stays as it is, for the join to sort out.
+    """
+    days = few_values(calls.select(day.alias("day")), "day", most)
+    if days is None:
+        return table
+    return table.filter(F.col(column).isin(days) if days else F.lit(False))
+
+
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """A word list, one word per line, trimmed; column ``word``."""
     return spark.read.text(path).select(F.trim("value").alias("word"))

@@ -98,6 +98,43 @@ def test_lexicon_is_bounded(spark, monkeypatch):
             cut.segment(df, "x", lexicon)
 
 
+def zipf_texts(spark, n=600):
+    rng = np.random.RandomState(5)
+    rows = [(k, [f"w{min(int(x), 4000)}" for x in rng.zipf(1.4, 30)]) for k in range(n)]
+    rows += [(n, None), (n + 1, []), (n + 2, [None, "w1"])]
+    return spark.createDataFrame(rows, "doc_id int, tokens array<string>").repartition(6)
+
+
+@pytest.mark.parametrize("size", [4, 32, 100_000])
+def test_frequent_terms_equal_the_plain_count(spark, tmp_path, size):
+    docs = zipf_texts(spark)
+    rows = v.term_rows(docs, [], F.col("tokens")).filter("term is not null")
+    want = [tuple(r) for r in v.vocabulary(rows, 25).orderBy(F.desc("total"), "term").collect()]
+    got = v.frequent_terms(docs, F.col("tokens"), 25, size=size, work_dir=str(tmp_path))
+    assert [tuple(r) for r in got.orderBy(F.desc("total"), "term").collect()] == want
+    without = v.frequent_terms(docs, F.col("tokens"), 25, ["w1"], size=size, work_dir=str(tmp_path / "w"))
+    assert "w1" not in {r.term for r in without.collect()}
+    # Fewer terms than asked for: all of them.
+    assert v.frequent_terms(docs, F.col("tokens"), 10**6, size=size, work_dir=str(tmp_path / "all")).count() \
+        == rows.select("term").distinct().count()
+
+
+def test_summaries_bound_what_is_sent(spark):
+    docs = zipf_texts(spark)
+    exact = {r.term: r.total for r in v.vocabulary(v.term_rows(docs, [], F.col("tokens")), None).collect()}
+    summary = v.heavy_terms(docs, F.col("tokens"), 16)
+    parts = summary.rdd.getNumPartitions()
+    rows = summary.collect()
+    assert len(rows) <= parts * 17
+    lost = sum(r.low for r in rows if r.term is None)
+    low = {}
+    for r in rows:
+        if r.term is not None:
+            low[r.term] = low.get(r.term, 0) + r.low
+    assert lost > 0
+    assert all(low.get(t_, 0) <= n <= low.get(t_, 0) + lost for t_, n in exact.items() if t_ is not None)
+
+
 def test_clean_english_keeps_stop_words_with_punctuation(spark):
     docs = docs_from_list(spark, ["The cats, and the dogs. But, the cats run"])
     [row] = t.clean_english(docs, "text", ["the", "and", "but"], {"cats": "cat"}).collect()

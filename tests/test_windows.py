@@ -4,7 +4,7 @@ import random
 from pyspark.sql import Window, functions as F
 
 from callweave.operators.windows import (
-    first_of_group, mark_copies, only_unique, previous_turn, spread_row_number,
+    balanced_row_number, first_of_group, mark_copies, only_unique, previous_turn, spread_row_number,
 )
 from conftest import tuples
 
@@ -38,6 +38,33 @@ def test_spread_row_number_descending_without_keys(spark):
     assert tuples(spread, "id", "n") == tuples(plain, "id", "n")
 
 
+def test_balanced_row_number_equals_plain_window(spark, tmp_path):
+    df = hot_rows(spark)
+    order = [F.col("pos").desc_nulls_last(), F.col("id")]
+    got = balanced_row_number(df, ["key"], order, "n", str(tmp_path / "rows"), partitions=7)
+    plain = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
+    assert tuples(got, "id", "n") == tuples(plain, "id", "n")
+    assert got.columns == ["id", "key", "pos", "n"]
+    alone = balanced_row_number(df, [], order, "n", str(tmp_path / "alone"))
+    assert tuples(alone, "id", "n") == tuples(
+        df.withColumn("n", F.row_number().over(Window.orderBy(*order))), "id", "n"
+    )
+    none = balanced_row_number(df.filter("false"), ["key"], order, "n", str(tmp_path / "none"))
+    assert none.collect() == []
+
+
+def test_balanced_tasks_hold_few_rows_of_one_hour(spark, tmp_path):
+    """All rows under one key, at one time: only the tie-breaker tells them apart."""
+    df = spark.range(8000).select(F.lit("k").alias("key"), F.lit(5).alias("hour"), F.col("id").cast("string").alias("id"))
+    order = [F.col("hour"), F.col("id")]
+    got = balanced_row_number(df, ["key"], order, "n", str(tmp_path / "rows"), partitions=16)
+    placed = spark.read.parquet(str(tmp_path / "rows"))
+    sizes = [r["count"] for r in placed.groupBy(F.shiftright("__place", 33).alias("p")).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 2 * 8000 / 16
+    ids = sorted(str(k) for k in range(8000))
+    assert [r.id for r in got.orderBy("n").collect()] == ids
+
+
 def test_spread_row_number_shuffles_rows_once(spark):
     df = spark.range(1000).select(
         (F.col("id") % 3).alias("key"), F.col("id").alias("pos"), F.lit("x").alias("wide")

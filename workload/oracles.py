@@ -98,6 +98,14 @@ _LATIN_TRIGGER = LATIN_RULES[3].after
 SQL: dict[str, str] = {
     "s1_read_table": "select event_id, user_id, event_type from events",
     "s2_read_agent_calls": "select * from transcripts where owner_id in (1, 3, 5, 7)",
+    "s2_owners_of_a_table": "select * from transcripts where owner_id in (1, 3, 5, 7)",
+    "s5_bucketed_metrics": f"select * {METRIC_ROUNDS} from call_metrics",
+    "s5_changed_dates": """select file_date, owner_id, count(*) as n_calls,
+  cast(sum(duration) as bigint) as seconds from event_calls group by 1, 2""",
+    "j5_relation_by_day": """select callid, order_id from event_calls a left join
+  (select user_id, phone, dt, min(order_id) as order_id from directory group by 1, 2, 3) b
+  on a.user_id = b.user_id and a.phone = b.phone and cast(a.ringtime as date) = b.dt
+where file_date < '2024-01-11'""",
     "s3_read_words": "select trim(p_name) as word from part",
     "s5_materialize": "select * from event_calls_allocated",
     "s6_export_by_owner": "select * from transcripts",
@@ -194,6 +202,8 @@ from documents group by 1""",
   partition by callid order by try_cast(split_part(new_name, '_', 3) as int) nulls first,
   new_name, channel) as int) as seq_id from merged""",
     "w2_latest_per_call": "select * from event_calls_allocated",
+    "w3_balanced_ordinal": "select callid, user_id, time_mark, yes_call_num from event_calls_plus",
+    "w4_balanced_order": "select callid, new_contact_type, order_num from lifecycle",
     "w3_call_ordinal": "select callid, user_id, time_mark, yes_call_num from event_calls_plus",
     "w4_contact_order": "select callid, new_contact_type, order_num from lifecycle",
     "w5_rank_agents": "select * replace (round(repay_rate, 6) as repay_rate) from ranked",
@@ -353,6 +363,7 @@ from (select unnest(string_split(p_name, ' ')) as term from part) group by 1""",
     "t4_strip_accents": "select doc_id, strip_accents(text) as plain from documents",
     "t4_strip_accents_full": "select doc_id, strip_accents(text) as plain from documents",
     "t5_vocabulary": "select * from top_terms",
+    "t5_frequent_terms": "select * from top_terms order by total desc, term limit 200",
     "t5_vocabulary_by_agent": "select owner_id, term, total from owner_terms where rn <= 1000",
     "t6_doc_term_counts": """select doc_id, term, count(*) as cnt from doc_terms
 where term in (select term from top_terms) group by 1, 2""",

@@ -21,7 +21,7 @@ from callweave.plans.calls import Era, build_calls
 from callweave.plans.features import features_from_turns
 from callweave.plans.topics import agent_topics
 from callweave.session import shared_dir
-from callweave.sources import sinks, tables
+from callweave.sources import rebuild, sinks, tables
 from workload import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,17 @@ def s2_read_agent_calls(spark, sf):
     return tables.read_agent_calls(spark, path, owners=[1, 3, 5, 7])
 
 
+@query
+def s2_owners_of_a_table(spark, sf):
+    """The agents come from a table; their folders are chosen before the scan."""
+    path = new_folder(spark, "agent-calls")
+    sinks.export_by_owner(_transcripts(spark, sf), path)
+    owners = tables.read_table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("owner_id")
+    ).filter("owner_id < 8 and owner_id % 2 = 1")
+    return tables.read_agent_calls(spark, path, owners=owners)
+
+
 @query
 def s3_read_words(spark, sf):
     path = new_folder(spark, "words")
@@ -108,6 +119,37 @@ def s5_materialize(spark, sf):
     return sinks.materialize(b.event_calls_allocated(spark, sf), new_folder(spark, "calls"))
 
 
+@query
+def s5_bucketed_metrics(spark, sf):
+    """Call metrics over bucketed tables: joined and grouped by call without an exchange."""
+    run = uuid.uuid4().hex
+    kept = [
+        sinks.materialize(df, f"{name}_{run}", key="callid", buckets=16)
+        for name, df in zip(("turns", "calls_plus"), conversation_tables(spark, sf))
+    ]
+    result = stored(metrics.call_metrics(*kept), "metrics")
+    for name in ("turns", "calls_plus"):
+        spark.sql(f"drop table {name}_{run}")
+    return rounded(result)
+
+
+@query
+def s5_changed_dates(spark, sf):
+    """Calls per date and agent, built once without the calls of every third date's odd
+    agents, then brought up to date: only those dates are written again."""
+    target = new_folder(spark, "by-date")
+    whole = b.event_calls(spark, sf).select("file_date", "owner_id", "duration")
+
+    def per_agent(df):
+        return df.groupBy("file_date", "owner_id").agg(
+            F.count("*").alias("n_calls"), F.sum("duration").alias("seconds")
+        )
+
+    late = (F.dayofmonth(F.to_date("file_date")) % 3 == 0) & (F.col("owner_id") % 2 == 1)
+    rebuild.rebuild_dates(whole.filter(~late), per_agent, target, "file_date")
+    return rebuild.rebuild_dates(whole, per_agent, target, "file_date")
+
+
 @query
 def s6_export_by_owner(spark, sf):
     path = new_folder(spark, "export")
@@ -237,6 +279,17 @@ def j5_attach_relation(spark, sf):
     )
 
 
+@query
+def j5_relation_by_day(spark, sf):
+    """The directory in folders by day, of which only the calls' days are read."""
+    path = new_folder(spark, "directory")
+    b.directory(spark, sf).write.partitionBy("dt").parquet(path)
+    early = b.event_calls(spark, sf).filter(F.col("file_date") < "2024-01-11")
+    return calls.attach_relation(early, spark.read.parquet(path), by_day=True).select(
+        "callid", "order_id"
+    )
+
+
 @query
 def j6_attach_call_attributes(spark, sf):
     return calls.attach_call_attributes(*conversation_tables(spark, sf)).select(
@@ -404,6 +457,23 @@ def w3_call_ordinal(spark, sf):
     )
 
 
+@query
+def w3_balanced_ordinal(spark, sf):
+    """The same numbers from ranges of equal numbers of rows."""
+    calls_ = stored(b.event_calls_allocated(spark, sf), "allocated")
+    return calls.call_ordinal(calls_, target=f"{new_folder(spark, 'ordinal')}/rows").select(
+        "callid", "user_id", "time_mark", "yes_call_num"
+    )
+
+
+@query
+def w4_balanced_order(spark, sf):
+    """Contact order by ranges of equal numbers of rows."""
+    base = lifecycle.lifecycle_base(stored_features(spark, sf), b.CUTOFF).drop("order_num")
+    ordered = lifecycle.contact_order(stored(base, "base"), f"{new_folder(spark, 'order')}/rows")
+    return ordered.select("callid", "new_contact_type", "order_num")
+
+
 @query
 def w4_contact_order(spark, sf):
     return lifecycle.lifecycle_base(stored_features(spark, sf), b.CUTOFF).select(
@@ -821,6 +891,15 @@ def t5_vocabulary_by_agent(spark, sf):
     return vocabulary.vocabulary_by(_terms(spark, sf), "owner_id", 1000)
 
 
+@query
+def t5_frequent_terms(spark, sf):
+    """The vocabulary from summaries of the tasks, then exact counts of what may be in it."""
+    documents = b.documents(spark, sf)
+    return vocabulary.frequent_terms(
+        documents, t.matrix_terms(F.col("text")), 200, STOPWORDS, size=1024
+    )
+
+
 @query
 def t6_doc_term_counts(spark, sf):
     return vocabulary.term_matrix(_terms(spark, sf), ["doc_id"], 1000)
