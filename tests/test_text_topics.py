@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import segmentation as cut, text as t
 from callweave.operators import group_topics as g, topics as o, vocabulary as v
+from callweave.plans.topics import transcript_terms
 from callweave.sources.tables import docs_from_list
 from conftest import tuples
 
@@ -89,6 +90,15 @@ def test_best_path_beats_the_longest_match(spark):
     assert forced[1] == ["研", "究生", "命", "起源", "hello", "世", "界"]
 
 
+def test_transcript_terms_by_a_lexicon(spark):
+    rows = [(1, "c1", "研究生命起源", "others", 20), (1, "c2", None, "others", 20), (1, "c3", "生命", "self", 20)]
+    calls = spark.createDataFrame(rows, "owner_id long, callid string, content string, phone_type string, duration int")
+    table = spark.createDataFrame([("研究", 60), ("研究生", 20), ("生命", 60), ("起源", 40)], "word string, total long")
+    kept, terms = transcript_terms(calls, lexicon=table)
+    assert tuples(kept, "callid") == [("c1",), ("c2",)]
+    assert tuples(terms, "callid", "term") == [("c1", "生命"), ("c1", "研究"), ("c1", "起源")]
+
+
 def test_lexicon_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(cut, "MAX_LEXICON_BYTES", 100)
     df = spark.createDataFrame([("x",)], "x string")
