@@ -560,6 +560,40 @@ def test_machine_learns_pairs():
     assert one[2] > 0.5 > max(one[:2])
 
 
+def test_language_equals_plain_compression():
+    """Every block compressed anew with each language's content before it."""
+    import zstandard as zstd
+
+    rng = random.Random(5)
+    syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ver", "keit"], "cc": ["ou", "eau", "que", "la"]}
+    draw = lambda lang, n: " ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(n))
+    contents = {lang: language.plain(draw(lang, 3000)) for lang in syllables}
+    classifier = language.Classifier(contents)
+
+    def sizes(data, level):
+        out = []
+        for content in contents.values():
+            compressor = zstd.ZstdCompressor(
+                level=level, dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT),
+                write_content_size=False, write_checksum=False, write_dict_id=False,
+            )
+            blocks = range(0, len(data), language.BLOCK_BYTES)
+            out.append(sum(len(compressor.compress(data[k : k + language.BLOCK_BYTES])) for k in blocks))
+        return out
+
+    for n in (1, 3, 40, 4000):
+        for lang in syllables:
+            text = draw(lang, n)
+            data = language.plain(text)
+            found = sizes(data, language.LEVEL)
+            if sorted(found)[0] == sorted(found)[1]:
+                found = sizes(data, language.TIE_LEVEL)
+            name, score, margin = classifier.predict(text)
+            assert name == list(contents)[int(np.argmin(found))]
+            one, two = sorted(found)[:2]
+            assert math.isclose(margin, (two - one) / two) and 0.5 <= score <= 1
+
+
 def test_language_sample_counts_copies_once(spark):
     texts = [" ".join(f"{w}{chr(97 + k)}" for w in ("wort", "haus", "baum", "licht", "wasser", "garten", "strasse")) for k in range(12)]
     rows = [(4 * k + j * 1000, t, "de", "s0") for k, t in enumerate(texts) for j in range(120)]

@@ -50,6 +50,37 @@ def test_cache_starts_anew(monkeypatch):
         assert offsets.tolist()[1:] == [len(ids)] * 3
 
 
+def plain_best_two_fit(lengths, capacity):
+    """The method as it is told, over lists: fill greedily, then try every two for the smallest."""
+    left, bins = sorted(lengths), []
+    while left:
+        own, gap = [], capacity
+        while any(n <= gap for n in left):
+            own.append(max(n for n in left if n <= gap))
+            left.remove(own[-1])
+            gap -= own[-1]
+        room = gap + own[-1]
+        pairs = [
+            (x + y, x, y) for i, x in enumerate(left) for j, y in enumerate(left)
+            if i != j and own[-1] < x + y <= room
+        ]
+        if gap and pairs and room < capacity:
+            _, x, y = max(pairs)
+            left.append(own.pop())
+            left.remove(x)
+            left.remove(y)
+            own += [x, y]
+        bins.append(own)
+    return bins
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_bins_equal_the_plain_method(lengths):
+    got = [[lengths[k] for k in b] for b in packing.best_two_fit(lengths, 20)]
+    assert got == plain_best_two_fit(lengths, 20)
+
+
 def test_special_strings_have_their_own_ids():
     texts = ["x <|endoftext|> y", "plain text", None, "<|endoftext|>", "", "a<|startoftext|>b"]
     for path in PATHS:
