@@ -16,6 +16,9 @@ CALL_COLUMNS = [
     "owner_id", "owner_name", "group_name", "dun_case_id", "time_mark",
 ]
 
+#: What decides between rows of one call that are alike in time and user, after the later date.
+TIES = ["owner_id", "phone", "duration", "owner_name", "group_name", "dun_case_id"]
+
 
 def attach_call(turns: DataFrame, records: DataFrame, distinct: bool = True) -> DataFrame:
     """Call records that have a transcript, with its date, one row each.
@@ -179,11 +182,7 @@ def latest_per_call(
             F.col("dun_case_id").desc(),
             F.col("ringtime").desc(),
             F.col("file_date").desc(),
-            F.col("owner_id"),
-            F.col("phone"),
-            F.col("duration"),
-            F.col("owner_name"),
-            F.col("group_name"),
+            *TIES,
         ],
     )
 
@@ -221,11 +220,18 @@ def call_ordinal(
 ) -> DataFrame:
     """Number the answered calls of every user and allocation day.
 
+    A call that both record systems list is there twice, with the same time and number; the
+    row of the later date comes first, as in :func:`latest_per_call`.
+
     Hours serve as slots, so that a user with very many calls is numbered by
     many tasks. With ``target`` the calls are written there once, in ranges of equal
     numbers of rows: for users with very many calls in an hour.
     """
-    keys, order = ["user_id", "time_mark"], [F.col("ringtime"), F.col("callid")]
+    keys = ["user_id", "time_mark"]
+    order = [F.col("ringtime"), F.col("callid")]
+    if "file_date" in calls.columns:
+        order.append(F.col("file_date").desc())
+    order += [F.col(name) for name in TIES if name in calls.columns]
     if target is not None:
         return balanced_row_number(calls, keys, order, "yes_call_num", target)
     hour = F.date_trunc("hour", "ringtime") if slot is None else slot

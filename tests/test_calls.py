@@ -139,3 +139,17 @@ def test_quality_checks(spark):
     assert tuples(quality.duplicate_keys(df, ["key"]), "key", "copies") == [("a", 2)]
     other = spark.createDataFrame([("b",)], "key string")
     assert tuples(quality.unmatched(df, other, ["key"]), "v") == [(1,), (2,)]
+
+
+def test_a_call_of_both_systems_is_numbered_the_same_way(spark, tmp_path):
+    """Two rows alike in user, time and number, in either order of the input."""
+    rows = [("7", at(9, 8), "2024-01-15", 2, 11), ("7", at(9, 8), "2024-01-16", 1, 12),
+            ("8", at(9, 9), "2024-01-15", 1, 13)]
+    schema = "callid string, ringtime timestamp, file_date string, owner_id long, dun_case_id long"
+    for n, given in enumerate((rows, rows[::-1])):
+        calls = spark.createDataFrame(given, schema).coalesce(1).withColumns(
+            {"user_id": F.lit(1), "time_mark": F.lit("2024-01-02").cast("date")}
+        )
+        for target in (None, str(tmp_path / f"ordinal-{n}")):
+            out = k.call_ordinal(calls, target=target)
+            assert tuples(out, "dun_case_id", "yes_call_num") == [(11, 2), (12, 1), (13, 3)]
