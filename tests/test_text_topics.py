@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,3 +493,39 @@ def test_map_of_few_topics(spark):
     assert pair.distance == pytest.approx(math.log(2))
     x = [r.x for r in o.topic_map(two, sizes).collect()]
     assert abs(x[0] - x[1]) == pytest.approx(math.log(2))
+
+
+def test_chunks_of_a_group_are_worked_on_together(monkeypatch):
+    """Up to a bound of entries, so that the work per document does not hang on chunks' sizes."""
+    rng = np.random.RandomState(2)
+    weights, rows = rng.gamma(100.0, 0.01, (2, 30)), []
+    for chunk in range(12):
+        doc = np.repeat(np.arange(chunk * 4, chunk * 4 + 4), 5)
+        rows.append(("ab"[chunk % 2], doc, rng.randint(0, 30, 20), rng.randint(1, 4, 20), weights.ravel()))
+    batch = pd.DataFrame(rows, columns=["owner_id", "doc", "term_no", "cnt", "weights"])
+    for bound, blocks in ((10_000, 2), (60, 4), (1, 12)):
+        monkeypatch.setattr(g, "BLOCK", bound)
+        found = list(g._blocks(batch, "owner_id", 2))
+        assert len(found) == blocks
+        assert sorted(d for _, ids, *_ in found for d in ids) == list(range(48))
+        sums = np.zeros((2, 30))
+        for _, _, doc, term, count, own in found:
+            terms, added, _ = g.contributions(doc, term, count, own)
+            sums[:, terms] += added
+        assert sums.sum() == pytest.approx(sum(r[3].sum() for r in rows))
+
+
+def test_an_online_step_is_one_job(spark):
+    _, terms = group_terms(spark)
+    terms = terms.withColumn("doc_id", F.concat("owner_id", "doc_id"))
+
+    def jobs(passes):
+        name = f"online-{passes}"
+        spark.sparkContext.setJobGroup(name, name)
+        fit = g.fit_topics_online(terms, "doc_id", k=2, passes=passes, batch_docs=12)
+        spark.sparkContext.setJobGroup("other", "other")
+        assert fit.topics.count() == 2 * 7
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    # Some batches more: a job for each.
+    assert jobs(6) - jobs(2) == 4 * 4
