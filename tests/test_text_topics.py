@@ -529,3 +529,11 @@ def test_an_online_step_is_one_job(spark):
 
     # Some batches more: a job for each.
     assert jobs(6) - jobs(2) == 4 * 4
+
+
+def test_letters_without_decomposition_stay_beside_others(spark):
+    """In one text, with and without characters that become several."""
+    texts = ["Straße naïve Ærø", "ﬁn Straße é", "강 ß ü", "é – ok", "½ Œuvre"]
+    got = docs_from_list(spark, texts).orderBy("doc_id").select(t.strip_accents(F.col("text"))).collect()
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    assert [r[0] for r in got] == [plain(s) for s in texts]
