@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from callweave.operators.topics import describe_topics
 from callweave.operators.vocabulary import doc_term_counts, vocabulary_by
-from callweave.session import drop_folder, shared_dir
+from callweave.session import drop_folder, finer_scans, shared_dir
 from callweave.sources.sinks import materialize
 
 # Executors get the functions of this module with the job, not from an installation.
@@ -37,9 +37,13 @@ GAMMA_SHAPE = 100.0
 INNER_PASSES = 100
 TOLERANCE = 1e-3
 
-#: Entries of the count matrix that are worked on together: about as many as the caches hold.
-BLOCK = 32_768
+#: Entries of the count matrix that are taken from an Arrow batch together, and those that
+#: are worked on together: about as many as the caches hold.
+BLOCK = 1 << 20
+PANEL = 32_768
 
+#: Files of the chunks of a batch fit: a chunk each up to so many, and that many at least.
+CHUNK_FILES = 96
 #: Tasks of an online step on a small batch, and chunks in a file of a large one.
 STEP_TASKS = 4
 CHUNKS_PER_FILE = 64
@@ -102,6 +106,21 @@ def exp_expected_log(weights: np.ndarray) -> np.ndarray:
     return np.exp(digamma(weights) - digamma(weights.sum(axis=1, keepdims=True)))
 
 
+def _growth(x: np.ndarray) -> np.ndarray:
+    """``exp(digamma(x))``: the recurrence as one fraction, and no logarithm."""
+    y = x * (x + 5.0)
+    below = (2.0 * x + 5.0) * ((3.0 * y + 20.0) * y + 24.0) / (y * (y + 4.0) * (y + 6.0))
+    q = 1.0 / (x + 6.0)
+    r = q * q
+    series = r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    return (x + 6.0) * np.exp(-(below + 0.5 * q + series))
+
+
+def _theta(gamma: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``exp(E[log theta])`` of the documents' topic weights."""
+    return _growth(gamma) / _growth(gamma @ ones)[:, None]
+
+
 def infer(
     doc: np.ndarray, term: np.ndarray, count: np.ndarray, beta: np.ndarray, n_docs: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -112,47 +131,60 @@ def infer(
     which documents share a chunk. Returns the weights per document and
     ``exp(E[log theta])``.
 
-    The entries lie document after document, so that a document's weights are repeated and
-    its sums taken over a range, one topic at a time in memory that the caches hold.
+    Documents of about the same number of entries are put into a panel, filled up with
+    entries that count nothing, of a size that the caches hold.
     """
     k, prior = beta.shape[0], 1.0 / beta.shape[0]
-    order = np.argsort(doc, kind="stable")
-    doc, count, entry_beta = doc[order], count[order], beta[:, term[order]]
-    ids, first, lengths = np.unique(doc, return_index=True, return_counts=True)
-    found = np.full((2, k, n_docs), prior)
-    found[1] = exp_expected_log(found[0].T).T
-    gamma = np.ones((k, len(ids)))
-    theta = exp_expected_log(gamma.T).T
+    ones = np.ones(k)
+    if (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        doc, term, count = doc[order], term[order], count[order]
+    found = np.full((2, n_docs, k), prior)
+    found[1] = _theta(found[0], ones)
+    first = np.flatnonzero(np.append(len(doc) > 0, doc[1:] != doc[:-1]))
+    lengths = np.diff(np.append(first, len(doc)))
+    by_length = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(by_length):
+        width = int(lengths[by_length[at]])
+        own = by_length[at : at + max(1, PANEL // width)]
+        at += len(own)
+        there = np.arange(width) < lengths[own][:, None]
+        place = np.where(there, first[own][:, None] + np.arange(width), 0)
+        counts = np.where(there, count[place], 0.0)[:, None]
+        entry_beta = np.ascontiguousarray(beta[:, term[place]].transpose(1, 0, 2))
+        _infer_panel(doc[first[own]], counts, entry_beta, found, ones)
+    return found[0], found[1]
+
+
+def _infer_panel(
+    ids: np.ndarray, counts: np.ndarray, entry_beta: np.ndarray, found: np.ndarray, ones: np.ndarray
+) -> None:
+    """The documents ``ids`` of a panel: their counts (documents, 1, entries) and the topics'
+    probabilities of these entries (documents, topics, entries). Writes into ``found``."""
+    k = len(ones)
+    gamma = np.ones((len(ids), k))
+    theta = _theta(gamma, ones)
     active = np.ones(len(ids), dtype=bool)
     for step in range(INNER_PASSES):
-        whole = np.full(len(count), np.finfo(float).eps)
-        for row, own in zip(theta, entry_beta):
-            part = np.repeat(row, lengths)
-            part *= own
-            whole += part
-        ratio = np.divide(count, whole, out=whole)
-        updated = np.empty_like(gamma)
-        for sums, own in zip(updated, entry_beta):
-            np.add.reduceat(np.multiply(own, ratio, out=part), first, out=sums)
-        updated = theta * updated + prior
-        change = np.abs(updated - gamma).mean(axis=0)
-        gamma, theta = updated, exp_expected_log(updated.T).T
+        ratio = np.matmul(theta[:, None, :], entry_beta)
+        ratio += np.finfo(float).eps
+        np.divide(counts, ratio, out=ratio)
+        updated = theta * np.matmul(entry_beta, ratio.transpose(0, 2, 1))[:, :, 0] + 1.0 / k
+        change = np.abs(updated - gamma) @ ones / k
+        gamma, theta = updated, _theta(updated, ones)
         done = active & ((change < TOLERANCE) | (step == INNER_PASSES - 1))
         if not done.any():
             continue
-        found[0][:, ids[done]], found[1][:, ids[done]] = gamma[:, done], theta[:, done]
+        found[0][ids[done]], found[1][ids[done]] = gamma[done], theta[done]
         active &= ~done
         left = active.sum()
         if not left:
             break
-        if left < 0.8 * len(ids):  # drop the entries of finished documents
-            use = np.repeat(active, lengths)
-            count, entry_beta = count[use], entry_beta[:, use]
-            ids, lengths = ids[active], lengths[active]
-            gamma, theta = gamma[:, active], theta[:, active]
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        if left < 0.9 * len(ids):  # drop the entries of finished documents
+            ids, counts, entry_beta = ids[active], counts[active], entry_beta[active]
+            gamma, theta = gamma[active], theta[active]
             active = np.ones(left, dtype=bool)
-    return found[0].T, found[1].T
 
 
 def contributions(
@@ -166,8 +198,8 @@ def contributions(
     expected = theta[doc].T * beta[:, term]
     whole = expected.sum(axis=0) + np.finfo(float).eps
     ratio = count / whole
-    terms, at = np.unique(term, return_inverse=True)
-    added = np.stack([np.bincount(at, ratio * row, len(terms)) for row in expected])
+    terms = np.flatnonzero(np.bincount(term, minlength=beta.shape[1]))
+    added = np.stack([np.bincount(term, ratio * row, beta.shape[1])[terms] for row in expected])
     log_theta = digamma(gamma) - digamma(gamma.sum(axis=1))[:, None]
     prior = 1.0 / k
     bound = (count * np.log(whole)).sum() + ((prior - gamma) * log_theta + log_gamma(gamma)).sum()
@@ -178,32 +210,41 @@ def contributions(
 def _pack(
     counts: DataFrame,
     vocab: DataFrame,
-    documents: DataFrame,
+    sizes: DataFrame,
     group: str,
     key: str,
     docs_per_chunk: int,
+    files: int | None = None,
 ) -> DataFrame:
-    """Chunks of a group's documents, with the group's own vocabulary."""
+    """Chunks of a group's documents, with the group's own vocabulary: arrays ``doc, term_no,
+    cnt`` of bounded length. ``sizes`` has the group's number of documents."""
     rows = counts.join(vocab.select(group, "term", "term_no"), [group, "term"])
-    return _chunked(rows, documents, group, key, docs_per_chunk)
+    pieces = F.ceil(F.col("__docs") / docs_per_chunk)
+    return _gathered(rows.join(sizes, group), pieces, group, key, files).drop("chunk")
 
 
-def _chunked(
-    rows: DataFrame, documents: DataFrame, group: str, key: str, docs_per_chunk: int
-) -> DataFrame:
-    """Chunks of a group's documents: arrays ``doc, term_no, cnt`` of bounded length."""
-    sizes = documents.groupBy(group).agg(F.count("*").alias("__docs"))
-    pieces = F.ceil(F.col("__docs") / docs_per_chunk)
-    return _gathered(rows.join(sizes, group), pieces, group, key).drop("chunk")
+def _sizes(documents: DataFrame, group: str) -> DataFrame:
+    return documents.groupBy(group).agg(F.count("*").alias("__docs"))
+
 
+def _files(sizes: DataFrame, docs_per_chunk: int) -> int:
+    """Files of the chunks: adaptive execution would see a small table in them and put it
+    into one file or a few, and that many tasks would do all passes."""
+    pieces = sizes.agg(F.sum(F.ceil(F.col("__docs") / docs_per_chunk))).first()[0] or 1
+    return int(max(min(CHUNK_FILES, pieces), pieces // CHUNKS_PER_FILE))
 
-def _gathered(rows: DataFrame, pieces: Column, group: str, key: str) -> DataFrame:
-    """The rows of a group's documents in so many ``pieces``."""
+
+def _gathered(
+    rows: DataFrame, pieces: Column, group: str, key: str, files: int | None = None
+) -> DataFrame:
+    """The rows of a group's documents in so many ``pieces``; a document's entries stand together."""
     entries = F.collect_list(F.struct(F.col(key).alias("doc"), "term_no", "cnt"))
+    placed = rows.select(group, F.pmod(F.xxhash64(key), pieces).alias("chunk"), key, "term_no", "cnt")
+    if files is not None:
+        placed = placed.repartition(files, group, "chunk")
     return (
-        rows.withColumn("chunk", F.pmod(F.xxhash64(key), pieces))
-        .groupBy(group, "chunk")
-        .agg(entries.alias("e"))
+        placed.groupBy(group, "chunk")
+        .agg(F.sort_array(entries).alias("e"))
         .select(
             group,
             "chunk",
@@ -237,8 +278,8 @@ def _blocks(batch: pd.DataFrame, group: str, k: int) -> Iterator[tuple]:
         weights = np.asarray(own["weights"].iloc[0]).reshape(k, -1)
         for _, rows in own.groupby((ends - 1) // BLOCK, sort=False):
             doc, term, count = (np.concatenate(rows[c].to_list()) for c in ("doc", "term_no", "cnt"))
-            ids, at = np.unique(doc, return_inverse=True)
-            yield name, ids, at, term, count.astype(float), weights
+            starts = np.append(len(doc) > 0, (doc[1:] != doc[:-1]) & ~(pd.isna(doc[1:]) & pd.isna(doc[:-1])))
+            yield name, doc[starts], np.cumsum(starts) - 1, term, count.astype(float), weights
 
 
 def _added(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFrame:
@@ -374,20 +415,23 @@ def fit_topics_by_group(
         ),
         f"{work}/vocabulary",
     )
+    sizes = materialize(_sizes(listed, group), f"{work}/sizes")
     chunks = materialize(
-        _pack(counts, vocab, listed, group, key, docs_per_chunk), f"{work}/chunks"
+        _pack(counts, vocab, sizes, group, key, docs_per_chunk, _files(sizes, docs_per_chunk)),
+        f"{work}/chunks",
     )
     weights = materialize(_first_weights(vocab, group, k, seed), f"{work}/weights-0")
     bounds = None
-    if tolerance is None:
-        for step in range(1, max_iter + 1):
-            passed = _pass(chunks, weights, group, k).drop("seen")
-            weights = materialize(passed, f"{work}/weights-{step}")
-            drop_folder(spark, f"{work}/weights-{step - 1}")
-    else:
-        weights, bounds = _until_settled(chunks, weights, group, k, max_iter, tolerance, work)
-    scored = materialize(_distributions(chunks, weights, group, key, k), f"{work}/documents")
-    for done in ("counts", "chunks"):
+    with finer_scans(spark):
+        if tolerance is None:
+            for step in range(1, max_iter + 1):
+                passed = _pass(chunks, weights, group, k).drop("seen")
+                weights = materialize(passed, f"{work}/weights-{step}")
+                drop_folder(spark, f"{work}/weights-{step - 1}")
+        else:
+            weights, bounds = _until_settled(chunks, weights, group, k, max_iter, tolerance, work)
+        scored = materialize(_distributions(chunks, weights, group, key, k), f"{work}/documents")
+    for done in ("counts", "chunks", "sizes"):
         drop_folder(spark, f"{work}/{done}")
     if documents is not None:
         scored = _all_documents(documents, scored, group, key, k)
@@ -546,7 +590,7 @@ def topic_distribution(
     """Topic probabilities of documents, also of ones the model was not fitted on."""
     counts = doc_term_counts(terms, [group, key])
     listed = documents if documents is not None else counts.select(group, key).distinct()
-    chunks = _pack(counts, fitted.vocabulary, listed, group, key, docs_per_chunk)
+    chunks = _pack(counts, fitted.vocabulary, _sizes(listed, group), group, key, docs_per_chunk)
     scored = _distributions(chunks, fitted.weights, group, key, fitted.k)
     return _all_documents(listed, scored, group, key, fitted.k)
 

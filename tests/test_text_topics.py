@@ -537,3 +537,41 @@ def test_letters_without_decomposition_stay_beside_others(spark):
     got = docs_from_list(spark, texts).orderBy("doc_id").select(t.strip_accents(F.col("text"))).collect()
     plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     assert [r[0] for r in got] == [plain(s) for s in texts]
+
+
+def test_chunks_of_a_fit_are_spread_over_files(spark, tmp_path, monkeypatch):
+    """A table of few bytes, but each of its rows costs a hundred inner passes: all cores work on them."""
+    rows = [("a", d, w) for d in range(64) for w in ("xx", "yy", f"w{d % 5}")]
+    terms = spark.createDataFrame(rows, "owner_id string, doc_id int, term string")
+    monkeypatch.setattr(g, "drop_folder", lambda spark, path: None)
+    g.fit_topics_by_group(terms, "owner_id", "doc_id", max_iter=1, docs_per_chunk=4, work_dir=str(tmp_path))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    assert len(chunks.inputFiles()) > 4
+    for row in chunks.collect():  # the entries of a document stand together
+        assert row.doc == sorted(row.doc)
+    with g.finer_scans(spark):
+        parts = spark.read.parquet(str(tmp_path / "chunks")).rdd.getNumPartitions()
+    assert parts > 4 and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_inference_equals_that_of_single_documents(monkeypatch):
+    """In panels of documents of other lengths, in any order of the entries."""
+    rng = np.random.RandomState(4)
+    beta = g.exp_expected_log(rng.gamma(1.0, 1.0, (3, 50)))
+    rows = [(d, w, n) for d in range(40) if d != 7
+            for w, n in zip(rng.permutation(50)[: 1 + d], rng.randint(1, 9, 1 + d).astype(float))]
+    doc, term, count = (np.array(x) for x in zip(*rng.permutation(np.array(rows, dtype=object))))
+    doc, term, count = doc.astype(int), term.astype(int), count.astype(float)
+    monkeypatch.setattr(g, "PANEL", 100)
+    gamma, theta = g.infer(doc, term, count, beta, 40)
+    assert np.allclose(theta, g.exp_expected_log(gamma), rtol=1e-9, atol=1e-300)
+    assert (gamma[7] == 1 / 3).all()
+    for d in set(range(40)) - {7}:
+        at, weights = doc == d, np.ones(3)
+        for _ in range(g.INNER_PASSES):
+            own = g.exp_expected_log(weights[None])[0]
+            new = own * (beta[:, term[at]] @ (count[at] / (own @ beta[:, term[at]]))) + 1 / 3
+            near, weights = np.abs(new - weights).mean() < g.TOLERANCE, new
+            if near:
+                break
+        assert gamma[d] == pytest.approx(weights, rel=1e-9)
