@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from callweave.functions.text import MAX_LEXICON_BYTES
+from callweave.functions.text import MAX_LEXICON_BYTES, tokens_of_pieces
+from callweave.session import scratch
+from callweave.sources.sinks import materialize
 
 # Executors get the functions of this module with the job, not from an installation.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,26 +120,14 @@ def segment(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
+        kept: dict[str, list[str]] = {}
+
+        def tokens(piece: str) -> list[str]:
+            return [piece.strip("\u0002")] if piece.startswith("\u0002") else lattice.cut(piece)
+
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            flat = lists.flatten()
-            coded = flat.dictionary_encode()
-            # Every distinct piece of a batch is cut once.
-            tokens = [
-                [p.strip("\u0002")] if p.startswith("\u0002") else lattice.cut(p)
-                for p in coded.dictionary.to_pylist()
-            ]
-            at, rows = 0, []
-            codes = coded.indices.to_pylist()
-            for size in lists.value_lengths().to_pylist():
-                if size is None:
-                    rows.append(None)
-                    continue
-                rows.append([t for code in codes[at : at + size] for t in tokens[code]])
-                at += size
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(rows, pa.list_(pa.string()))], schema.names
-            )
+            rows = tokens_of_pieces(batch.column(batch.num_columns - 1), tokens, kept)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rows], schema.names)
 
     own = [F.col(f"`{f.name}`") for f in kept]
     return df.select(*own, pieces.alias("__pieces")).mapInArrow(cut, schema)
@@ -154,10 +144,12 @@ def _pairs(dictionary: Iterable[tuple[str, int]] | DataFrame) -> list[tuple[str,
             dictionary.filter("word <> '' and total > 0").groupBy("word")
             .agg(F.sum(F.col("total").cast("long")).alias("total"))
         )
-        size = known.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
-        if size > MAX_LEXICON_BYTES:
-            raise ValueError(f"a lexicon of about {size} bytes is above {MAX_LEXICON_BYTES}")
-        return [(r["word"], r["total"]) for r in known.collect()]
+        with scratch(dictionary.sparkSession, "lexicon") as folder:
+            known = materialize(known, folder)
+            size = known.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+            if size > MAX_LEXICON_BYTES:
+                raise ValueError(f"a lexicon of about {size} bytes is above {MAX_LEXICON_BYTES}")
+            return [(r["word"], r["total"]) for r in known.collect()]
     pairs = list(dictionary)
     size = sum(len(w.encode()) + 64 for w, _ in pairs)
     if size > MAX_LEXICON_BYTES:

@@ -5,13 +5,18 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from callweave.session import scratch
+from callweave.sources.sinks import materialize
+
 # Executors get the functions of this module with the job, not from an installation.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -20,6 +25,8 @@ HAN = r"\x{4e00}-\x{9fa5}"
 OTHER_WORD = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{HAN}]]+"
 #: Bound of a lexicon that is sent to the executors.
 MAX_LEXICON_BYTES = 256 << 20
+#: Pieces of texts whose tokens a worker keeps, and the longest one that is kept.
+KEPT_PIECES, KEPT_LENGTH = 1 << 18, 64
 #: Terms a term matrix counts: two word characters or more.
 TERM = r"[\p{L}\p{N}_]{2,}"
 
@@ -63,11 +70,13 @@ def _listed(dictionary: Iterable[str] | DataFrame) -> Iterable[str]:
     """The words; of a table no more than the bound allows are read."""
     if not isinstance(dictionary, DataFrame):
         return dictionary
-    known = dictionary.select("word").filter("word <> ''").distinct()
-    size = known.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
-    if size > MAX_LEXICON_BYTES:
-        raise ValueError(f"a lexicon of about {size} bytes is above {MAX_LEXICON_BYTES}")
-    return [r.word for r in known.collect()]
+    with scratch(dictionary.sparkSession, "lexicon") as folder:
+        # Stored: the table may come from all texts, and it is read twice.
+        known = materialize(dictionary.select("word").filter("word <> ''").distinct(), folder)
+        size = known.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+        if size > MAX_LEXICON_BYTES:
+            raise ValueError(f"a lexicon of about {size} bytes is above {MAX_LEXICON_BYTES}")
+        return [r.word for r in known.collect()]
 
 
 def _longest_match(spark, lexicon: set[str]):
@@ -79,10 +88,12 @@ def _longest_match(spark, lexicon: set[str]):
         (frozenset(lexicon), {c: sorted(n, reverse=True) for c, n in lengths.items()})
     )
     other = re.compile(r"[^\W一-龥]+")
+    run_of_words = re.compile(r"\w+")
+    # Then no word reaches beyond a run of word characters, and equal runs have equal tokens.
+    apart = all(run_of_words.fullmatch(word) for word in lexicon)
+    kept: dict[str, list[str]] = {}
 
-    def split(text: str | None) -> list[str] | None:
-        if text is None:
-            return None
+    def longest(text: str) -> list[str]:
         known, sizes = shared.value
         tokens, at = [], 0
         while at < len(text):
@@ -102,13 +113,41 @@ def _longest_match(spark, lexicon: set[str]):
             at = end
         return tokens
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def segment(texts: pd.Series) -> pd.Series:
-        return texts.map(split)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def segment(texts: pa.Array) -> pa.Array:
+        rows = texts.to_pylist()
+        if not apart:
+            return pa.array([None if r is None else longest(r) for r in rows], pa.list_(pa.string()))
+        pieces = [None if r is None else run_of_words.findall(r) for r in rows]
+        return tokens_of_pieces(pa.array(pieces, pa.list_(pa.string())), longest, kept)
 
     return segment
 
 
+def tokens_of_pieces(
+    pieces: pa.ListArray, cut: Callable[[str], list[str]], kept: dict[str, list[str]]
+) -> pa.ListArray:
+    """The tokens of rows of pieces. Equal pieces are looked up once, and ``cut`` if they are
+    not among those ``kept`` from before; Arrow repeats their tokens."""
+    coded = pieces.flatten().dictionary_encode()
+    found = []
+    for piece in coded.dictionary.to_pylist():
+        own = kept.get(piece)
+        if own is None:
+            own = cut(piece)
+            if len(piece) <= KEPT_LENGTH:
+                if len(kept) >= KEPT_PIECES:
+                    kept.clear()
+                kept[piece] = own
+        found.append(own)
+    taken = pa.array(found, pa.list_(pa.string())).take(coded.indices)
+    ends = np.cumsum(np.append(0, taken.value_lengths().to_numpy(zero_copy_only=False)))
+    rows = np.cumsum(np.append(0, pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    return pa.ListArray.from_arrays(
+        pa.array(ends[rows], pa.int32()), taken.flatten(), mask=pieces.is_null()
+    )
+
+
 @lru_cache
 def _accent_table() -> tuple[str, str, str, str, tuple[str, ...]]:
     """Characters with one base character, and those bases; a pattern for the characters that

@@ -1,10 +1,12 @@
 import itertools
 import math
 import random
+import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -575,3 +577,46 @@ def test_inference_equals_that_of_single_documents(monkeypatch):
             if near:
                 break
         assert gamma[d] == pytest.approx(weights, rel=1e-9)
+
+
+def test_equal_pieces_are_cut_once():
+    """Also those of other batches; rows keep their order, null and empty ones stay."""
+    seen, kept = [], {}
+
+    def letters(piece):
+        seen.append(piece)
+        return list(piece)
+
+    kind = pa.list_(pa.string())
+    for rows in ([["ab", "c"], None, [], ["ab"]], [["c", "", "ab", "d"], None]):
+        got = t.tokens_of_pieces(pa.array(rows, kind), letters, kept)
+        assert got.to_pylist() == [r if r is None else [x for p in r for x in p] for r in rows]
+    assert sorted(seen) == ["", "ab", "c", "d"]
+    assert t.tokens_of_pieces(pa.array([], kind), letters, kept).to_pylist() == []
+
+
+@pytest.mark.parametrize("words", [["ab", "abc", "今天"], ["ab", "b c", "今天"]])
+def test_longest_match_of_runs_equals_that_of_texts(spark, words):
+    """A lexicon with words beyond a run of word characters is matched over whole texts."""
+    texts = ["abc ab, b cab 今天好", None, "", "xab cd_é今今天 abcabc", "a-b c"]
+    got = t.tokenize(docs_from_list(spark, texts), "text", dictionary=words).orderBy("doc_id")
+    listed = sorted(words, key=lambda w: -len(w))
+    plain = re.compile("|".join([*listed, "[一-龥]", r"[^\W一-龥]+"]))
+    assert [r.tokens for r in got.collect()] == [None if x is None else plain.findall(x) for x in texts]
+
+
+def test_a_lexicon_table_is_computed_once(spark):
+    """Its size is checked and its words are read, though it may come from all texts."""
+    for segmented in (
+        lambda d, w: t.tokenize(d, "text", dictionary=w), lambda d, w: cut.segment(d, "text", w)
+    ):
+        rows = spark.sparkContext.accumulator(0)
+
+        def count(word):
+            rows.add(1)
+            return word
+
+        words = spark.createDataFrame([("ab", 3), ("cd", 4)], "word string, total long")
+        words = words.withColumn("word", F.udf(count).asNondeterministic()("word"))
+        assert [r.tokens for r in segmented(docs_from_list(spark, ["abcd"]), words).collect()] == [["ab", "cd"]]
+        assert rows.value == 2
