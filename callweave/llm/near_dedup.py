@@ -13,10 +13,9 @@ Buckets of texts with an equal band are not expanded into pairs. First leaders a
 with all other members; the first leader of a bucket is the member that shares most buckets
 with most texts, so the origin of a family gathers its copies at once. A bucket whose
 members are then in one class is done. In any other, the members outside the largest class
-are compared with all members if they are few; if not, the bucket is split by further
-bands, drawn for it alone from all registers, until they are few. What is left at the last
-level agrees in so many registers that it is compared in full, in pieces. Two texts that share
-several such buckets are a pair of the first of them only.
+are compared with all members, however many they are: a large bucket is dealt into pieces of
+bounded size, so that every two of its members of different classes meet in one. Two texts that
+share several such buckets are a pair of the first of them only.
 
 Before any text is fetched a pair's registers are compared: pairs whose agreement is 2.5
 deviations (with a leader 3.5) below the threshold go no further. The others are verified on whole texts,
@@ -54,10 +53,12 @@ FIRST_BUCKETS = 8
 #: Members outside the largest class that are compared with all others, and rows of a piece.
 FEW = 1024
 PIECE = 2 * FEW
-#: Bands that split a bucket, their registers, and how often a bucket is split.
+#: How often a bucket with many members outside its largest class is split before it is compared,
+#: by so many further bands of so many registers. Every level loses pairs that agree in none of the
+#: bands, so no bucket is split unless this is raised.
+LEVELS = 0
 SPLIT_BANDS = 3
 SPLIT_ROWS = 4
-LEVELS = 3
 MAX_FILTER_BYTES = 64 << 20
 #: Texts of one bucket that are dealt together to be verified against such another lot.
 LOT = 128
@@ -476,8 +477,8 @@ def _own_registers() -> Column:
 def _close_pairs(seats: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     """Pairs of different classes in a common bucket that agree in enough registers.
 
-    ``seats`` is a stored table of bucket, node, ones, label and the bucket's classes. Small
-    buckets are compared, large ones split; at the last level all are compared.
+    ``seats`` is a stored table of bucket, node, ones, label and the bucket's classes. All
+    buckets are compared; with :data:`LEVELS` large ones only after so many splits.
     """
     found = None
     table = known.select("node", "lot", "registers")

@@ -700,3 +700,27 @@ def test_stages_keep_columns_that_clash(spark):
         assert out.columns == docs.columns
         found = out.collect()
         assert found and all(r[name] == f"own {name}" for r in found for name in names)
+
+
+def test_no_pair_of_a_large_bucket_is_lost(spark, tmp_path, monkeypatch):
+    """Also one that agrees in enough registers, but in none of a few bands of them."""
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    monkeypatch.setattr(near_dedup, "PIECE", 4)
+    rng = np.random.RandomState(3)
+    registers, pairs = [], set()
+    for k in range(20):
+        one = rng.randint(0, 256, near_dedup.REGISTERS).astype(np.uint8)
+        two = one.copy()
+        two[rng.permutation(near_dedup.REGISTERS)[:60]] += 1
+        registers += [one.tobytes(), two.tobytes()]
+        pairs.add((bytes([2 * k]), bytes([2 * k + 1])))
+    known = spark.createDataFrame(
+        [(bytearray([n]), n % 3, bytearray(r)) for n, r in enumerate(registers)],
+        "node binary, lot long, registers binary",
+    )
+    seats = known.select(
+        F.lit(5).cast("long").alias("bucket"), "node", F.lit(False).alias("ones"), F.col("node").alias("label")
+    )
+    near_dedup.stored(near_dedup._with_classes(seats), str(tmp_path), "seats")
+    found = near_dedup._close_pairs(spark.read.parquet(f"{tmp_path}/seats"), known, str(tmp_path)).collect()
+    assert sorted((bytes(r["a"]), bytes(r["b"])) for r in found) == sorted(pairs)
