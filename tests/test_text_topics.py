@@ -15,6 +15,7 @@ from callweave.operators import group_topics as g, topics as o, vocabulary as v
 from callweave.plans.topics import transcript_terms
 from callweave.sources.tables import docs_from_list
 from conftest import tuples
+from workload.queries import QUERIES
 
 
 def test_tokenize_takes_the_longest_listed_word(spark):
@@ -620,3 +621,10 @@ def test_a_lexicon_table_is_computed_once(spark):
         words = words.withColumn("word", F.udf(count).asNondeterministic()("word"))
         assert [r.tokens for r in segmented(docs_from_list(spark, ["abcd"]), words).collect()] == [["ab", "cd"]]
         assert rows.value == 2
+
+
+@pytest.mark.parametrize("name", ["l6_topic_distances", "l6_topic_term_relevance", "l6_model_relevance"])
+def test_explorer_figures_come_from_stored_sums(spark, name):
+    """The texts are split while the sums are made, not again wherever these are read."""
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and not [f for f in found.inputFiles() if "documents.parquet" in f]

@@ -933,6 +933,13 @@ def _language_weights(spark, sf):
     )
 
 
+def _lengths(spark, sf):
+    """Terms of every document that has any, counted where its text is read."""
+    listed = t.remove_stopwords(t.matrix_terms(F.col("text")), STOPWORDS)
+    counted = b.documents(spark, sf).select("doc_id", F.size(listed).cast("long").alias("length"))
+    return counted.filter("length > 0").groupBy("doc_id").agg(F.sum("length").alias("length"))
+
+
 def _documents(spark, sf):
     return b.documents(spark, sf).select(F.col("source").alias("owner_id"), "doc_id")
 
@@ -1102,29 +1109,20 @@ def l5_topic_share(spark, sf):
 @query
 def l6_topic_term_relevance(spark, sf):
     """Topic explorer figures with the languages as topics."""
-    counts = stored(
-        vocabulary.doc_term_counts(_terms(spark, sf), ["lang", "doc_id"]), "counts"
-    )
-    weights = stored(
-        counts.groupBy(F.col("lang").alias("topic"), "term").agg(
-            F.sum("cnt").cast("double").alias("weight")
-        ),
-        "weights",
-    )
+    weights = stored(_language_weights(spark, sf), "weights")
     in_topics = tables.read_table(spark, sf, "documents").select(
         "doc_id", F.col("lang").alias("topic"), F.lit(1.0).alias("probability")
     )
-    lengths = counts.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
-    sizes = topics.topic_sizes(in_topics, lengths, "doc_id")
-    return rounded(
-        topics.topic_term_relevance(weights, vocabulary.vocabulary(counts, None, "cnt"), sizes)
-    )
+    sizes = stored(topics.topic_sizes(in_topics, _lengths(spark, sf), "doc_id"), "sizes")
+    totals = stored(vocabulary.vocabulary(weights, None, "weight"), "totals")
+    totals = totals.withColumn("total", F.col("total").cast("long"))
+    return rounded(topics.topic_term_relevance(weights, totals, sizes))
 
 
 @query
 def l6_topic_distances(spark, sf):
     """Divergence of the word distributions of every two languages."""
-    found = topics.topic_distances(_language_weights(spark, sf))
+    found = topics.topic_distances(stored(_language_weights(spark, sf), "weights"))
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -1146,9 +1144,7 @@ def l6_model_map(spark, sf):
         F.struct(F.lit(i).alias("topic"), F.col(f"topic{i}_prob").alias("probability")) for i in range(k)
     ])
     in_topics = fitted.documents.select("doc_id", F.explode(listed).alias("t")).select("doc_id", "t.*")
-    counts = stored(vocabulary.doc_term_counts(_terms(spark, sf), ["doc_id"]), "counts")
-    lengths = counts.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
-    sizes = stored(topics.topic_sizes(in_topics, lengths, "doc_id"), "sizes")
+    sizes = stored(topics.topic_sizes(in_topics, _lengths(spark, sf), "doc_id"), "sizes")
     weights = fitted.topics.select("topic", "term", "weight")
     words = topics.describe_topics(weights, 3, "words")
     return topics.topic_map(weights, sizes).join(words, "topic")
@@ -1161,12 +1157,8 @@ def l6_model_relevance(spark, sf):
     in_topics = fitted.documents.select(
         "doc_id", F.lit(0).alias("topic"), F.col("topic0_prob").alias("probability")
     )
-    counts = stored(vocabulary.doc_term_counts(_terms(spark, sf), ["doc_id"]), "counts")
-    lengths = counts.groupBy("doc_id").agg(F.sum("cnt").alias("length"))
+    sizes = stored(topics.topic_sizes(in_topics, _lengths(spark, sf), "doc_id"), "sizes")
+    totals = stored(vocabulary.vocabulary(_terms(spark, sf), None), "totals")
     return rounded(
-        topics.topic_term_relevance(
-            fitted.topics.select("topic", "term", "weight"),
-            vocabulary.vocabulary(counts, None, "cnt"),
-            topics.topic_sizes(in_topics, lengths, "doc_id"),
-        )
+        topics.topic_term_relevance(fitted.topics.select("topic", "term", "weight"), totals, sizes)
     )
