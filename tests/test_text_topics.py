@@ -628,3 +628,55 @@ def test_explorer_figures_come_from_stored_sums(spark, name):
     """The texts are split while the sums are made, not again wherever these are read."""
     found = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.inputFiles() and not [f for f in found.inputFiles() if "documents.parquet" in f]
+
+
+def listed_terms(spark):
+    """Texts with their terms as arrays: two texts of a key, repeats, nothing, NULL, a group of NULL."""
+    rows = [("a" if d % 3 else "b", d % 25, ["xx", "yy", f"w{d % 7}", "xx", None][: d % 6]) for d in range(40)]
+    rows += [("a", 30, []), ("a", 31, None), (None, 32, ["xx", "zz"])]
+    return spark.createDataFrame(rows, "owner_id string, doc_id int, terms array<string>")
+
+
+def occurrences(texts):
+    return v.term_rows(texts, ["owner_id", "doc_id"], F.col("terms")).filter("term is not null")
+
+
+@pytest.mark.parametrize("sums", [1 << 20, 3])
+def test_counts_per_text_equal_counted_occurrences(spark, monkeypatch, sums):
+    """Also where a task sends its sums on early; neither counts nor sums are shuffled."""
+    monkeypatch.setattr(v, "SUMS", sums)
+    texts, keys = listed_terms(spark), ["owner_id", "doc_id"]
+    found = v.text_counts(texts, *keys)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    pairs = found.filter("cnt is null").select(*keys, F.inline(F.arrays_zip("terms", "cnts")).alias("term", "cnt"))
+    summed = pairs.groupBy(*keys, "term").agg(F.sum("cnt").alias("cnt"))
+    names = [*keys, "term", "cnt"]
+    assert tuples(summed, *names) == tuples(v.doc_term_counts(occurrences(texts), keys), *names)
+    totals = v.vocabulary_by(found.filter("cnt is not null"), "owner_id", 100, "cnt")
+    names = ["owner_id", "term", "total"]
+    assert tuples(totals, *names) == tuples(v.vocabulary_by(occurrences(texts), "owner_id", 100), *names)
+
+
+def test_fits_on_arrays_equal_fits_on_rows(spark):
+    texts = listed_terms(spark)
+    rows = occurrences(texts)
+    listed = texts.select("owner_id", "doc_id").distinct()
+
+    def same(one, two, *names):
+        one, two = tuples(one, *names), tuples(two, *names)
+        assert len(one) == len(two) > 0
+        for a, b in zip(one, two):
+            assert a == pytest.approx(b, rel=1e-6) if not isinstance(a[0], str) else (
+                a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], rel=1e-6))
+
+    by = [g.fit_topics_by_group(x, "owner_id", "doc_id", max_iter=3, max_features=6, documents=listed)
+          for x in (texts, rows)]
+    same(by[0].topics, by[1].topics, "owner_id", "topic", "term", "weight")
+    same(by[0].documents.filter("owner_id is not null"), by[1].documents.filter("owner_id is not null"),
+         "owner_id", "doc_id", "topic0_prob")
+    whole = [g.fit_topics(x, "doc_id", k=2, max_iter=3) for x in (texts, rows)]
+    same(whole[0].topics.select(F.col("term"), "topic", "weight"), whole[1].topics.select("term", "topic", "weight"),
+         "term", "topic", "weight")
+    same(whole[0].documents, whole[1].documents, "doc_id", "topic0_prob")
+    online = [g.fit_topics_online(x, "doc_id", k=2, passes=2, batch_docs=9) for x in (texts, rows)]
+    same(online[0].topics, online[1].topics, "term", "topic", "weight")
