@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from callweave.operators.topics import describe_topics
 from callweave.operators.vocabulary import doc_term_counts, text_counts, vocabulary_by
-from callweave.session import drop_folder, finer_scans, shared_dir
+from callweave.session import drop_folder, finer_scans, shared_dir, wide_rows
 from callweave.sources.sinks import materialize
 
 # Executors get the functions of this module with the job, not from an installation.
@@ -305,10 +305,23 @@ def _added(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFra
     joined = chunks.join(weights.select(group, "weights"), group)
     kind = chunks.schema[group].dataType.simpleString()
 
+    def rows(sums: dict) -> Iterator[pd.DataFrame]:
+        for name, (own, met, bound) in sums.items():
+            # Every entry of the terms met, also one that rounds to 0.
+            terms = np.flatnonzero(met)
+            yield pd.DataFrame(
+                {
+                    group: [name] * (k * len(terms) + 1),
+                    "topic": np.append(np.repeat(np.arange(k), len(terms)), -1),
+                    "term_no": np.append(np.tile(terms, k), -1),
+                    "added": np.append(own[:, terms].ravel(), bound),
+                }
+            )
+
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One sum per group, kept over the batches of a task up to so many weights.
+        sums: dict = {}
         for batch in batches:
-            # One sum per group of the batch, so a group sends one row per weight and batch.
-            sums: dict = {}
             for name, _, doc, term, count, current in _blocks(batch, group, k):
                 terms, added, bound = contributions(doc, term, count, current)
                 own = sums.setdefault(
@@ -317,17 +330,10 @@ def _added(chunks: DataFrame, weights: DataFrame, group: str, k: int) -> DataFra
                 own[0][:, terms] += added
                 own[1][terms] = True
                 own[2] += bound
-            for name, (own, met, bound) in sums.items():
-                # Every entry of the terms met, also one that rounds to 0.
-                terms = np.flatnonzero(met)
-                yield pd.DataFrame(
-                    {
-                        group: [name] * (k * len(terms) + 1),
-                        "topic": np.append(np.repeat(np.arange(k), len(terms)), -1),
-                        "term_no": np.append(np.tile(terms, k), -1),
-                        "added": np.append(own[:, terms].ravel(), bound),
-                    }
-                )
+            if sum(own[0].size for own in sums.values()) > BLOCK:
+                yield from rows(sums)
+                sums = {}
+        yield from rows(sums)
 
     parts = joined.mapInPandas(
         update, f"{group} {kind}, topic int, term_no int, added double"
@@ -438,7 +444,7 @@ def fit_topics_by_group(
     )
     weights = materialize(_first_weights(vocab, group, k, seed), f"{work}/weights-0")
     bounds = None
-    with finer_scans(spark):
+    with finer_scans(spark), wide_rows(spark, docs_per_chunk):
         if tolerance is None:
             for step in range(1, max_iter + 1):
                 passed = _pass(chunks, weights, group, k).drop("seen")
@@ -537,17 +543,18 @@ def fit_topics_online(
     chunks = spark.read.parquet(f"{work}/chunks")
     current = np.random.RandomState(seed).gamma(GAMMA_SHAPE, 1.0 / GAMMA_SHAPE, (k, vocab.count()))
     step = 0
-    for _ in range(passes):
-        for batch in sorted(sizes):
-            step += 1
-            rate = (offset + step) ** -decay
-            own = _sums(chunks.filter(F.col("batch") == batch), current)
-            current = (1 - rate) * current + rate * (1.0 / k + n_docs / sizes[batch] * own)
-    last = spark.createDataFrame([(0, current.ravel().tolist())], f"{CORPUS} int, weights array<double>")
-    weights = materialize(last.filter(F.size("weights") > 0), f"{work}/weights")
-    scored = materialize(
-        _distributions(chunks.drop("batch"), weights, CORPUS, key, k), f"{work}/documents"
-    )
+    with wide_rows(spark, docs_per_chunk):
+        for _ in range(passes):
+            for batch in sorted(sizes):
+                step += 1
+                rate = (offset + step) ** -decay
+                own = _sums(chunks.filter(F.col("batch") == batch), current)
+                current = (1 - rate) * current + rate * (1.0 / k + n_docs / sizes[batch] * own)
+        last = spark.createDataFrame([(0, current.ravel().tolist())], f"{CORPUS} int, weights array<double>")
+        weights = materialize(last.filter(F.size("weights") > 0), f"{work}/weights")
+        scored = materialize(
+            _distributions(chunks.drop("batch"), weights, CORPUS, key, k), f"{work}/documents"
+        )
     for done in ("counts", "chunks"):
         drop_folder(spark, f"{work}/{done}")
     if documents is not None:
@@ -556,18 +563,18 @@ def fit_topics_online(
 
 
 def _sums(chunks: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """What the chunks of a corpus add to its weights, by one job: a row per Arrow batch
-    comes back, in the order of the tasks."""
+    """What the chunks of a corpus add to its weights, by one job: a row per task comes back, in
+    the order of the tasks."""
     k = len(weights)
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        added = np.zeros_like(weights)
         for batch in batches:
-            added = np.zeros_like(weights)
             batch["weights"] = [weights] * len(batch)
             for _, _, doc, term, count, current in _blocks(batch, CORPUS, k):
                 terms, own, _ = contributions(doc, term, count, current)
                 added[:, terms] += own
-            yield pd.DataFrame({"added": [added.ravel()]})
+        yield pd.DataFrame({"added": [added.ravel()]})
 
     rows = chunks.select(CORPUS, "doc", "term_no", "cnt").mapInPandas(update, "added array<double>")
     return sum((np.asarray(r["added"]).reshape(k, -1) for r in rows.collect()), np.zeros_like(weights))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from callweave import session
 from callweave.functions import segmentation as cut, text as t
 from callweave.operators import group_topics as g, topics as o, vocabulary as v
 from callweave.plans.topics import transcript_terms
@@ -680,3 +681,29 @@ def test_fits_on_arrays_equal_fits_on_rows(spark):
     same(whole[0].documents, whole[1].documents, "doc_id", "topic0_prob")
     online = [g.fit_topics_online(x, "doc_id", k=2, passes=2, batch_docs=9) for x in (texts, rows)]
     same(online[0].topics, online[1].topics, "term", "topic", "weight")
+
+
+def reader_batches(df):
+    """Rows of a parquet table, and the batches in which its reader decodes them."""
+    run = df._jdf.queryExecution()
+    rows, plan = run.toRdd().count(), run.executedPlan()
+    while plan.nodeName() != "ColumnarToRow":
+        plan = plan.children().head()
+    return rows, plan.metrics().apply("numInputBatches").value()
+
+
+def test_few_chunks_are_decoded_at_once(spark, monkeypatch):
+    """A chunk is a row of many documents, so that the reader's rows are bounded by their documents."""
+    monkeypatch.setattr(session, "READ_ROWS", 8)
+    seen = {"online": [], "batch": []}
+    sums, passed = g._sums, g._pass
+    monkeypatch.setattr(g, "_sums", lambda c, w: seen["online"].append(reader_batches(c)) or sums(c, w))
+    monkeypatch.setattr(g, "_pass", lambda c, *a: seen["batch"].append(reader_batches(c)) or passed(c, *a))
+    rows = [(0, d, w) for d in range(320) for w in ("xx", "yy", f"w{d % 5}")]
+    terms = spark.createDataFrame(rows, "owner_id int, doc_id int, term string")
+    g.fit_topics_online(terms, "doc_id", k=1, passes=1, batch_docs=1000, docs_per_chunk=4)
+    g.fit_topics_by_group(terms, "owner_id", "doc_id", max_iter=1, docs_per_chunk=8)
+    for (chunks, batches), most in ((seen["online"][0], 2), (seen["batch"][0], 1)):
+        assert chunks > 20 and chunks <= most * batches
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize", None) is None
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
