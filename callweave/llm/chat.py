@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from callweave.llm.common import run_folder, stored
+from callweave.session import wide_rows
 
 BLOCK_CONVERSATIONS = 1024
 BLOCK_TOKENS = 1 << 18
@@ -222,6 +223,13 @@ def _digest(row: dict, decoder) -> pa.RecordBatch:
 
 
 def chat_report(conversations: DataFrame, path: str, folder: str | None = None) -> DataFrame:
-    """Write the blocks and return what a reader finds in them, one row per conversation."""
-    folder = folder or run_folder(conversations.sparkSession, "chat")
-    return read_back(stored(build_blocks(conversations, path), folder, "blocks"), path)
+    """Write the blocks and return what a reader finds in them, one row per conversation.
+
+    A block is a row of some MB: they are read few at a time, and what is found is written, as
+    that holds for reading done here only.
+    """
+    spark = conversations.sparkSession
+    folder = folder or run_folder(spark, "chat")
+    blocks = stored(build_blocks(conversations, path), folder, "blocks")
+    with wide_rows(spark, BLOCK_CONVERSATIONS):
+        return stored(read_back(blocks, path), folder, "report")

@@ -14,6 +14,7 @@ from helpers import corpus, frame, words
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from callweave import session
 from callweave.llm import chat, packing, tokenbin
 from callweave.llm.tokens import CachedTokenizer
 
@@ -251,6 +252,38 @@ def test_chat(spark):
     assert chat.chat_report(none, BYTES).count() == 0
 
 
+def test_few_blocks_are_decoded_at_once(spark, monkeypatch):
+    """A block is a row of many conversations, so that the reader's rows are bounded by these."""
+    monkeypatch.setattr(session, "READ_ROWS", 8)
+    monkeypatch.setattr(chat, "BLOCK_CONVERSATIONS", 4)
+    seen, handed, back = [], spark.sparkContext.accumulator(0), chat.read_back
+
+    def watched(blocks, path):
+        run = blocks._jdf.queryExecution()
+        rows, plan = run.toRdd().count(), run.executedPlan()
+        while plan.nodeName() != "ColumnarToRow":
+            plan = plan.children().head()
+        seen.append((rows, plan.metrics().apply("numInputBatches").value()))
+
+        def count(batches):
+            for batch in batches:
+                handed.add(1)
+                yield batch
+
+        return back(blocks.mapInArrow(count, blocks.schema), path)
+
+    monkeypatch.setattr(chat, "read_back", watched)
+    rows = [(k, t, ["user", "assistant"][t], f"{k} {t}") for k in range(160) for t in range(2)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = chat.chat_report(table, BYTES)
+    assert {tuple(r) for r in got.collect()} == {
+        (k, *digest([r[2:] for r in rows if r[0] == k])) for k in range(160)
+    }
+    [(blocks, decoded)] = seen
+    assert blocks >= 40 and blocks <= 2 * decoded and blocks <= 2 * handed.value
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize", None) is None
+
+
 def test_small_blocks_hold_the_same():
     rows = conversations()
     groups = collections.defaultdict(list)
