@@ -535,6 +535,39 @@ def test_an_online_step_is_one_job(spark):
     assert jobs(6) - jobs(2) == 4 * 4
 
 
+def test_an_online_step_is_not_planned_as_a_query(spark):
+    rows = [(d, w) for d in range(48) for w in ("xx", "yy", f"w{d % 5}")]
+    terms = spark.createDataFrame(rows, "doc_id int, term string")
+
+    def queries(passes):
+        bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+        bus.waitUntilEmpty(60_000)
+        before = store.executionsCount()
+        g.fit_topics_online(terms, "doc_id", k=2, passes=passes, batch_docs=12)
+        bus.waitUntilEmpty(60_000)
+        return store.executionsCount() - before
+
+    assert queries(5) == queries(1) > 0
+
+
+def test_held_chunks_add_what_chunks_from_files_add(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for batch, chunk in itertools.product(range(3), range(5)):
+        docs = [d for d in ([None] if chunk == 4 else []) + [f"{batch} {chunk} {d}" for d in range(4)] for _ in range(6)]
+        count = rng.integers(1, 9, len(docs))
+        count[0] = 100_000 * chunk + 1
+        rows.append((0, batch, chunk, docs, rng.integers(0, 300, len(docs)).tolist(), count.tolist()))
+    chunks = spark.createDataFrame(rows, "corpus int, batch int, chunk long, doc array<string>, term_no array<int>, cnt array<long>")
+    weights = rng.gamma(100.0, 0.01, (2, 300))
+    held = g._held(chunks, 3, 2)
+    for batch in range(3):
+        got = g._step_sums(held, range(2 * batch, 2 * batch + 2), weights)
+        want = g._sums(chunks.filter(F.col("batch") == batch), weights)
+        assert want.sum() == pytest.approx(sum(sum(r[5]) for r in rows if r[1] == batch))
+        assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_letters_without_decomposition_stay_beside_others(spark):
     """In one text, with and without characters that become several."""
     texts = ["Straße naïve Ærø", "ﬁn Straße é", "강 ß ü", "é – ok", "½ Œuvre"]
